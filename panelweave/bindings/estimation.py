@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.formats import format_ci, format_coefficient, format_pvalue
@@ -35,6 +37,10 @@ def _core_sql(body: str, b: str = "b", se: str = "se", r2: str = "r2", where: st
     )
 
 
+def _unrounded(sql: str) -> str:
+    return re.sub(r"round\((cast\(.*? as double\)) \+ 0\.0000000001, 6\) as", r"\1 as", sql)
+
+
 _FE = {
     "baseline": _core_sql(
         PANEL_SQL + ",\n" + demean_sql("panel", "dm", ["outcome", "treatment"], TWO_WAY, ["id", "period"])
@@ -96,7 +102,7 @@ def _as_subquery(name: str) -> str:
     """The specification's SQL with inference columns, as a derived table."""
     k = 1 + len(BY_KEYS[name].controls)
     t, dof = "(coefficient / std_error)", f"(n_obs - {k + 1})"
-    raw = _FE[name].replace("round(", "(").replace(", 6) + 0 as", ") as")
+    raw = _unrounded(_FE[name])
     return (
         f"select '{name}' specification, {r('coefficient')}, {r('std_error')}, {r(t, 't_stat')}, {r(p_sql(t, dof), 'p_value')},"
         f" {r(f'coefficient - {critical_sql(dof)} * std_error', 'ci_lower')},"
@@ -112,7 +118,7 @@ def all_specs(spark, sf):
 
 _INTERVALS = " union all ".join(
     f"select '{n}' specification, {r('coefficient')}, {r('coefficient - 1.96 * std_error', 'lower')},"
-    f" {r('coefficient + 1.96 * std_error', 'upper')} from ({_FE[n].replace('round(', '(').replace(', 6) + 0 as', ') as')})"
+    f" {r('coefficient + 1.96 * std_error', 'upper')} from ({_unrounded(_FE[n])})"
     for n in BY_KEYS
 )
 
@@ -242,7 +248,8 @@ cl as (select id, count(*) n, sum(treatment) sx, sum(outcome) sy, sum(treatment
 dr as (select cl.*, rep, cast(cast('0x' || substr(md5(id || '-' || rep || '-42'), 1, 8) as bigint) as double) / 4294967296.0 u
        from cl, (select unnest(range(1, 201)) rep)),
 we as (select *, {_POISSON} w from dr),
-fi as (select rep, (sum(w * sxy) - sum(w * sx) * sum(w * sy) / sum(w * n)) / (sum(w * sxx) - sum(w * sx) * sum(w * sx) / sum(w * n)) b from we group by rep),
+mm as (select rep, sum(w * n) n, sum(w * sxy) - sum(w * sx) * sum(w * sy) / sum(w * n) cxy, sum(w * sxx) - sum(w * sx) * sum(w * sx) / sum(w * n) cxx from we where w > 0 group by rep),
+fi as (select rep, case when cxx > 1e-9 then cxy / cxx end b from mm),
 pt as (select regr_slope(outcome, treatment) b, count(*) n from panel)
 select {r('any_value(pt.b)', 'coefficient')}, {r('stddev_samp(fi.b)', 'std_error')}, count(fi.b) n_replicates, any_value(pt.n) n_obs from fi, pt""",
 )

@@ -48,7 +48,7 @@ def balance_drop(spark, sf):
 
 
 _GRID = "gr as (select id, period from (select distinct id from {0}), (select distinct period from {0}))"
-_ZEROES = ", ".join(f"round(coalesce({v}, 0), 6) + 0 as {v}" for v in _VALUES)
+_ZEROES = ", ".join(r(f"coalesce({v}, 0)", v) for v in _VALUES)
 
 
 @query(

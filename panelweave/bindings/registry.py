@@ -40,11 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Added before rounding, so that exact ties (an average of four prices ends in
+#: 25 or 75) do not depend on how an engine rounds halves.
+TIE_SHIFT = 1e-10
+
+
 def rounded(df: DataFrame, decimals: int = 6, keep: Sequence[str] = ()) -> DataFrame:
     """Round floating columns: the order of a sum is not part of a result."""
     return df.select(
         *[
-            F.round(F.col(f.name), decimals).alias(f.name)
+            F.round(F.col(f.name) + F.lit(TIE_SHIFT), decimals).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in keep
             else F.col(f.name)
             for f in df.schema.fields
@@ -53,5 +58,5 @@ def rounded(df: DataFrame, decimals: int = 6, keep: Sequence[str] = ()) -> DataF
 
 
 def r(expression: str, name: str | None = None, decimals: int = 6) -> str:
-    """SQL text of a rounded value without negative zero."""
-    return f"round({expression}, {decimals}) + 0 as {name or expression}"
+    """SQL text of a value rounded the way :func:`rounded` does."""
+    return f"round(cast({expression} as double) + {TIE_SHIFT:.10f}, {decimals}) as {name or expression}"

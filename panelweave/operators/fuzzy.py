@@ -55,12 +55,11 @@ def fuzzy_match(
     scored = left.join(keyed, [left_on, *block], "left").select(*left.columns, "match_value", "match_score")
     clash = {c: c + suffix for c in right.columns if c in left.columns and c not in block}
     lookup = right.withColumnsRenamed(clash)
-    key = clash.get(right_on, right_on)
-    on = scored["match_value"] == lookup[key]
-    for b in block:
-        on = on & (scored[b] == lookup[b])
-    kept = [lookup[c] for c in lookup.columns if c not in block]
-    linked = scored.join(lookup, on, "left").select(*[scored[c] for c in scored.columns], *kept)
+    on = F.col("a.match_value") == F.col(f"b.{clash.get(right_on, right_on)}")
+    for name in block:
+        on = on & (F.col(f"a.{name}") == F.col(f"b.{name}"))
+    kept = [F.col(f"b.{c}") for c in lookup.columns if c not in block]
+    linked = scored.alias("a").join(lookup.alias("b"), on, "left").select("a.*", *kept)
     summary = match_summary(scored, right, "match_value", source, f"fuzzy_{method}", f"{left_on},{right_on}")
     return linked, summary
 
@@ -79,13 +78,8 @@ def best_matches(
     lefts = _distinct_strings(left, left_on, block, "l")
     rights = _distinct_strings(right, right_on, block, "r")
     if method not in METHODS:
-        same = lefts.join(rights, (lefts["l"] == rights["r"]) & _blocks_equal(lefts, rights, block))
-        return same.select(
-            *[lefts[b] for b in block],
-            F.col("l").alias("left_value"),
-            F.col("r").alias("match_value"),
-            F.lit(1.0).alias("match_score"),
-        )
+        same = lefts.withColumn("r", F.col("l")).join(rights, [*block, "r"])
+        return _named(same.withColumn("score", F.lit(1.0)), block)
     if method == "contains":
         found = _containing(lefts, rights, block)
         return _named(found, block)
@@ -113,13 +107,6 @@ def _distinct_strings(df: DataFrame, column: str, block: list[str], name: str) -
     return df.filter(text.isNotNull()).select(*block, text.alias(name)).distinct()
 
 
-def _blocks_equal(a: DataFrame, b: DataFrame, block: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in block:
-        condition = condition & (a[name] == b[name])
-    return condition
-
-
 def _best(scored: DataFrame, block: list[str]) -> DataFrame:
     """Highest score per left string, then the smallest right string."""
     top = F.min(F.struct((-F.col("score")).alias("s"), F.col("r").alias("r"))).alias("top")

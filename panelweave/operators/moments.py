@@ -11,15 +11,16 @@ For variables ``v0 .. v{p-1}`` a moment table has ``n``, ``mu_i`` and ``s_i_j``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to this many variables co-moments use Spark's running covariance, which
-#: does not subtract large sums.  Beyond it plain sums keep the aggregate small;
-#: the wide designs here are dummies and demeaned columns, centred near zero.
-RUNNING_COVARIANCE_LIMIT = 6
+#: Widest set of variables for which one aggregate expression per pair pays;
+#: wider designs (event-time dummies) multiply matrices per Arrow batch.
+EXPRESSION_LIMIT = 6
 
 
 def pairs(p: int) -> list[tuple[int, int]]:
@@ -36,19 +37,55 @@ def group_moments(df: DataFrame, variables: Sequence[str], keys: Sequence[str] =
     doubles = df.select(*keys, *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(variables)])
     count = F.count(F.lit(1))
     aggs = [count.alias("n")] + [F.avg(f"v{i}").alias(f"mu_{i}") for i in range(p)]
-    if p <= RUNNING_COVARIANCE_LIMIT:
-        aggs += [
-            ((F.var_pop(f"v{i}") if i == j else F.covar_pop(f"v{i}", f"v{j}")) * count).alias(f"s_{i}_{j}")
-            for i, j in pairs(p)
-        ]
-    else:
-        aggs += [
-            (F.sum(F.col(f"v{i}") * F.col(f"v{j}")) - count * F.avg(f"v{i}") * F.avg(f"v{j}")).alias(f"s_{i}_{j}")
-            for i, j in pairs(p)
-        ]
+    # Spark's running covariance does not subtract large sums of squares.
+    aggs += [
+        ((F.var_pop(f"v{i}") if i == j else F.covar_pop(f"v{i}", f"v{j}")) * count).alias(f"s_{i}_{j}")
+        for i, j in pairs(p)
+    ]
     return doubles.groupBy(*keys).agg(*aggs)
 
 
+def wide_moments(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """One row (n, mu, s) for many variables: ``mu`` and the upper triangle
+    ``s`` are arrays in the order of :func:`pairs`.
+
+    Each Arrow batch is reduced to its own moments by one matrix product, and
+    the batches are added up by position.  Meant for columns centred near
+    zero, as dummies and demeaned values are.
+    """
+    p = len(variables)
+    upper = np.triu_indices(p)
+
+    def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, products = 0, np.zeros(p), np.zeros((p, p))
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n, sums, products = n + len(x), sums + x.sum(axis=0), products + x.T @ x
+        values = np.concatenate([[float(n)], sums, products[upper]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(values), dtype="int32")), pa.array(values)], names=["pos", "value"]
+        )
+
+    doubles = df.select(*[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(variables)])
+    parts = doubles.mapInArrow(reduce_batches, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value"))
+    # One array of 1 + p + p (p + 1) / 2 numbers.
+    flat = parts.agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("flat"))
+    numbers = F.transform("flat", lambda e: e["value"])
+    split = flat.select(
+        F.element_at(numbers, 1).alias("n"),
+        F.slice(numbers, 2, p).alias("sums"),
+        F.slice(numbers, p + 2, len(upper[0])).alias("raw"),
+    )
+    mean = F.transform("sums", lambda v: v / F.col("n"))
+    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs(p)])
+    centred = F.zip_with(
+        "raw", at, lambda v, ij: v - F.col("n") * F.get(F.col("mu"), ij["i"]) * F.get(F.col("mu"), ij["j"])
+    )
+    return split.withColumn("mu", mean).select("n", "mu", centred.alias("s"))
+
+
 def combine(table: DataFrame, p: int, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Moment table of the union of groups; ``weight`` repeats a group."""
     w = F.lit(1.0) if weight is None else weight

@@ -21,7 +21,7 @@ from ..plans.specs import PANEL, SPECIFICATIONS, PanelSpec, Specification
 from ..session import cut_lineage
 from .cleaning import complete_cases
 from .grouping import attach_group_stats
-from .moments import combine, group_moments, pairs, remove
+from .moments import EXPRESSION_LIMIT, combine, group_moments, pairs, remove, wide_moments
 from .panel import EVENT_WINDOW, REFERENCE_PERIOD, dummy_name, event_dummies
 
 #: A scaled design with a larger condition number counts as rank deficient.
@@ -135,25 +135,63 @@ def score_meat(scores: DataFrame, k: int, by: Sequence[str], keys: Sequence[str]
     )
 
 
-def _row_meat(cases: DataFrame, variables: Sequence[str], solution: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Meat with every row as its own cluster."""
+def _row_scores(
+    cases: DataFrame, variables: Sequence[str], solution: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()
+) -> DataFrame:
+    """Residual ``u`` and centred regressors ``x_i`` of every row."""
     p = len(variables)
-    named = cases.select(*keys, *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(variables)])
+    named = cases.select(
+        *dict.fromkeys([*keys, *carry]), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(variables)]
+    )
     joined = _with_solution(named, solution, p, keys)
     centred = [F.col(f"v{i}") - F.col(f"_m{i}") for i in range(p)]
     fitted = centred[1] * F.element_at("_b", 1)
     for j in range(2, p):
         fitted = fitted + centred[j] * F.element_at("_b", j)
-    rows = joined.select(
-        *keys, (centred[0] - fitted).alias("u"), *[centred[i].alias(f"x_{i}") for i in range(1, p)]
+    return joined.select(
+        *dict.fromkeys([*keys, *carry]),
+        (centred[0] - fitted).alias("u"),
+        *[centred[i].alias(f"x_{i}") for i in range(1, p)],
     )
+
+
+def _row_meat(cases: DataFrame, variables: Sequence[str], solution: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Meat with every row as its own cluster."""
+    rows = _row_scores(cases, variables, solution, keys)
     squared = F.col("u") * F.col("u")
     return rows.groupBy(*keys).agg(
-        F.array(*[F.sum(F.col(a) * F.col(b) * squared) for a, b in _triangle(p - 1, "x")]).alias("meat"),
+        F.array(*[F.sum(F.col(a) * F.col(b) * squared) for a, b in _triangle(len(variables) - 1, "x")]).alias("meat"),
         F.count(F.lit(1)).alias("n_clusters"),
     )
 
 
+def _wide_solution(cases: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """Solution row of a design with many regressors."""
+    solved = wide_moments(cases, variables).withColumn("_sol", _solve_system("s"))
+    means = {f"mu_{i}": F.get("mu", F.lit(i)) for i in range(len(variables))}
+    parts = {c: F.col(f"_sol.{c}") for c in ("b", "inv", "rss")}
+    return solved.withColumns(means | parts | {"s_0_0": F.get("s", F.lit(0))}).drop("_sol", "mu", "s")
+
+
+def _wide_ols(cases: DataFrame, variables: Sequence[str], cluster: str | None, robust: bool, method: str, all_terms: bool):
+    """Many regressors: solve first, then take scores in a second pass.
+
+    The second pass sums k scores per cluster, where the one-pass route would
+    sum k (k + 1) / 2 products per cluster.
+    """
+    k, terms = len(variables) - 1, list(variables[1:])
+    solution = _wide_solution(cases, variables)
+    if not cluster and not robust:
+        return finish(solution, terms, [], None, method, all_terms)
+    if cluster:
+        rows = _row_scores(cases, variables, solution, [], [cluster])
+        scores = rows.select(cluster, *[(F.col("u") * F.col(f"x_{i}")).alias(f"score_{i}") for i in range(1, k + 1)])
+        meat = score_meat(scores, k, [cluster])
+    else:
+        meat = _row_meat(cases, variables, solution, [])
+    return finish(solution.join(F.broadcast(meat)), terms, [], "meat", method, all_terms)
+
+
 def _variances(fit: DataFrame, k: int, meat: str | None) -> Column:
     """Diagonal of the coefficient covariance as an array column."""
     n, dof = F.col("n"), F.col("n") - (k + 1)
@@ -243,6 +281,10 @@ def run_ols(
     used = [*variables, *keys] + ([cluster] if cluster else [])
     cases = complete_cases(df, used)
     p = len(variables)
+    if p > EXPRESSION_LIMIT:
+        if keys:
+            raise ValueError(f"at most {EXPRESSION_LIMIT - 1} regressors per grouped regression")
+        return _wide_ols(cases, variables, cluster, robust, method, all_terms)
     if cluster:
         table = group_moments(cases, variables, [*keys, cluster])
         solution = solve(combine(table, p, keys), p, keys)
@@ -454,7 +496,7 @@ def pretrend_f_test(
     with_dummies = event_dummies(df, window, reference=None)
     _, estimation = within_sample(with_dummies, spec.outcome, xs, fe, None)
     p = len(xs) + 1
-    fit = solve(group_moments(estimation, [spec.outcome, *xs]), p)
+    fit = _wide_solution(estimation, [spec.outcome, *xs]) if p > EXPRESSION_LIMIT else solve(group_moments(estimation, [spec.outcome, *xs]), p)
     dof = F.col("n") - p
     f_stat = F.try_divide((F.col("s_0_0") - F.col("rss")) / leads, F.try_divide(F.col("rss"), dof))
     return fit.select(

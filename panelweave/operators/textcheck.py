@@ -245,8 +245,11 @@ def code_symbols(sources: DataFrame, doc: str, text: str) -> DataFrame:
     either = F.zip_with(found(IMPORT, 1), found(IMPORT, 2), lambda a, b: F.when(a != "", a).otherwise(b))
     roots = F.array_distinct(F.transform(either, lambda m: F.split_part(m, F.lit("."), F.lit(1))))
     kinds: Mapping[str, Column] = {"import": roots, "function": found(FUNCTION, 1), "class": found(CLASS, 1)}
-    tagged = [F.transform(names, lambda n, kind=kind: F.struct(F.lit(kind).alias("kind"), n.alias("name"))) for kind, names in kinds.items()]
-    return sources.select(doc, F.inline(F.concat(*tagged)))
+
+    def tagged(kind: str, names: Column) -> Column:
+        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    return sources.select(doc, F.inline(F.concat(*[tagged(k, names) for k, names in kinds.items()])))
 
 
 def docstrings(sources: DataFrame, doc: str, text: str) -> DataFrame:
