@@ -149,7 +149,16 @@ def snake_case_columns(df: DataFrame) -> DataFrame:
 
 
 def complete_cases(df: DataFrame, variables: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=[v for v in dict.fromkeys(variables)])
+    """Rows where every listed variable has a value; NaN is not a value.
+
+    One condition per column, so each can reach the scan on its own.
+    """
+    kept = df
+    for name in dict.fromkeys(variables):
+        kept = kept.filter(F.col(name).isNotNull())
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            kept = kept.filter(~F.isnan(name))
+    return kept
 
 
 def recode_sentinels(df: DataFrame, columns: Sequence[str] | None = None, sentinels: Sequence = SENTINELS) -> DataFrame:

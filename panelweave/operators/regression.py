@@ -144,15 +144,14 @@ def _row_scores(
         *dict.fromkeys([*keys, *carry]), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(variables)]
     )
     joined = _with_solution(named, solution, p, keys)
-    centred = [F.col(f"v{i}") - F.col(f"_m{i}") for i in range(p)]
-    fitted = centred[1] * F.element_at("_b", 1)
-    for j in range(2, p):
-        fitted = fitted + centred[j] * F.element_at("_b", j)
-    return joined.select(
-        *dict.fromkeys([*keys, *carry]),
-        (centred[0] - fitted).alias("u"),
-        *[centred[i].alias(f"x_{i}") for i in range(1, p)],
-    )
+    kept = list(dict.fromkeys([*keys, *carry]))
+    # Two projections: an expression that contains the others of its own
+    # projection makes Catalyst list every mixture of them as a constraint.
+    centred = joined.select(*kept, "_b", *[(F.col(f"v{i}") - F.col(f"_m{i}")).alias(f"x_{i}") for i in range(p)])
+    residual = F.col("x_0")
+    for j in range(1, p):
+        residual = residual - F.col(f"x_{j}") * F.element_at("_b", j)
+    return centred.select(*kept, residual.alias("u"), *[f"x_{i}" for i in range(1, p)])
 
 
 def _row_meat(cases: DataFrame, variables: Sequence[str], solution: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -271,15 +270,17 @@ def run_ols(
     keys: Sequence[str] = (),
     method: str = "t",
     all_terms: bool = False,
+    complete: bool = False,
 ) -> DataFrame:
     """OLS with intercept on complete cases, for each value of ``keys``.
 
     Rows are scanned once: plain and clustered fits need only the moments by
     key (and cluster).  ``robust`` adds a second pass for the residuals.
+    ``complete`` says that incomplete rows are gone already.
     """
     variables, keys = [y, *xs], list(keys)
     used = [*variables, *keys] + ([cluster] if cluster else [])
-    cases = complete_cases(df, used)
+    cases = df if complete else complete_cases(df, used)
     p = len(variables)
     if p > EXPRESSION_LIMIT:
         if keys:
@@ -409,7 +410,7 @@ def run_fe_estimation(
     rows = df if sample is None else df.filter(sample)
     carry = [c for c in (spec.unit, spec.time) if c in df.columns]
     valid, estimation = within_sample(rows, y, xs, chosen.fe, chosen.cluster, carry, iterations)
-    result = run_ols(estimation, y, xs, cluster=chosen.cluster, method=method)
+    result = run_ols(estimation, y, xs, cluster=chosen.cluster, method=method, complete=True)
     for column, label in ((spec.unit, "n_units"), (spec.time, "n_periods")):
         if column in carry:
             result = result.join(F.broadcast(valid.agg(F.count_distinct(column).alias(label))))
@@ -482,7 +483,7 @@ def event_study_regression(
     xs = [dummy_name(k) for k in periods]
     with_dummies = event_dummies(df, window, reference)
     _, estimation = within_sample(with_dummies, spec.outcome, xs, fe, cluster)
-    rows = run_ols(estimation, spec.outcome, xs, cluster=cluster, method=method, all_terms=True)
+    rows = run_ols(estimation, spec.outcome, xs, cluster=cluster, method=method, all_terms=True, complete=True)
     number = F.regexp_replace(F.substring("term", len("event_k") + 1, 10), "m", "-").cast("int")
     return rows.withColumn("event_time", number).drop("term")
 
