@@ -119,7 +119,7 @@ def derive_columns(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("date").alias("d"))
     clipped = cleaning.derive_columns(orders, clips={"price": (1000.0, None)})
     wide = cleaning.derive_columns(clipped, logs=["price"], date="d")
-    return wide.select("o_orderkey", "price", F.round("log_price", 6).alias("log_price"), "year", "month_period")
+    return rounded(wide.select("o_orderkey", "price", "log_price", "year", "month_period"), keep=["price"])
 
 
 @query(

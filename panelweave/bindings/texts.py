@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import manifest, textcheck
+from ..session import spread
 from ..sources.inventory import file_inventory, source_hints
 from .registry import query, r, rounded, table
 
@@ -27,7 +28,8 @@ CODE = f"""'\"\"\"' || text || '\"\"\"' || {_N} || 'import os' || {_N} || 'from
 
 
 def _docs(spark, sf, expression: str, *more: str):
-    return table(spark, sf, "documents").select("doc_id", F.expr(expression).alias("body"), *more)
+    docs = spread(table(spark, sf, "documents"))
+    return docs.select("doc_id", F.expr(expression).alias("body"), *more)
 
 
 def _sql(expression: str, *more: str) -> str:
@@ -80,8 +82,9 @@ def doc_abstract(spark, sf):
     f"with {_sql(MARKED)}, w as (select doc_id, {_WORDS} n from d) select doc_id, n <= 500 passed, 'error' severity, cast(n as varchar) actual_value, '<= 500' expected_value from w",
 )
 def doc_word_limit(spark, sf):
-    check = textcheck.word_count_check(F.col("body"), 500)
-    return _docs(spark, sf, MARKED).select("doc_id", F.inline(F.array(check))).drop("check_name")
+    counted = _docs(spark, sf, MARKED).select("doc_id", textcheck.count_words("body").alias("n_words"))
+    check = textcheck.word_count_check(F.col("n_words"), 500)
+    return counted.select("doc_id", F.inline(F.array(check))).drop("check_name")
 
 
 _SECTIONS = " union all ".join(

@@ -153,12 +153,12 @@ def complete_cases(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
     One condition per column, so each can reach the scan on its own.
     """
-    kept = df
+    known = F.lit(True)
     for name in dict.fromkeys(variables):
-        kept = kept.filter(F.col(name).isNotNull())
+        known = known & F.col(name).isNotNull()
         if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-            kept = kept.filter(~F.isnan(name))
-    return kept
+            known = known & ~F.isnan(name)
+    return df.filter(known)
 
 
 def recode_sentinels(df: DataFrame, columns: Sequence[str] | None = None, sentinels: Sequence = SENTINELS) -> DataFrame:

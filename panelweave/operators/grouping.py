@@ -64,7 +64,7 @@ def dense_codes(df: DataFrame, column: str, code: str, buckets: int = 256) -> Da
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Mapping[str, float], keys: Sequence[str] = (), buckets: int = 256
+    df: DataFrame, value: str, probabilities: Mapping[str, float], keys: Sequence[str] = (), buckets: int = 64
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key.
 

@@ -93,11 +93,33 @@ def solve(totals: DataFrame, p: int, keys: Sequence[str] = ()) -> DataFrame:
                 "rss": F.greatest(F.col("s_0_0") - slope * F.col("s_0_1"), F.when(ok, F.lit(0.0))),
             }
         )
+    if p == 3:
+        return _solve_pair(totals)
     packed = F.array(*[F.col(f"s_{i}_{j}") for i, j in pairs(p)])
     solved = totals.withColumn("_sol", _solve_system(packed))
     return solved.withColumns({c: F.col(f"_sol.{c}") for c in ("b", "inv", "rss")}).drop("_sol")
 
 
+def _solve_pair(totals: DataFrame) -> DataFrame:
+    """Two regressors by Cramer's rule."""
+    s = {(i, j): F.col(f"s_{i}_{j}") for i, j in pairs(3)}
+    sized = totals.withColumn("_det", s[1, 1] * s[2, 2] - s[1, 2] * s[1, 2])
+    # The determinant over s11 s22 is one minus the squared correlation.
+    ok = (F.col("n") > 2) & (F.col("_det") > s[1, 1] * s[2, 2] / F.lit(MAX_CONDITION))
+    det = F.when(ok, F.col("_det"))
+    first = F.try_divide(s[0, 1] * s[2, 2] - s[0, 2] * s[1, 2], det)
+    second = F.try_divide(s[0, 2] * s[1, 1] - s[0, 1] * s[1, 2], det)
+    cross = F.try_divide(-s[1, 2], det)
+    solved = sized.withColumns(
+        {
+            "b": F.when(ok, F.array(first, second)),
+            "inv": F.when(ok, F.array(F.try_divide(s[2, 2], det), cross, cross, F.try_divide(s[1, 1], det))),
+        }
+    )
+    rss = s[0, 0] - F.get("b", F.lit(0)) * s[0, 1] - F.get("b", F.lit(1)) * s[0, 2]
+    return solved.withColumn("rss", rss).drop("_det")
+
+
 def _with_solution(table: DataFrame, solution: DataFrame, p: int, keys: Sequence[str]) -> DataFrame:
     """Bring the solution of each key (or the single one) to a finer table."""
     slim = solution.select(*keys, F.col("b").alias("_b"), *[F.col(f"mu_{i}").alias(f"_m{i}") for i in range(p)])
@@ -412,7 +434,9 @@ def run_fe_estimation(
     valid, estimation = within_sample(rows, y, xs, chosen.fe, chosen.cluster, carry, iterations)
     result = run_ols(estimation, y, xs, cluster=chosen.cluster, method=method, complete=True)
     for column, label in ((spec.unit, "n_units"), (spec.time, "n_periods")):
-        if column in carry:
+        if column == chosen.cluster:
+            result = result.withColumn(label, F.col("n_clusters"))
+        elif column in carry:
             result = result.join(F.broadcast(valid.agg(F.count_distinct(column).alias(label))))
         else:
             result = result.withColumn(label, F.lit(0).cast("long"))

@@ -8,6 +8,7 @@ Tests cost tags, not scans.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,23 +116,63 @@ def first_covariate(df: DataFrame) -> str | None:
 
 def run_alternative_specs(df: DataFrame, spec: PanelSpec = PANEL, method: str = "t") -> DataFrame:
     """The main estimate, and the one with the first covariate as control."""
-    main = run_ols(df, spec.outcome, [spec.treatment], method=method).filter(F.col("n_obs") >= MIN_ROWS)
-    out = _shape(main, F.lit("main"), "specification", F.lit("Main specification (baseline)"))
+    return _estimate_tags(_tag(df, _spec_tests(df, spec), spec), first_covariate(df), method)
+
+
+def _spec_tests(df: DataFrame, spec: PanelSpec) -> dict[str, Column]:
+    control = first_covariate(df)
+    return {"main": F.lit(True)} | ({"with_control": F.col(control).isNotNull()} if control else {})
+
+
+def _tag(df: DataFrame, tests: Mapping[str, Column], spec: PanelSpec) -> DataFrame:
+    """One row per (test, row in its sample) with y, x and the control z."""
+    tags = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in tests.items()]))
     control = first_covariate(df)
+    z = F.coalesce(F.col(control), F.lit(0.0)) if control else F.lit(0.0)
+    known = F.col(spec.outcome).isNotNull() & F.col(spec.treatment).isNotNull()
+    return df.filter(known).select(
+        F.explode(tags).alias("test_name"),
+        F.col(spec.outcome).alias("y"),
+        F.col(spec.treatment).alias("x"),
+        z.alias("z"),
+    )
+
+
+def _estimate_tags(tagged: DataFrame, control: str | None, method: str, extra: Mapping[str, str] | None = None) -> DataFrame:
+    """Estimates of all tests from one moment table by test."""
+    table = group_moments(tagged, ["y", "x", "z"], ["test_name"])
+    narrow = table.filter(F.col("test_name") != "with_control")
+    rows = finish(solve(narrow, 2), ["x"], ["test_name"], None, method, False)
     if control:
-        wide = run_ols(df, spec.outcome, [spec.treatment, control], method=method)
-        wide = wide.filter((F.col("n_obs") >= MIN_ROWS) & F.col("identified"))
-        note = F.lit(f"Including {control} as control")
-        out = out.unionByName(_shape(wide, F.lit("with_control"), "specification", note))
-    return out
-
-
-def sample_tests(spec: PanelSpec = PANEL) -> dict[str, str]:
-    return {
-        "trim_endpoints": "Excluding first and last periods",
-        "subsample_80": "Random 80% subsample",
-        "trim_outliers": "Excluding 1st and 99th percentile outcomes",
+        wide = table.filter(F.col("test_name") == "with_control")
+        rows = rows.unionByName(finish(solve(wide, 3), ["x", "z"], ["test_name"], None, method, False))
+    notes = {
+        "main": "Main specification (baseline)",
+        "with_control": f"Including {control} as control",
+        **SAMPLE_NOTES,
+        **(extra or {}),
     }
+    note = F.create_map(*[F.lit(v) for pair in notes.items() for v in pair])[F.col("test_name")]
+    kept = rows.filter((F.col("n_obs") >= MIN_ROWS) & F.col("identified"))
+    kind = F.when(F.col("test_name").isin("main", "with_control"), "specification").otherwise("sample")
+    return kept.select(
+        "test_name",
+        kind.alias("test_type"),
+        "coefficient",
+        "std_error",
+        "p_value",
+        "n_obs",
+        (F.col("p_value") < 0.05).alias("significant"),
+        note.alias("description"),
+    )
+
+
+# The sample tests and what they say.
+SAMPLE_NOTES = {
+    "trim_endpoints": "Excluding first and last periods",
+    "subsample_80": "Random 80% subsample",
+    "trim_outliers": "Excluding 1st and 99th percentile outcomes",
+}
 
 
 def run_sample_restrictions(
@@ -147,17 +188,14 @@ def run_sample_restrictions(
     rows whose hash is below the exact 80 % quantile of the hashes, found by
     counting hash buckets.
     """
-    tagged = tag_samples(df, spec, extra, seed)
-    names = sample_tests(spec) | {name: f"Restricted to {name}" for name in (extra or {})}
-    rows = run_simple_ols(tagged, spec.outcome, spec.treatment, keys=["test_name"], method=method)
-    notes = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
-    return _shape(rows, F.col("test_name"), "sample", notes[F.col("test_name")])
+    wide, tests = _sample_conditions(df, spec, seed)
+    tests |= dict(extra or {})
+    notes = {name: f"Restricted to {name}" for name in (extra or {})}
+    return _estimate_tags(_tag(wide, tests, spec), None, method, notes)
 
 
-def tag_samples(
-    df: DataFrame, spec: PanelSpec = PANEL, extra: Mapping[str, Column] | None = None, seed: int = 42
-) -> DataFrame:
-    """One row per (test, row in its sample): test_name, outcome, treatment."""
+def _sample_conditions(df: DataFrame, spec: PanelSpec, seed: int) -> tuple[DataFrame, dict[str, Column]]:
+    """The panel with one-row bounds joined on, and each sample as a condition."""
     text = F.concat_ws("-", F.col(spec.unit).cast("string"), F.col(spec.time).cast("string"), F.lit(str(seed)))
     hashed = df.withColumn("_h", F.md5(text.cast("binary")))
     limits = exact_quantiles(df, spec.outcome, {"_lo": TRIM[0], "_hi": TRIM[1]})
@@ -167,13 +205,11 @@ def tag_samples(
     cut = _hash_cut(hashed, SUBSAMPLE)
     wide = hashed.join(F.broadcast(limits)).join(F.broadcast(axis)).join(F.broadcast(cut))
     inner = (F.col(spec.time) > F.col("_first")) & (F.col(spec.time) < F.col("_last")) & (F.col("_n") > 4)
-    tests: dict[str, Column] = {
+    return wide, {
         "trim_endpoints": inner,
         "subsample_80": F.col("_h") <= F.col("_cut"),
         "trim_outliers": F.col(spec.outcome).between(F.col("_lo"), F.col("_hi")),
-    } | dict(extra or {})
-    tags = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in tests.items()]))
-    return wide.select(F.explode(tags).alias("test_name"), spec.outcome, spec.treatment)
+    }
 
 
 def _hash_cut(hashed: DataFrame, fraction: float) -> DataFrame:
@@ -221,17 +257,18 @@ def run_battery(
     run_samples: bool = True,
 ) -> DataFrame:
     """All robustness results in one table."""
-    parts = []
+    wide, tests = _sample_conditions(df, spec, 42) if run_samples else (df, {})
     if run_specs:
-        parts.append(run_alternative_specs(df, spec, method))
+        tests = _spec_tests(df, spec) | tests
+    parts = []
+    if tests:
+        control = first_covariate(df) if run_specs else None
+        parts.append(_estimate_tags(_tag(wide, tests, spec), control, method))
     if run_placebos:
         parts.append(run_placebo_time(df, n_placebos, pre_period_end, spec, method))
-    if run_samples:
-        parts.append(run_sample_restrictions(df, spec, method))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(*COLUMNS)
+    if not parts:
+        raise ValueError("nothing to run")
+    return reduce(DataFrame.unionByName, parts).select(*COLUMNS)
 
 
 def placebo_results(battery: DataFrame) -> DataFrame:
