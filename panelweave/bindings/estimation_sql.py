@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from ..functions.inference import ERF_COEFFICIENTS, ERF_P, LARGE_DOF, Z_975
+from ..functions.inference import ERF_COEFFICIENTS, ERF_P, LARGE_DOF, T_EXPANSION, Z_975
 
 
 def p_sql(t: str, dof: str) -> str:
@@ -24,12 +24,8 @@ def p_sql(t: str, dof: str) -> str:
 
 
 def critical_sql(dof: str) -> str:
-    z = Z_975
-    small = (
-        f"{z} + {(z**3 + z) / 4} / {dof} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96} / ({dof} * {dof})"
-        f" + {(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384} / pow({dof}, 3)"
-    )
-    return f"(case when {dof} > {LARGE_DOF} then {z} else {small} end)"
+    small = " + ".join([f"{Z_975}", *[f"{c} / pow({dof}, {i})" for i, c in enumerate(T_EXPANSION, 1)]])
+    return f"(case when {dof} > {LARGE_DOF} then {Z_975} else {small} end)"
 
 
 def demean_sql(source: str, target: str, variables: Sequence[str], effects: Sequence[str], carry: Sequence[str]) -> str:

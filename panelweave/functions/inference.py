@@ -25,6 +25,13 @@ ERF_COEFFICIENTS = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.0614
 # 97.5 % normal quantile and its inverse-erf stand-in without the
 # factor sqrt(2), which is what the historical formula yields.
 Z_975 = 1.959963984540054
+# Abramowitz and Stegun 26.7.5: terms in 1/dof, 1/dof^2, ... of the t quantile.
+T_EXPANSION = (
+    (Z_975**3 + Z_975) / 4,
+    (5 * Z_975**5 + 16 * Z_975**3 + 3 * Z_975) / 96,
+    (3 * Z_975**7 + 19 * Z_975**5 + 17 * Z_975**3 - 15 * Z_975) / 384,
+    (79 * Z_975**9 + 776 * Z_975**7 + 1482 * Z_975**5 - 1920 * Z_975**3 - 945 * Z_975) / 92160,
+)
 _WINITZKI_A = 8 * (math.pi - 3) / (3 * math.pi * (4 - math.pi))
 # Fixed value: degrees of freedom above which the normal is used.
 LARGE_DOF = 100
@@ -68,10 +75,10 @@ def critical_value(dof, method: str = "t") -> Column:
     """Two-sided 5 % critical value."""
     dof = as_column(dof).cast("double")
     if method == "t":
-        z = Z_975
-        small = F.lit(z) + F.lit((z**3 + z) / 4) / dof + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96) / (dof * dof)
-        small = small + F.lit((3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384) / F.pow(dof, 3)
-        return F.when(dof > LARGE_DOF, F.lit(z)).otherwise(small)
+        small = F.lit(Z_975)
+        for power, coefficient in enumerate(T_EXPANSION, 1):
+            small = small + F.lit(coefficient) / F.pow(dof, power)
+        return F.when(dof > LARGE_DOF, F.lit(Z_975)).otherwise(small)
     if method == "estimation":
         log_term = math.log(1 - 0.95**2)
         inner = 2 / (math.pi * _WINITZKI_A) + log_term / 2
