@@ -9,6 +9,7 @@ shuffled join whose skewed partitions are split.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,18 @@ def attach_totals(df: DataFrame, stats: Mapping[str, Column]) -> DataFrame:
     return df.join(F.broadcast(table))
 
 
+def _with_coarse(table: DataFrame, bounds: str, width: int) -> DataFrame:
+    """Add every ``width``-th of the sorted bounds as ``_coarse``."""
+    return table.withColumn("_coarse", F.filter(bounds, lambda b, i: i % width == width - 1))
+
+
+def _bucket_of(value: Column, bounds: str, width: int) -> Column:
+    """How many sorted bounds are at or below a value, in two short looks."""
+    coarse = F.size(F.filter("_coarse", lambda b: b <= value)) * width
+    near = F.slice(bounds, coarse + 1, F.lit(width))
+    return coarse + F.size(F.filter(near, lambda b: b <= value))
+
+
 def _range_buckets(values: DataFrame, column: str, buckets: int) -> DataFrame:
     """Add ``_bucket``: an order-preserving bucket of a distinct column.
 
@@ -39,8 +52,9 @@ def _range_buckets(values: DataFrame, column: str, buckets: int) -> DataFrame:
         .limit(max(buckets - 1, 1))
         .agg(F.sort_array(F.collect_list(column)).alias("_bounds"))
     )
-    below = F.size(F.filter("_bounds", lambda b: b <= F.col(column)))
-    return values.join(F.broadcast(bounds)).withColumn("_bucket", below).drop("_bounds")
+    width = math.isqrt(buckets)
+    joined = values.join(F.broadcast(_with_coarse(bounds, "_bounds", width)))
+    return joined.withColumn("_bucket", _bucket_of(F.col(column), "_bounds", width)).drop("_bounds", "_coarse")
 
 
 def dense_codes(df: DataFrame, column: str, code: str, buckets: int = 256) -> DataFrame:
@@ -64,7 +78,7 @@ def dense_codes(df: DataFrame, column: str, code: str, buckets: int = 256) -> Da
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Mapping[str, float], keys: Sequence[str] = (), buckets: int = 64
+    df: DataFrame, value: str, probabilities: Mapping[str, float], keys: Sequence[str] = (), buckets: int = 256
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key.
 
@@ -83,9 +97,9 @@ def exact_quantiles(
         F.sum("_c").alias("_n"),
         F.array_distinct(F.percentile_approx("_v", steps, 4 * buckets)).alias("_bounds"),
     )
-    spread = _join_profile(counts, profile, keys).withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b <= F.col("_v")))
-    )
+    width = math.isqrt(buckets)
+    profile = _with_coarse(profile, "_bounds", width)
+    spread = _join_profile(counts, profile, keys).withColumn("_bucket", _bucket_of(F.col("_v"), "_bounds", width))
     sizes = spread.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_size"), F.first("_n").alias("_n"))
     by_key = Window.partitionBy(*keys).orderBy("_bucket")
     # At most ``buckets`` rows per key reach this window.
@@ -150,3 +164,64 @@ def hash_ranked_sample(df: DataFrame, keys: Sequence[str], fraction: float, seed
     order = Window.partitionBy("_b").orderBy("_h", *keys)
     edge = marked.filter("NOT _whole").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("_room"))
     return whole.unionByName(edge.select(*df.columns))
+
+
+#: Pieces a timeline is cut into; one unit may hold a third of all rows.
+TIME_CHUNKS = 64
+
+
+def _chunked(df: DataFrame, time: str, chunks: int) -> DataFrame:
+    """Add ``_chunk``: the same stretch of time for all units."""
+    steps = [i / chunks for i in range(1, chunks)]
+    bounds = df.agg(F.array_distinct(F.percentile_approx(time, steps, 10 * chunks)).alias("_bounds"))
+    width = math.isqrt(chunks)
+    joined = df.join(F.broadcast(_with_coarse(bounds, "_bounds", width)))
+    at = F.coalesce(_bucket_of(F.col(time), "_bounds", width), F.lit(-1))
+    return joined.withColumn("_chunk", at).select(*df.columns, "_chunk")
+
+
+def last_known(
+    df: DataFrame, unit: str, time: str, columns: Sequence[str], chunks: int = TIME_CHUNKS
+) -> DataFrame:
+    """Fill each column with the last known value of its unit, in time order.
+
+    Windows run inside chunks of a timeline.  What a chunk needs from before
+    it comes from a table with one row per unit and chunk.
+    """
+    cut = _chunked(df, time, chunks)
+    inside = Window.partitionBy(unit, "_chunk").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    filled = cut.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
+    ends = cut.groupBy(unit, "_chunk").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(f"_end_{i}") for i, c in enumerate(columns)]
+    )
+    # At most ``chunks`` rows per unit.
+    before = Window.partitionBy(unit).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        unit, "_chunk", *[F.last(f"_end_{i}", ignorenulls=True).over(before).alias(f"_end_{i}") for i in range(len(columns))]
+    )
+    joined = filled.join(carried, [unit, "_chunk"], "left")
+    return joined.withColumns({c: F.coalesce(c, f"_end_{i}") for i, c in enumerate(columns)}).select(*df.columns)
+
+
+def previous_row(
+    df: DataFrame, unit: str, time: str, columns: Mapping[str, str], chunks: int = TIME_CHUNKS
+) -> DataFrame:
+    """Add values of the row before within the unit; ``columns`` names them.
+
+    Same route as :func:`last_known`: only the first row of a chunk looks at
+    the chunk before.
+    """
+    cut = _chunked(df, time, chunks)
+    inside = Window.partitionBy(unit, "_chunk").orderBy(time)
+    sources, names = list(columns), list(columns.values())
+    lagged = cut.withColumns(
+        {"_first": F.row_number().over(inside) == 1} | {n: F.lag(c).over(inside) for c, n in columns.items()}
+    )
+    ends = cut.groupBy(unit, "_chunk").agg(*[F.max_by(c, time).alias(f"_end_{i}") for i, c in enumerate(sources)])
+    # At most ``chunks`` rows per unit.
+    order = Window.partitionBy(unit).orderBy("_chunk")
+    carried = ends.select(unit, "_chunk", *[F.lag(f"_end_{i}").over(order).alias(f"_end_{i}") for i in range(len(sources))])
+    joined = lagged.join(carried, [unit, "_chunk"], "left")
+    return joined.withColumns(
+        {n: F.when(F.col("_first"), F.col(f"_end_{i}")).otherwise(F.col(n)) for i, n in enumerate(names)}
+    ).select(*df.columns, *names)

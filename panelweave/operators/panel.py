@@ -2,21 +2,20 @@
 
 Unit-level values (first treated period, ever treated, cohort) come from one
 aggregate per unit that is joined back, so a unit with very many rows never
-forms one window.  Ordered windows (forward fill, differences, gaps) run over
-rows that are unique per unit and period, which bounds a window by the number
-of periods.
+forms one window.  Ordered work (forward fill, differences, gaps) runs inside
+stretches of a timeline, with the ends of earlier stretches carried over.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.specs import PANEL, PanelSpec
-from .grouping import attach_group_stats, attach_totals, dense_codes
+from .grouping import attach_group_stats, attach_totals, dense_codes, last_known, previous_row
 
 # Event-study window and the omitted reference period.
 EVENT_WINDOW = (-12, 12)
@@ -112,9 +111,8 @@ def full_grid(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
 
 def forward_fill(df: DataFrame, spec: PanelSpec = PANEL, columns: Sequence[str] | None = None) -> DataFrame:
     """Carry the last known value of each unit forward in period order."""
-    history = Window.partitionBy(spec.unit).orderBy(spec.time).rowsBetween(Window.unboundedPreceding, 0)
     names = columns or [c for c in df.columns if c not in (spec.unit, spec.time)]
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(history) for c in names})
+    return last_known(df, spec.unit, spec.time, names)
 
 
 def create_fixed_effects(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
@@ -190,27 +188,27 @@ def event_bins(df: DataFrame, window: tuple[int, int] = EVENT_WINDOW, spec: Pane
 
 def outcome_changes(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """First difference and percent change within units, z-score over all rows."""
-    history = Window.partitionBy(spec.unit).orderBy(spec.time)
-    y = F.col(spec.outcome)
-    before = F.lag(spec.outcome).over(history)
-    scaled = attach_totals(df, {"_mean": F.avg(spec.outcome), "_sd": F.stddev_samp(spec.outcome)})
+    y, before = F.col(spec.outcome), F.col("_before")
+    lagged = previous_row(df, spec.unit, spec.time, {spec.outcome: "_before"})
+    totals = df.agg(F.avg(spec.outcome).alias("_mean"), F.stddev_samp(spec.outcome).alias("_sd"))
+    scaled = lagged.join(F.broadcast(totals))
     return scaled.withColumns(
         {
             "outcome_change": y - before,
             "outcome_pct_change": F.try_divide(y - before, before) * 100,
             "outcome_zscore": F.try_divide(y - F.col("_mean"), F.col("_sd")),
         }
-    ).drop("_mean", "_sd")
+    ).drop("_mean", "_sd", "_before")
 
 
 def time_gaps(df: DataFrame, spec: PanelSpec = PANEL, step: int = 1) -> DataFrame:
     """One row per gap: unit, last period before, first after, periods missing."""
     seen = df.select(spec.unit, spec.time).dropna().distinct()
-    following = F.lead(spec.time).over(Window.partitionBy(spec.unit).orderBy(spec.time))
-    gaps = seen.withColumn("gap_end", following).filter(F.col("gap_end") - F.col(spec.time) > step)
-    missing = F.floor((F.col("gap_end") - F.col(spec.time)) / step) - 1
+    steps = previous_row(seen, spec.unit, spec.time, {spec.time: "gap_start"})
+    gaps = steps.filter(F.col(spec.time) - F.col("gap_start") > step)
+    missing = F.floor((F.col(spec.time) - F.col("gap_start")) / step) - 1
     return gaps.select(
-        spec.unit, F.col(spec.time).alias("gap_start"), "gap_end", missing.cast("long").alias("n_missing")
+        spec.unit, "gap_start", F.col(spec.time).alias("gap_end"), missing.cast("long").alias("n_missing")
     )
 
 

@@ -49,11 +49,12 @@ def _shape(df: DataFrame, name: Column, kind: str, description: Column) -> DataF
 def placebo_periods(df: DataFrame, n_placebos: int, pre_period_end: int, spec: PanelSpec = PANEL) -> DataFrame:
     """Fake start periods: the last ``n`` pre-treatment periods but one."""
     periods = df.select(F.col(spec.time).alias("placebo")).filter(F.col(spec.time) < pre_period_end).distinct()
-    # The table of distinct periods is a time axis.
-    order = Window.orderBy(F.desc("placebo"))
+    # Whether there are two more than asked for is all the count decides, so
+    # the latest few periods tell everything.
+    latest = periods.orderBy(F.desc("placebo")).limit(n_placebos + 2)
     count = F.count(F.lit(1)).over(Window.partitionBy())
     take = F.when(count < n_placebos + 2, F.greatest(F.lit(1), count - 2)).otherwise(n_placebos)
-    ranked = periods.select("placebo", F.row_number().over(order).alias("_r"), take.alias("_take"))
+    ranked = latest.select("placebo", F.row_number().over(Window.orderBy(F.desc("placebo"))).alias("_r"), take.alias("_take"))
     return ranked.filter((F.col("_r") > 1) & (F.col("_r") <= F.col("_take") + 1)).select("placebo")
 
 

@@ -100,3 +100,22 @@ def test_skeleton_and_entry(spark):
     late = spark.createDataFrame([(9, 5, 5)], "id bigint, period int, entry_period int")
     out = panel.panel_entry_exit(wide, exits, late)
     assert out.count() == 3 + 72 + 1 and out.filter("id = 9").first()["entry_period"] == 5
+
+
+def test_chunked_timelines_match_plain_windows(spark):
+    from pyspark.sql import Window
+
+    from panelweave.operators.grouping import last_known, previous_row
+
+    # Unit 0 holds a third of all rows; values have holes at chunk borders.
+    rows = [(0, t, None if t % 7 < 4 else float(t)) for t in range(400)]
+    rows += [(u, t, None if (u + t) % 3 else float(u + t)) for u in range(1, 41) for t in range(0, 400, 20) if (u * t) % 5]
+    df = spark.createDataFrame(rows, "id int, period int, v double")
+    w = Window.partitionBy("id").orderBy("period")
+    plain = df.select("id", "period", F.last("v", ignorenulls=True).over(w).alias("f"), F.lag("v").over(w).alias("p"), F.lag("period").over(w).alias("t"))
+    expected = {(r["id"], r["period"]): (r["f"], r["p"], r["t"]) for r in plain.collect()}
+    for chunks in (4, 16, 64):
+        filled = {(r["id"], r["period"]): r["v"] for r in last_known(df, "id", "period", ["v"], chunks).collect()}
+        before = {(r["id"], r["period"]): (r["p"], r["t"]) for r in previous_row(df, "id", "period", {"v": "p", "period": "t"}, chunks).collect()}
+        assert filled == {k: v[0] for k, v in expected.items()}
+        assert before == {k: v[1:] for k, v in expected.items()}
