@@ -234,6 +234,18 @@ def validate_customer(spark, sf):
     return validator.results(table(spark, sf, "customer")).select(*_VERDICT)
 
 
+@query("string_length", _rule_sql("supplier", [("string_length:s_name", "error", "count(*) filter (where length(s_name) < 18 or length(s_name) > 18)")]))
+def string_length(spark, sf):
+    rule = rules.string_length("s_name", 18, 18, severity="error")
+    return rules.DataValidator().add_rule(rule).results(table(spark, sf, "supplier")).select(*_VERDICT)
+
+
+@query("value_pattern", _rule_sql("part", [("value_pattern:p_brand", "error", "count(*) filter (where not regexp_matches(p_brand, '^Brand#1[0-9]?$'))")]))
+def value_pattern(spark, sf):
+    rule = rules.value_pattern("p_brand", "Brand#1[0-9]?$")
+    return rules.DataValidator().add_rule(rule).results(table(spark, sf, "part")).select(*_VERDICT)
+
+
 @query(
     "validate_lineitem",
     _rule_sql(

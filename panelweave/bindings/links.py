@@ -209,9 +209,27 @@ def link_equal(spark, sf):
     return fuzzy.best_matches(_garbled(spark, sf), part, "garbled", "p_name", method="equal")
 
 
-@query("link_jaro_winkler")
+#: Jaro-Winkler step by step: each left character takes the first free equal
+#: right character in reach; taken right characters are overwritten.
+_JARO = f"""with recursive {_NAMES},
+pa as (select l, r, n_parts, lower(l) a, lower(r) b, greatest(greatest(length(l), length(r)) // 2 - 1, 0) reach from ln, rn),
+st as (select l, r, a, b, reach, 0 i, b rest, '' taken from pa
+ union all
+ select l, r, a, b, reach, i + 1, case when p > 0 then substr(rest, 1, lo + p - 2) || chr(1) || substr(rest, lo + p) else rest end, taken || case when p > 0 then c else '' end
+ from (select *, strpos(substr(rest, lo, i + reach + 2 - lo), c) p from
+   (select *, substr(a, i + 1, 1) c, greatest(1, i + 1 - reach) lo from st where i < length(a)))),
+fin as (select l, r, a, b, length(taken) m, taken,
+  array_to_string(list_transform(list_filter(range(1, length(b) + 1), lambda k: substr(rest, k, 1) = chr(1)), lambda k: substr(b, k, 1)), '') other from st where i = length(a)),
+ja as (select l, r, a, b, case when a = b then 1.0 when m = 0 then 0.0 else (m / (length(a) * 1.0) + m / (length(b) * 1.0)
+  + (m - len(list_filter(range(1, m + 1), lambda k: substr(taken, k, 1) <> substr(other, k, 1))) / 2.0) / m) / 3 end j from fin),
+sc as (select l, r, j + 0.1 * (case when a[1:4] = b[1:4] and length(a) >= 4 and length(b) >= 4 then 4 when a[1:3] = b[1:3] and length(a) >= 3 then 3
+  when a[1:2] = b[1:2] and length(a) >= 2 then 2 when a[1:1] = b[1:1] then 1 else 0 end) * (1 - j) s from ja),
+be as (select *, row_number() over (partition by l order by round(s, 9) desc, r) k from sc where s >= 0.8)
+select p_partkey, garbled, be.r match_value, {r('s', 'match_score')}, be.r p_name, n_parts from g left join be on garbled = l and k = 1 left join rn on be.r = rn.r"""
+
+
+@query("link_jaro_winkler", _JARO)
 def link_jaro_winkler(spark, sf):
-    """Half transpositions count here, which no SQL function computes."""
     linked, _ = fuzzy.fuzzy_match(_garbled(spark, sf), _names(spark, sf), "garbled", "p_name", 0.8, "jaro_winkler")
     return rounded(linked.drop("p_brand"))
 
