@@ -40,21 +40,24 @@ def _bucket_of(value: Column, bounds: str, width: int) -> Column:
     return coarse + F.size(F.filter(near, lambda b: b <= value))
 
 
-def _range_buckets(values: DataFrame, column: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``: an order-preserving bucket of a distinct column.
+def _range_bounds(values: DataFrame, column: str, buckets: int) -> DataFrame:
+    """One row with sorted bucket bounds of a distinct column of exact values.
 
-    The boundaries are the values with the ``buckets - 1`` smallest hashes.
-    They only decide how evenly the work is spread; every value keeps its
-    bucket however they fall, and a rerun of a lost task picks the same ones.
+    The bounds are the values with the ``buckets - 1`` smallest hashes.  They
+    only decide how evenly the work is spread; every value keeps its bucket
+    however they fall.  A sketch would not do: its result depends on the order
+    in which parts arrive, and a plan that reads it twice must see one answer.
     """
-    bounds = (
-        values.orderBy(F.xxhash64(column), column)
-        .limit(max(buckets - 1, 1))
-        .agg(F.sort_array(F.collect_list(column)).alias("_bounds"))
-    )
-    width = math.isqrt(buckets)
-    joined = values.join(F.broadcast(_with_coarse(bounds, "_bounds", width)))
-    return joined.withColumn("_bucket", _bucket_of(F.col(column), "_bounds", width)).drop("_bounds", "_coarse")
+    picked = values.orderBy(F.xxhash64(column), column).limit(max(buckets - 1, 1))
+    bounds = picked.agg(F.sort_array(F.collect_list(column)).alias("_bounds"))
+    return _with_coarse(bounds, "_bounds", math.isqrt(buckets))
+
+
+def _range_buckets(values: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Add ``_bucket``: an order-preserving bucket of a distinct column."""
+    joined = values.join(F.broadcast(_range_bounds(values, column, buckets)))
+    at = _bucket_of(F.col(column), "_bounds", math.isqrt(buckets))
+    return joined.withColumn("_bucket", at).drop("_bounds", "_coarse")
 
 
 def dense_codes(df: DataFrame, column: str, code: str, buckets: int = 256) -> DataFrame:
@@ -77,56 +80,73 @@ def dense_codes(df: DataFrame, column: str, code: str, buckets: int = 256) -> Da
     )
 
 
+def _equal_width(value: Column, low: Column, high: Column, buckets: int) -> Column:
+    """Bucket of a value between two exact bounds; 0 when they coincide."""
+    share = F.try_divide(value - low, high - low) * buckets
+    return F.coalesce(F.least(F.floor(share), F.lit(buckets - 1)), F.lit(0)).cast("int")
+
+
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Mapping[str, float], keys: Sequence[str] = (), buckets: int = 256
+    df: DataFrame, value: str, probabilities: Mapping[str, float], keys: Sequence[str] = (), buckets: int = 4096
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key.
 
-    Equal values are counted together first.  A histogram over approximate
-    quantile bounds then finds the bucket of each wanted position, and only
-    the values of those buckets are ranked.  No task sees all values of a key.
+    Equal values are counted together first.  A histogram between minimum and
+    maximum finds the bucket of each wanted position, a second histogram
+    inside those buckets narrows them, and only the values of the buckets left
+    are ranked.  No task sees all values of a key.  Minimum and maximum do not
+    depend on the order of rows, so every reading of the plan cuts alike.
     """
     keys = list(keys)
     counts = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
+        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    steps = [i / buckets for i in range(1, buckets)]
-    profile = counts.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"),
-        F.array_distinct(F.percentile_approx("_v", steps, 4 * buckets)).alias("_bounds"),
-    )
-    width = math.isqrt(buckets)
-    profile = _with_coarse(profile, "_bounds", width)
-    spread = _join_profile(counts, profile, keys).withColumn("_bucket", _bucket_of(F.col("_v"), "_bounds", width))
-    sizes = spread.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_size"), F.first("_n").alias("_n"))
-    by_key = Window.partitionBy(*keys).orderBy("_bucket")
-    # At most ``buckets`` rows per key reach this window.
-    cumulative = sizes.withColumn("_until", F.sum("_size").over(by_key)).withColumn(
-        "_from", F.col("_until") - F.col("_size")
+    ranges = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_c").alias("_n"))
+    spread = (counts.join(ranges, keys) if keys else counts.join(F.broadcast(ranges))).withColumn(
+        "_b1", _equal_width(F.col("_v"), F.col("_low"), F.col("_high"), buckets)
     )
-    targets = F.array(
+    positions = F.array(
         *[
             F.struct(F.lit(name).alias("_name"), ((F.col("_n") - 1) * F.lit(float(p))).alias("_at"))
             for name, p in probabilities.items()
         ]
     )
+    # At most ``buckets`` rows per key reach each of the two running sums.
+    first = spread.groupBy(*keys, "_b1").agg(
+        F.sum("_c").alias("_size"), F.max("_n").alias("_n"), F.min("_v").alias("_low1"), F.max("_v").alias("_high1")
+    )
+    until = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_b1"))
     wanted = (
-        cumulative.select(*keys, "_bucket", "_from", "_until", F.inline(targets))
-        .withColumn("_lo", F.floor("_at"))
-        .withColumn("_hi", F.ceil("_at"))
-        .filter((F.col("_lo") < F.col("_until")) & (F.col("_hi") >= F.col("_from")))
+        first.withColumn("_until", until)
+        .withColumn("_from", F.col("_until") - F.col("_size"))
+        .select(*keys, "_b1", "_from", "_until", "_low1", "_high1", F.inline(positions))
+        .filter(_reaches())
     )
-    needed = wanted.select(*keys, "_bucket", "_from").distinct()
-    inside = spread.select(*keys, "_bucket", "_v", "_c").join(needed, [*keys, "_bucket"])
-    running = Window.partitionBy(*keys, "_bucket").orderBy("_v")
-    ranked = inside.withColumn("_last", F.sum("_c").over(running) + F.col("_from") - 1).withColumn(
-        "_first", F.col("_last") - F.col("_c") + 1
+    edges = wanted.select(*keys, "_b1", "_from", "_low1", "_high1").distinct()
+    inside = spread.select(*keys, "_b1", "_v", "_c").join(edges, [*keys, "_b1"])
+    narrowed = inside.withColumn("_b2", _equal_width(F.col("_v"), F.col("_low1"), F.col("_high1"), buckets))
+    second = narrowed.groupBy(*keys, "_b1", "_b2").agg(F.sum("_c").alias("_size"), F.max("_from").alias("_start"))
+    until = F.sum("_size").over(Window.partitionBy(*keys, "_b1").orderBy("_b2")) + F.col("_start")
+    closer = (
+        second.withColumn("_until", until)
+        .withColumn("_from", F.col("_until") - F.col("_size"))
+        .join(wanted.select(*keys, "_b1", "_name", "_at"), [*keys, "_b1"])
+        .filter(_reaches())
+        .select(*keys, "_b1", "_b2", "_from", "_name", "_at")
     )
-    hits = ranked.join(wanted.drop("_from", "_until"), [*keys, "_bucket"])
-    low = F.max(F.when(F.col("_lo").between(F.col("_first"), F.col("_last")), F.col("_v")))
-    high = F.max(F.when(F.col("_hi").between(F.col("_first"), F.col("_last")), F.col("_v")))
+    left = closer.select(*keys, "_b1", "_b2", F.col("_from").alias("_offset")).distinct()
+    running = Window.partitionBy(*keys, "_b1", "_b2").orderBy("_v")
+    ranked = (
+        narrowed.select(*keys, "_b1", "_b2", "_v", "_c")
+        .join(left, [*keys, "_b1", "_b2"])
+        .withColumn("_last", F.sum("_c").over(running) + F.col("_offset") - 1)
+        .withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    )
+    hits = ranked.join(closer.drop("_from"), [*keys, "_b1", "_b2"])
+    low = F.max(F.when(F.floor("_at").between(F.col("_first"), F.col("_last")), F.col("_v")))
+    high = F.max(F.when(F.ceil("_at").between(F.col("_first"), F.col("_last")), F.col("_v")))
     picked = hits.groupBy(*keys, "_name").agg(low.alias("_lv"), high.alias("_hv"), F.first("_at").alias("_at"))
     share = F.col("_at") - F.floor("_at")
     solved = picked.withColumn("_q", F.col("_lv") + (F.col("_hv") - F.col("_lv")) * share)
@@ -135,8 +155,9 @@ def exact_quantiles(
     )
 
 
-def _join_profile(counts: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
-    return counts.join(profile, keys) if keys else counts.join(F.broadcast(profile))
+def _reaches() -> Column:
+    """Whether a run of positions holds the floor or ceiling of ``_at``."""
+    return (F.floor("_at") < F.col("_until")) & (F.ceil("_at") >= F.col("_from"))
 
 
 def hash_ranked_sample(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
@@ -171,12 +192,14 @@ TIME_CHUNKS = 64
 
 
 def _chunked(df: DataFrame, time: str, chunks: int) -> DataFrame:
-    """Add ``_chunk``: the same stretch of time for all units."""
-    steps = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.array_distinct(F.percentile_approx(time, steps, 10 * chunks)).alias("_bounds"))
-    width = math.isqrt(chunks)
-    joined = df.join(F.broadcast(_with_coarse(bounds, "_bounds", width)))
-    at = F.coalesce(_bucket_of(F.col(time), "_bounds", width), F.lit(-1))
+    """Add ``_chunk``: the same stretch of time for all units.
+
+    Chunks hold about equally many distinct periods, so a unit with very many
+    periods is cut evenly.
+    """
+    axis = df.select(time).filter(F.col(time).isNotNull()).distinct()
+    joined = df.join(F.broadcast(_range_bounds(axis, time, chunks)))
+    at = F.coalesce(_bucket_of(F.col(time), "_bounds", math.isqrt(chunks)), F.lit(-1))
     return joined.withColumn("_chunk", at).select(*df.columns, "_chunk")
 
 
