@@ -45,13 +45,12 @@ def group_moments(df: DataFrame, variables: Sequence[str], keys: Sequence[str] =
     return doubles.groupBy(*keys).agg(*aggs)
 
 
-def wide_moments(df: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """One row (n, mu, s) for many variables: ``mu`` and the upper triangle
-    ``s`` are arrays in the order of :func:`pairs`.
+def product_sums(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """One row (n, sums, products) for many variables.
 
-    Each Arrow batch is reduced to its own moments by one matrix product, and
-    the batches are added up by position.  Meant for columns centred near
-    zero, as dummies and demeaned values are.
+    ``products`` is the upper triangle, in the order of :func:`pairs`, of the
+    sums of products.  Each task reduces its Arrow batches to one set of sums
+    by matrix products, and the tasks are added up by position.
     """
     p = len(variables)
     upper = np.triu_indices(p)
@@ -73,17 +72,25 @@ def wide_moments(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     # One array of 1 + p + p (p + 1) / 2 numbers.
     flat = parts.agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("flat"))
     numbers = F.transform("flat", lambda e: e["value"])
-    split = flat.select(
+    return flat.select(
         F.element_at(numbers, 1).alias("n"),
         F.slice(numbers, 2, p).alias("sums"),
-        F.slice(numbers, p + 2, len(upper[0])).alias("raw"),
+        F.slice(numbers, p + 2, len(upper[0])).alias("products"),
     )
-    mean = F.transform("sums", lambda v: v / F.col("n"))
-    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs(p)])
-    centred = F.zip_with(
-        "raw", at, lambda v, ij: v - F.col("n") * F.get(F.col("mu"), ij["i"]) * F.get(F.col("mu"), ij["j"])
+
+
+def wide_moments(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """One row (n, mu, s) for many variables, ``s`` centred.  Meant for columns
+    near zero already, as dummies and demeaned values are."""
+    p = len(variables)
+    n = F.col("n")
+    means = product_sums(df, variables).withColumn("mu", F.transform("sums", lambda v: v / n))
+    # Row and column of each triangle entry, as two constant arrays.
+    rows, columns = (F.expr(f"array({', '.join(str(pair[side]) for pair in pairs(p))})") for side in (0, 1))
+    centred = F.transform(
+        "products", lambda v, k: v - n * F.get(F.col("mu"), F.get(rows, k)) * F.get(F.col("mu"), F.get(columns, k))
     )
-    return split.withColumn("mu", mean).select("n", "mu", centred.alias("s"))
+    return means.select("n", "mu", centred.alias("s"))
 
 
 def combine(table: DataFrame, p: int, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:

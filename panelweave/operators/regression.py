@@ -21,7 +21,7 @@ from ..plans.specs import PANEL, SPECIFICATIONS, PanelSpec, Specification
 from ..session import cut_lineage
 from .cleaning import complete_cases
 from .grouping import attach_group_stats
-from .moments import EXPRESSION_LIMIT, combine, group_moments, pairs, remove, wide_moments
+from .moments import EXPRESSION_LIMIT, combine, group_moments, pairs, product_sums, remove, wide_moments
 from .panel import EVENT_WINDOW, REFERENCE_PERIOD, dummy_name, event_dummies
 
 #: A scaled design with a larger condition number counts as rank deficient.
@@ -204,12 +204,14 @@ def _wide_ols(cases: DataFrame, variables: Sequence[str], cluster: str | None, r
     solution = _wide_solution(cases, variables)
     if not cluster and not robust:
         return finish(solution, terms, [], None, method, all_terms)
+    names = [f"score_{i}" for i in range(1, k + 1)]
+    rows = _row_scores(cases, variables, solution, [], [cluster] if cluster else [])
+    scores = {name: F.col("u") * F.col(f"x_{i}") for i, name in enumerate(names, 1)}
     if cluster:
-        rows = _row_scores(cases, variables, solution, [], [cluster])
-        scores = rows.select(cluster, *[(F.col("u") * F.col(f"x_{i}")).alias(f"score_{i}") for i in range(1, k + 1)])
-        meat = score_meat(scores, k, [cluster])
+        summed = rows.groupBy(cluster).agg(*[F.sum(c).alias(name) for name, c in scores.items()])
     else:
-        meat = _row_meat(cases, variables, solution, [])
+        summed = rows.select(*[c.alias(name) for name, c in scores.items()])
+    meat = product_sums(summed, names).select(F.col("products").alias("meat"), F.col("n").alias("n_clusters"))
     return finish(solution.join(F.broadcast(meat)), terms, [], "meat", method, all_terms)
 
 
