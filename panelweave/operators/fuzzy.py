@@ -4,7 +4,8 @@ Both sides are reduced to distinct strings.  Equal strings are settled by an
 equi-join.  For the rest, candidate pairs come from an equi-join on rare
 tokens that provably finds every pair at or above the threshold, candidates
 are scored where they are found, and the best partner of each left string is
-taken by an aggregate with map-side combine.  There is no cap on candidates.
+taken by an aggregate with map-side combine.  There is no cap on candidates;
+frequent tokens are dealt to shares so that no task meets all their pairs.
 
 Why no pair is lost: write a string as a set of numbered q-grams (the second
 "ab" differs from the first).  If every pair above the threshold shares at
@@ -23,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import MAX_PREFIX, PREFIX_BONUS, jaro_winkler, levenshtein_similarity
+from .grouping import salted_join
 from .linkage import match_summary
 
 # Default and recommended thresholds.
 FUZZY_THRESHOLD = 0.8
 BLOCKED_THRESHOLD = 0.85
+NEAR_COPY = 0.9
 METHODS = ("levenshtein", "jaro_winkler", "contains")
 _EPS = 1e-9
 
@@ -88,12 +91,16 @@ def best_matches(
     tagged = lefts.withColumn("lower_l", F.lower("l")).join(equal, [*block, "lower_l"], "left")
     settled = tagged.filter(F.col("r").isNotNull()).select(*block, "l", "r", F.lit(1.0).alias("score"))
     open_left = tagged.filter(F.col("r").isNull()).select(*block, "l")
-    if method == "levenshtein":
-        scored = _levenshtein_pairs(open_left, rights, block, threshold)
-    else:
+    if method == "jaro_winkler":
         scored = _jaro_winkler_pairs(open_left, rights, block, threshold)
-    best = _best(scored, block)
-    return _named(settled.unionByName(best), block)
+        return _named(settled.unionByName(_best(scored, block)), block)
+    # Near copies are settled first: a high threshold needs few tokens per
+    # string, and a left string with such a partner is done.
+    for level in [t for t in (NEAR_COPY,) if t > threshold] + [threshold]:
+        best = _best(_levenshtein_pairs(open_left, rights, block, level), block)
+        settled = settled.unionByName(best)
+        open_left = open_left.join(best.select(*block, "l"), [*block, "l"], "left_anti")
+    return _named(settled, block)
 
 
 def _named(df: DataFrame, block: list[str]) -> DataFrame:
@@ -119,7 +126,8 @@ def _grams(text: Column, q: int) -> Column:
     """Numbered q-grams of a string; empty when it is shorter than q."""
     starts = F.when(F.length(text) >= q, F.sequence(F.lit(1), F.length(text) - (q - 1)))
     grams = F.array_sort(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(q))))
-    return F.transform(grams, lambda g, i: F.struct(g.alias("g"), (i - F.array_position(grams, g)).cast("int").alias("k")))
+    # All grams have q characters, so the number can simply follow.
+    return F.transform(grams, lambda g, i: F.concat(g, (i - F.array_position(grams, g)).cast("string")))
 
 
 def _with_prefix(df: DataFrame, name: str, block: list[str], q: int, order: DataFrame, overlap: Column) -> DataFrame:
@@ -147,8 +155,14 @@ def _token_order(rights: DataFrame, q: int) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
 
 
-def _candidates(lefts: DataFrame, rights: DataFrame, block: list[str], q: int, overlap: Column) -> DataFrame:
-    """Every pair whose prefixes share a token, once each."""
+def _candidates(
+    lefts: DataFrame, rights: DataFrame, block: list[str], q: int, overlap: Column, once: bool
+) -> DataFrame:
+    """Every pair whose prefixes share a token.
+
+    With ``once`` a pair is kept only at its first common token.  Without, it
+    may come up again; a cheap score then costs less than the comparison.
+    """
     order = _token_order(rights, q)
     a = _with_prefix(lefts, "l", block, q, order, overlap).withColumnsRenamed(
         {"len": "len_l", "prefix": "prefix_l", "all_tokens": "tokens_l"}
@@ -156,8 +170,10 @@ def _candidates(lefts: DataFrame, rights: DataFrame, block: list[str], q: int, o
     b = _with_prefix(rights, "r", block, q, order, overlap).withColumnsRenamed(
         {"len": "len_r", "prefix": "prefix_r", "all_tokens": "tokens_r"}
     )
-    first_common = F.element_at(F.array_intersect("prefix_l", "prefix_r"), 1)
-    return a.join(b, [*block, "token"]).filter(first_common == F.col("token"))
+    pairs = salted_join(a, b, [*block, "token"], ["r"])
+    if not once:
+        return pairs
+    return pairs.filter(F.element_at(F.array_intersect("prefix_l", "prefix_r"), 1) == F.col("token"))
 
 
 def gram_size(threshold: float) -> int:
@@ -185,7 +201,7 @@ def _levenshtein_pairs(lefts: DataFrame, rights: DataFrame, block: list[str], th
     q = gram_size(threshold)
     slack = 1.0 - threshold
     overlap = F.ceil(F.col("len") * (1.0 - q * slack) - (q - 1) - _EPS).cast("int")
-    pairs = _candidates(lefts, rights, block, q, overlap)
+    pairs = _candidates(lefts, rights, block, q, overlap, once=False)
     shorter, longer = F.least("len_l", "len_r"), F.greatest("len_l", "len_r")
     close = pairs.filter(longer - shorter <= F.floor(longer * slack + _EPS))
     scored = close.withColumn("score", levenshtein_similarity("l", "r"))
@@ -209,7 +225,7 @@ def _jaro_winkler_pairs(lefts: DataFrame, rights: DataFrame, block: list[str], t
 
     overlap = F.greatest(F.lit(1), F.ceil(F.col("len") * needed_share(MAX_PREFIX - 1) - _EPS)).cast("int")
     head_l, head_r = F.substring(F.lower("l"), 1, MAX_PREFIX), F.substring(F.lower("r"), 1, MAX_PREFIX)
-    partial = _candidates(lefts, rights, block, 1, overlap).filter(
+    partial = _candidates(lefts, rights, block, 1, overlap, once=True).filter(
         (head_l != head_r) | (F.least("len_l", "len_r") < MAX_PREFIX)
     )
     sides = []
@@ -219,7 +235,7 @@ def _jaro_winkler_pairs(lefts: DataFrame, rights: DataFrame, block: list[str], t
         sides.append(
             full.withColumn(f"tokens_{name}", _grams(lower, 1)).withColumn("head", F.substring(lower, 1, MAX_PREFIX))
         )
-    shared = sides[0].join(sides[1], [*block, "head"])
+    shared = salted_join(sides[0], sides[1], [*block, "head"], ["r"])
     columns = [*block, "l", "r", "len_l", "len_r", "tokens_l", "tokens_r"]
     pairs = partial.select(*columns).unionByName(shared.select(*columns))
     common = F.size(F.array_intersect("tokens_l", "tokens_r"))
@@ -243,7 +259,7 @@ def _containing(lefts: DataFrame, rights: DataFrame, block: list[str], width: in
     """
     size = F.least(F.length(F.lower("l")), F.lit(width))
     pieces = [
-        rights.select(*block, "r", F.explode(F.array_distinct(F.transform(_grams(F.lower("r"), q), lambda t: t["g"]))).alias("gram"))
+        rights.select(*block, "r", F.explode(F.array_distinct(F.transform(_grams(F.lower("r"), q), lambda t: F.substring(t, 1, q)))).alias("gram"))
         for q in range(1, width + 1)
     ]
     index = pieces[0]
@@ -258,7 +274,7 @@ def _containing(lefts: DataFrame, rights: DataFrame, block: list[str], width: in
     weighed = grams.join(frequency, [*block, "gram"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
     rarest = weighed.groupBy(*block, "l").agg(F.min(F.struct("f", "gram")).alias("key")).filter(F.col("key.f") > 0)
     keyed = rarest.select(*block, "l", F.col("key.gram").alias("gram"))
-    hits = keyed.join(index, [*block, "gram"]).filter(F.contains(F.lower("r"), F.lower("l")))
+    hits = salted_join(keyed, index, [*block, "gram"], ["r"]).filter(F.contains(F.lower("r"), F.lower("l")))
     best = hits.groupBy(*block, "l").agg(F.min("r").alias("r"))
     # The empty string is inside every string.
     smallest = rights.groupBy(*block).agg(F.min("r").alias("r"))

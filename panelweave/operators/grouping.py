@@ -28,6 +28,32 @@ def attach_totals(df: DataFrame, stats: Mapping[str, Column]) -> DataFrame:
     return df.join(F.broadcast(table))
 
 
+#: Right rows per key that one task should meet in a candidate join.
+KEY_SHARE = 1000
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str], share: int = KEY_SHARE
+) -> DataFrame:
+    """Inner join whose frequent right keys are cut into shares.
+
+    Skew splitting looks at bytes, but in a candidate join the work of a key
+    is the product of both sides, and few bytes can make very many pairs.  The
+    right rows of a frequent key are dealt to shares by a hash of
+    ``spread_by``; its left rows visit every share.  Other keys have one share.
+    """
+    keys = list(keys)
+    frequent = (
+        right.groupBy(*keys)
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).cast("int").alias("_shares"))
+        .filter(F.col("_shares") > 1)
+    )
+    shares = F.coalesce("_shares", F.lit(1))
+    dealt = right.join(frequent, keys, "left").withColumn("_share", F.pmod(F.xxhash64(*spread_by), shares).cast("int"))
+    visiting = left.join(frequent, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    return visiting.drop("_shares").join(dealt.drop("_shares"), [*keys, "_share"]).drop("_share")
+
+
 def _with_coarse(table: DataFrame, bounds: str, width: int) -> DataFrame:
     """Add every ``width``-th of the sorted bounds as ``_coarse``."""
     return table.withColumn("_coarse", F.filter(bounds, lambda b, i: i % width == width - 1))

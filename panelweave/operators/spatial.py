@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import EARTH_RADIUS_M, haversine_m
+from .grouping import salted_join
 from .linkage import match_summary
 
 
@@ -84,7 +85,7 @@ def _nearest_in_grid(lefts: DataFrame, rights: DataFrame, radius: float) -> Data
     home = column_of("lon_l", F.col("n_cols"))
     cells = F.array_distinct(F.array(*[F.pmod(home + F.lit(d), F.col("n_cols")) for d in (-1, 0, 1)]))
     probing = around.withColumn("col", F.explode(cells))
-    pairs = probing.join(placed, ["row", "col"]).withColumn("d", haversine_m("lat_l", "lon_l", "lat_r", "lon_r"))
+    pairs = salted_join(probing, placed, ["row", "col"], ["lat_r", "lon_r"]).withColumn("d", haversine_m("lat_l", "lon_l", "lat_r", "lon_r"))
     inside = pairs.filter(F.col("d") <= radius)
     best = inside.groupBy("lat_l", "lon_l").agg(F.min(F.struct("d", "key_r")).alias("best"))
     return best.select("lat_l", "lon_l", F.col("best.key_r").alias("match_key"), F.col("best.d").alias("distance_m"))

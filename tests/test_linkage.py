@@ -205,3 +205,12 @@ def test_map_group_value(spark):
     df = spark.createDataFrame([(1, 5), (1, 7), (2, 1)], "u int, v int")
     out = linkage.map_group_value(df, "u", F.max("v"), "top")
     assert sorted(map(tuple, out.collect())) == [(1, 5, 7), (1, 7, 7), (2, 1, 1)]
+
+
+def test_salted_join_equals_plain_join(spark):
+    from panelweave.operators.grouping import salted_join
+
+    left = spark.createDataFrame([(k, i) for i in range(30) for k in (0, i % 5)], "k int, a int")
+    right = spark.createDataFrame([(0 if i % 3 else i % 7, i) for i in range(200)], "k int, b int")
+    plain = sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
+    assert sorted(map(tuple, salted_join(left, right, ["k"], ["b"], share=9).select("k", "a", "b").collect())) == plain
