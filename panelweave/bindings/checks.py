@@ -13,6 +13,9 @@ from .panel_tables import PANEL_SQL, panel
 from .registry import query, r, rounded, table
 
 
+_LABELLED = "docs as (select documents.*, quality, toxic from documents left join labels on documents.doc_id = labels.doc_id)"
+
+
 def _with_holes(spark, sf):
     known = F.col("l_linenumber") != 7
     return table(spark, sf, "lineitem").select(
@@ -124,11 +127,11 @@ def derive_columns(spark, sf):
 
 @query(
     "column_coverage",
-    "select 'c_custkey,c_name' present, 'c_email,c_phone' missing, cast(0.5 as double) coverage_rate from (select count(*) from customer)",
+    f"""with {_LABELLED} select 'doc_id,quality' present, 'author,year' missing, cast(0.5 as double) coverage_rate, count(*) n_rows, count(quality) n_complete from docs""",
 )
 def column_coverage(spark, sf):
-    row = cleaning.column_coverage(table(spark, sf, "customer"), ["c_custkey", "c_name", "c_email", "c_phone"])
-    return row.select(F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"), "coverage_rate")
+    row = cleaning.column_coverage(_docs(spark, sf), ["doc_id", "quality", "author", "year"])
+    return row.withColumns({c: F.array_join(c, ",") for c in ("present", "missing")})
 
 
 @query(
@@ -372,7 +375,7 @@ def _stages(spark, sf):
     return reduce(DataFrame.unionByName, rows)
 
 
-_DOCS_SQL = "docs as (select documents.*, quality, toxic from documents left join labels on documents.doc_id = labels.doc_id)"
+_DOCS_SQL = _LABELLED
 _STAGE_SQL = f"""{_DOCS_SQL},
 st as (select 0 stage_no, 'raw' stage_name, count(*) row_count, 5 column_count from documents
        union all select 1, 'linked', count(*), 7 from docs

@@ -234,11 +234,18 @@ def impute_group_mean(df: DataFrame, columns: Sequence[str], group: str) -> Data
 
 
 def column_coverage(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """One row: required columns present and missing, and the share present."""
+    """One row: required columns present and missing, the share present, and
+    the rows that have a value in every present one."""
     present = [c for c in required if c in df.columns]
     missing = [c for c in required if c not in df.columns]
     rate = len(present) / len(required) if required else 1.0
-    names = "array<string>"
-    return df.sparkSession.createDataFrame(
-        [(present, missing, rate)], f"present {names}, missing {names}, coverage_rate double"
+    complete = F.lit(True)
+    for name in present:
+        complete = complete & F.col(f"`{name}`").isNotNull()
+
+    def names(values: Sequence[str]) -> Column:
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(complete).alias("n_complete")).select(
+        names(present).alias("present"), names(missing).alias("missing"), F.lit(rate).alias("coverage_rate"), "n_rows", "n_complete"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.inventory import file_extension, file_name, source_hints
+from ..sources.inventory import file_extension, source_hints
 
 __all__ = ["classify_files", "compare_columns", "compare_manifests", "file_totals", "source_hints", "map_modules"]
 
