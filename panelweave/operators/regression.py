@@ -295,12 +295,15 @@ def run_ols(
     method: str = "t",
     all_terms: bool = False,
     complete: bool = False,
+    centred: bool = False,
 ) -> DataFrame:
     """OLS with intercept on complete cases, for each value of ``keys``.
 
     Rows are scanned once: plain and clustered fits need only the moments by
     key (and cluster).  ``robust`` adds a second pass for the residuals.
-    ``complete`` says that incomplete rows are gone already.
+    ``complete`` says that incomplete rows are gone already, ``centred`` that
+    all means are near zero, as after demeaning: totals are then added up from
+    the clusters, which would lose digits on values far from zero.
     """
     variables, keys = [y, *xs], list(keys)
     used = [*variables, *keys] + ([cluster] if cluster else [])
@@ -312,7 +315,8 @@ def run_ols(
         return _wide_ols(cases, variables, cluster, robust, method, all_terms)
     if cluster:
         table = group_moments(cases, variables, [*keys, cluster])
-        solution = solve(combine(table, p, keys), p, keys)
+        totals = combine(table, p, keys) if centred else group_moments(cases, variables, keys)
+        solution = solve(totals, p, keys)
         meat = score_meat(cluster_scores(table, solution, p, keys), p - 1, [cluster], keys)
     else:
         solution = solve(group_moments(cases, variables, keys), p, keys)
@@ -335,8 +339,9 @@ def two_way_ols(
     a, b = clusters
     variables = [y, *xs]
     p, k = len(variables), len(xs)
-    table = group_moments(complete_cases(df, [*variables, a, b]), variables, [a, b])
-    solution = solve(combine(table, p), p)
+    cases = complete_cases(df, [*variables, a, b])
+    table = group_moments(cases, variables, [a, b])
+    solution = solve(group_moments(cases, variables), p)
     scores = cluster_scores(table, solution, p)
     parts = solution.drop("n_clusters")
     variance = None
@@ -434,7 +439,7 @@ def run_fe_estimation(
     rows = df if sample is None else df.filter(sample)
     carry = [c for c in (spec.unit, spec.time) if c in df.columns]
     valid, estimation = within_sample(rows, y, xs, chosen.fe, chosen.cluster, carry, iterations)
-    result = run_ols(estimation, y, xs, cluster=chosen.cluster, method=method, complete=True)
+    result = run_ols(estimation, y, xs, cluster=chosen.cluster, method=method, complete=True, centred=bool(chosen.fe))
     for column, label in ((spec.unit, "n_units"), (spec.time, "n_periods")):
         if column == chosen.cluster:
             result = result.withColumn(label, F.col("n_clusters"))
@@ -623,8 +628,8 @@ def bootstrap_se(
 
 def leave_one_cluster_out(df: DataFrame, y: str, x: str, cluster: str) -> DataFrame:
     """The slope without each cluster, from totals minus that cluster's moments."""
-    table = group_moments(complete_cases(df, [y, x, cluster]), [y, x], [cluster])
-    whole = combine(table, 2)
+    cases = complete_cases(df, [y, x, cluster])
+    table, whole = group_moments(cases, [y, x], [cluster]), group_moments(cases, [y, x])
     prefixed = whole.select(*[F.col(c).alias(f"all_{c}") for c in whole.columns])
     rest = table.join(F.broadcast(prefixed)).select(
         cluster, *[c.alias(name) for name, c in remove(2).items()]

@@ -244,3 +244,11 @@ def test_balance_table(noisy_panel, pdf):
     odd = pdf[pdf["id"] % 2 == 1]["covariate_1"]
     assert row["difference"] == pytest.approx(even.mean() - odd.mean())
     assert row["std_difference"] == pytest.approx((even.mean() - odd.mean()) / np.sqrt((even.var() + odd.var()) / 2))
+
+
+@pytest.mark.parametrize("mode", ["plain", "cluster"])
+def test_values_far_from_zero_keep_their_digits(noisy_panel, pdf, mode):
+    shifted = noisy_panel.withColumn("x", F.col("covariate_1") + 1e9).withColumn("y", F.col("outcome") + 1e9)
+    row = regression.run_ols(shifted, "y", ["x"], cluster="id" if mode == "cluster" else None).first()
+    beta, se, _ = fit(pdf[["covariate_1"]].to_numpy(), pdf["outcome"].to_numpy(), pdf["id"].to_numpy() if mode == "cluster" else None)
+    assert row["coefficient"] == pytest.approx(beta[1], rel=1e-4) and row["std_error"] == pytest.approx(se[1], rel=1e-4)
