@@ -9,6 +9,7 @@ import datetime
 import decimal
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -78,7 +79,7 @@ def main(argv: list[str]) -> int:
     from panelweave.session import build_session
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
-    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g", spark__ui__enabled="false")
+    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="checkpoint-"), spark__ui__enabled="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = 0
