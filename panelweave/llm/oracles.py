@@ -1,6 +1,22 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
 SQL = {
+    "op5_chat_format": r"""
+        with rows as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), escaped as (
+            select *, regexp_replace(replace(text, '\', '\\'),
+                                     '(<|\[)(\|[A-Za-z_]+\|>|/?s>|/?INST\]|</?SYS>>|</SYS>>)', '\1\\\2', 'g') as safe
+            from rows
+        )
+        select conv_id, count(*) as n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+               cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+               cast(sum(length('<|turn|>') + length(role) + 1 + length(safe) + length('<|end|>') + 1) as bigint) as formatted_chars
+        from escaped group by conv_id
+    """,
     "op8_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id is not distinct from max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
