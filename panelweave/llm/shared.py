@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +63,20 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     at ``row_bytes`` each; otherwise leave the join to a shuffle."""
     limit = BROADCAST_BYTES // row_bytes
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+#: Characters that a Python task works on at once.
+SLICE_CHARS = 1 << 20
+
+
+def text_slices(texts: Sequence[str], limit: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """Consecutive texts of about ``limit`` characters together, at least one."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
