@@ -1,6 +1,26 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
 SQL = {
+    "op4_substring_dedup": r"""
+        with docs as (
+            select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+        ), places as (
+            select doc_id, i, md5(array_to_string(words[i : i + 34], ' ')) as h
+            from (select doc_id, words, unnest(range(1, len(words) - 35 + 2)) as i from docs)
+        ), marked as (
+            select doc_id, list(distinct k) as gone from (
+                select doc_id, unnest(range(i, i + 35)) as k
+                from places where h in (select h from places group by h having count(*) > 1)
+            ) group by doc_id
+        ), spelled as (
+            select d.doc_id, len(d.words) as n_words, coalesce(len(m.gone), 0) as n_removed,
+                   list_filter(d.words, lambda w, k: m.gone is null or not list_contains(m.gone, k)) as kept
+            from docs d left join marked m using (doc_id)
+        )
+        select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed,
+               sha256(array_to_string(kept, ' ')) as kept_sha256
+        from spelled
+    """,
     "op5_chat_format": r"""
         with rows as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
