@@ -1,6 +1,31 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
 SQL = {
+    "op3_near_dedup": r"""
+        with recursive docs as (
+            select doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x20\x09-\x0D]+') as words
+            from documents
+        ), shingles as materialized (
+            select distinct doc_id, hash(array_to_string(words[i : i + 1], ' ')) as s
+            from (select doc_id, words, unnest(range(1, greatest(len(words), 2))) as i from docs where len(words) > 0)
+        ), sizes as materialized (select doc_id, count(*) as n from shingles group by doc_id),
+        links as materialized (
+            select a.doc_id as x, b.doc_id as y
+            from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+                 join sizes m on m.doc_id = a.doc_id join sizes n on n.doc_id = b.doc_id
+            where 100 * least(m.n, n.n) >= 80 * greatest(m.n, n.n)
+            group by a.doc_id, b.doc_id, m.n, n.n
+            having 100 * count(*) >= 80 * (m.n + n.n - count(*))
+        ), reach as (
+            select doc_id as x, doc_id as y from docs
+            union
+            select r.x, l.y from reach r join links l on r.y = l.x
+        ), least as (select x as doc_id, min(y) as component_id from reach group by x)
+        select d.doc_id, coalesce(s.n, 0) as n_shingles, l.component_id, d.doc_id = l.component_id as kept
+        from docs d left join sizes s using (doc_id) join least l using (doc_id)
+    """,
     "op4_substring_dedup": r"""
         with docs as (
             select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents

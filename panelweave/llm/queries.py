@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, exact_dedup, language, oracles, pii, sharding, substring_dedup, token_store
+from . import bpe, chat, decontamination, exact_dedup, language, near_dedup, oracles, pii, sharding, substring_dedup, token_store
 from .shared import fresh_path
 
 
@@ -47,6 +47,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(
+        _table(spark, sf_dir, "documents"), options=near_dedup.Options(shingle_words=2, percent=80)
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
