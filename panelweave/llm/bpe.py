@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +37,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import taken, text_slices
+from .words import bytes_hashes
 
 LEAF = 256
 #: Pieces and pre-tokens remembered by a worker process, each.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 #: Longer ones are not remembered.
 LONG_PIECE = 64
-#: White space by any definition, next to a place where a text might be cut.
+#: Texts are cut into parts of this many characters, and worked on by as many.
+PART_CHARS = 1 << 19
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s|^\s|\s$")
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Characters that some definition of white space has beyond these, and the
+#: bytes that they can start with.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_ODD_LEAD = np.zeros(256, dtype=bool)
+_ODD_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 
 
 class RankQueue:
@@ -54,29 +62,27 @@ class RankQueue:
     def __init__(self, ranks: int):
         self.top = 0
         self.leaves = [0] * (ranks // LEAF + 1)
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            leaf = rank // LEAF
-            self.leaves[leaf] |= 1 << rank % LEAF
-            self.top |= 1 << leaf
-        heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the lowest rank."""
+        self.buckets: dict[int, list[int]] = {}
+
+    def open(self, rank: int, positions: list[int]) -> None:
+        """Start the bucket of a rank that has none."""
+        self.buckets[rank] = positions
+        leaf = rank // LEAF
+        self.leaves[leaf] |= 1 << rank % LEAF
+        self.top |= 1 << leaf
+
+    def take(self) -> tuple[int, list[int]]:
+        """Remove the bucket of the lowest rank, its positions in order."""
         leaf = (self.top & -self.top).bit_length() - 1
         word = self.leaves[leaf]
         rank = leaf * LEAF + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            word &= word - 1
-            self.leaves[leaf] = word
-            if not word:
-                self.top &= self.top - 1
-        return rank, position
+        word &= word - 1
+        self.leaves[leaf] = word
+        if not word:
+            self.top &= self.top - 1
+        positions = self.buckets.pop(rank)
+        positions.sort()
+        return rank, positions
 
 
 class BytePairEncoder:
@@ -87,6 +93,17 @@ class BytePairEncoder:
         self.names = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values()) + 1)
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)])
+        # The rank of the merge of two tokens, by both ranks in one number.
+        self.merges: dict[int, int] = {}
+        self.first = np.full((256, 256), -1)
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    self.merges[left << 32 | right] = rank
+            if len(token) == 2:
+                self.first[token[0], token[1]] = rank
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> BytePairEncoder:
@@ -96,128 +113,257 @@ class BytePairEncoder:
     def pretokens(self, piece: str) -> list[str]:
         return self.pattern.findall(piece)
 
-    def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
+    def encode_pretokens(self, pretokens: list[str]) -> list[np.ndarray]:
         """Ranks of each pre-token.  A pre-token that is a token is that token;
         merges go by the lowest rank and, where equal, from the left."""
-        ranks, queue = self.ranks, self.queue
-        out: list[list[int] | None] = []
-        held: list[bytes] = []
-        after: list[int] = []
-        before: list[int] = []
-        firsts: list[tuple[int, int]] = []
-        for pretoken in pretokens:
-            raw = pretoken.encode()
-            whole = ranks.get(raw)
-            if whole is not None:
-                out.append([whole])
-                continue
-            first, size = len(held), len(raw)
-            firsts.append((len(out), first))
-            out.append(None)
-            held.extend(raw[i : i + 1] for i in range(size))
-            before.extend(range(first - 1, first + size - 1))
-            after.extend(range(first + 1, first + size + 1))
-            before[first] = -1
-            after[-1] = -1
-            for i in range(size - 1):
-                rank = ranks.get(raw[i : i + 2])
-                if rank is not None:
-                    queue.push(rank, first + i)
-        while queue.top:
-            rank, at = queue.pop()
-            token = held[at]
-            following = after[at]
-            if not token or following < 0:
-                continue
-            merged = token + held[following]
-            if ranks.get(merged) != rank:
-                continue
-            held[at], held[following] = merged, b""
-            beyond = after[following]
-            after[at] = beyond
-            if beyond >= 0:
-                before[beyond] = at
-                new = ranks.get(merged + held[beyond])
-                if new is not None:
-                    queue.push(new, at)
-            previous = before[at]
-            if previous >= 0:
-                new = ranks.get(held[previous] + merged)
-                if new is not None:
-                    queue.push(new, previous)
-        for place, at in firsts:
-            own = []
-            while at >= 0:
-                own.append(ranks[held[at]])
-                at = after[at]
-            out[place] = own
+        raws = [pretoken.encode() for pretoken in pretokens]
+        out = [self.ranks.get(raw) for raw in raws]
+        rest = [i for i, whole in enumerate(out) if whole is None]
+        out = [None if whole is None else np.array([whole]) for whole in out]
+        if rest:
+            lengths = [len(raws[i]) for i in rest]
+            tokens = np.array(self._merge(b"".join(raws[i] for i in rest), lengths))
+            alive = tokens >= 0
+            starts = np.cumsum(lengths)[:-1]
+            ends = np.cumsum(alive)[starts - 1] if len(starts) else []
+            for i, own in zip(rest, np.split(tokens[alive], ends)):
+                out[i] = own
         return out
 
+    def _merge(self, raw: bytes, lengths: list[int]) -> list[int]:
+        """Token at each byte where one starts after all merges, else -1."""
+        data = np.frombuffer(raw, dtype=np.uint8)
+        tokens = self.single[data].tolist()
+        size = len(data)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        ends = np.cumsum(lengths)
+        pair = np.full(size, -1)
+        pair[:-1] = self.first[data[:-1], data[1:]]
+        pair[ends - 1] = -1
+        for end in ends.tolist():
+            after[end - 1] = -1
+            if end < size:
+                before[end] = -1
+        queue, current, merge = self.queue, pair.tolist(), self.merges.get
+        buckets = queue.buckets
+        order = np.argsort(pair, kind="stable")
+        order = order[np.searchsorted(pair[order], 0) :]
+        cuts = np.flatnonzero(np.diff(pair[order])) + 1
+        for positions in np.split(order, cuts):
+            if len(positions):
+                queue.open(int(pair[positions[0]]), positions.tolist())
+        while queue.top:
+            rank, positions = queue.take()
+            lower = False
+            for place, at in enumerate(positions):
+                if current[at] != rank:
+                    continue  # stale
+                following = after[at]
+                beyond = after[following]
+                tokens[at], tokens[following], current[following] = rank, -1, -1
+                after[at] = beyond
+                new = -1
+                if beyond >= 0:
+                    before[beyond] = at
+                    new = merge(rank << 32 | tokens[beyond], -1)
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(at)
+                        else:
+                            queue.open(new, [at])
+                        lower |= new < rank
+                current[at] = new
+                previous = before[at]
+                if previous >= 0:
+                    new = merge(tokens[previous] << 32 | rank, -1)
+                    current[previous] = new
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(previous)
+                        else:
+                            queue.open(new, [previous])
+                        lower |= new < rank
+                if lower:  # a new pair goes first; the rest of the bucket waits
+                    left = positions[place + 1 :]
+                    if left:
+                        if rank in buckets:
+                            buckets[rank] += left
+                        else:
+                            queue.open(rank, left)
+                    break
+        return tokens
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.names.__getitem__, ids))
 
 
-def cut_text(text: str) -> list[str]:
-    """Pieces whose concatenation is the text and which no pre-token crosses:
-    cuts are before single spaces that stand between other characters."""
-    if not text:
-        return []
-    if _DOUBLE.search(text):
-        first, *rest = _CUT.split(text)
-    else:
-        first, *rest = text.split(" ")
-    return [first, *[" " + piece for piece in rest]]
+def safe_parts(text: str, size: int = PART_CHARS) -> list[str]:
+    """Parts of about ``size`` characters that no pre-token crosses."""
+    if len(text) <= size:
+        return [text]
+    parts, at = [], 0
+    while (cut := _CUT.search(text, at + size)) is not None:
+        parts.append(text[at : cut.start()])
+        at = cut.start()
+    return [*parts, text[at:]]
 
 
 class PieceCache:
-    """Token ids of pieces, remembered up to a bound.
-
-    ``encode`` maps a list of pre-tokens to their ids, ``cut`` a piece to its
-    pre-tokens; new pre-tokens of a whole batch are encoded together.
+    """Encodes texts piece by piece and remembers pieces up to a bound.
+
+    A piece starts at a single space between two other characters, where no
+    pre-token can cross.  Pieces of many texts are cut and told apart by array
+    operations, by 128 bits of hash; only new ones are looked at as strings.
+    ``cut`` maps a piece to its pre-tokens and ``encode`` pre-tokens to ids; a
+    full cache becomes the old generation, from which what is still in use is
+    taken over.
     """
 
     def __init__(
         self,
         cut: Callable[[str], list[str]],
-        encode: Callable[[list[str]], list[list[int]]],
+        encode: Callable[[list[str]], list],
+        dtype: str = "<u4",
         entries: int = CACHE_ENTRIES,
     ):
-        self.cut, self.encode, self.entries = cut, encode, entries
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.pretokens: dict[str, tuple[int, ...]] = {}
-        self.long: list[str] = []
-
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of all ``pieces``; the result is whole even if the cache turns
-        over.  Long pieces are forgotten at the next call."""
-        known = self.pieces
-        for piece in self.long:
-            known.pop(piece, None)
-        missing = [p for p in pieces if p not in known]
-        cuts = [self.cut(p) for p in missing]
-        new = {t for cut in cuts for t in cut}
-        fresh = list(new.difference(self.pretokens))
-        if len(self.pretokens) + len(fresh) > self.entries:
-            self.pretokens, fresh = {}, list(new)
-        held = self.pretokens
-        held.update(zip(fresh, map(tuple, self.encode(fresh))))
-        if len(known) + len(missing) > self.entries:
-            known = {p: known[p] for p in pieces if p in known}
-        for piece, cut in zip(missing, cuts):
-            known[piece] = tuple(i for t in cut for i in held[t])
-        self.pieces = known
-        self.long = [p for p in missing if len(p) > LONG_PIECE]
+        self.cut, self.encode, self.dtype, self.entries = cut, encode, dtype, entries
+        self.pieces: dict[int, tuple[int, bytes]] = {}
+        self.old_pieces: dict[int, tuple[int, bytes]] = {}
+        self.pretokens: dict[str, bytes] = {}
+        self.old_pretokens: dict[str, bytes] = {}
+
+    def encode_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        parts = [safe_parts(text) for text in texts]
+        held: list[np.ndarray] = []
+        flat = text_slices(chain.from_iterable(parts), PART_CHARS)
+        for own in parts:
+            while len(held) < len(own):
+                held += self._encode_parts(next(flat))
+            yield np.concatenate(held[: len(own)]) if len(own) > 1 else held[0]
+            del held[: len(own)]
+
+    def _encode_parts(self, parts: list[str]) -> list[np.ndarray]:
+        raws = [part.encode() for part in parts]
+        buffer = b"\n".join(raws)
+        data = np.frombuffer(buffer, dtype=np.uint8)
+        sizes = np.array([len(raw) for raw in raws])
+        firsts = np.cumsum(sizes + 1) - sizes - 1
+        starts, ends = self._pieces_of(data, firsts, parts)
+        keys, check = bytes_hashes(data, starts, ends)
+        distinct, place, number = np.unique(keys, return_index=True, return_inverse=True)
+        if (check[place][number] != check).any():  # two pieces share a hash
+            return [self._joined(self._ids_of([part])[0]) for part in parts]
+        found = [self.pieces.get(key) for key in distinct.tolist()]
+        checks = check[place].tolist()
+        absent = [i for i, held in enumerate(found) if held is None or held[0] != checks[i]]
+        if absent:
+            self._learn(found, absent, distinct, checks, buffer, starts[place], ends[place])
+        lengths = np.array([len(ids) for _, ids in found], dtype=np.int64) // np.dtype(self.dtype).itemsize
+        table = np.frombuffer(b"".join([ids for _, ids in found]), dtype=self.dtype)
+        begin = np.cumsum(lengths) - lengths
+        own = lengths[number]
+        until = np.cumsum(own)
+        ids = table[np.repeat(begin[number] - until + own, own) + np.arange(until[-1] if len(until) else 0)]
+        totals = np.concatenate([[0], until])
+        cuts = totals[np.searchsorted(starts, firsts[1:])]
+        return np.split(ids, cuts)
+
+    @staticmethod
+    def _pieces_of(data: np.ndarray, firsts: np.ndarray, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of every piece in a buffer of texts on lines."""
+        blank = _BLANK[data]
+        cuts = np.zeros(len(data), dtype=bool)
+        cuts[1:-1] = (data[1:-1] == 0x20) & ~blank[:-2] & ~blank[2:]
+        begins = np.flatnonzero(cuts)
+        if _ODD_LEAD[data].any():
+            # Blanks beyond ASCII: cut texts that have any at their first only.
+            odd = [i for i, part in enumerate(parts) if _ODD.search(part)]
+            if odd:
+                kept = np.ones(len(parts), dtype=bool)
+                kept[odd] = False
+                begins = begins[kept[np.searchsorted(firsts, begins, side="right") - 1]]
+        starts = np.sort(np.concatenate([begins, firsts]))
+        ends = np.append(starts[1:], len(data))
+        last = np.searchsorted(starts, firsts[1:]) - 1
+        ends[last] = firsts[1:] - 1
+        full = ends > starts
+        return starts[full], ends[full]
+
+    def _learn(self, found, absent, distinct, checks, buffer, starts, ends) -> None:
+        """Fill in the pieces that the present generation lacks."""
+        if len(self.pieces) > self.entries:
+            self.pieces, self.old_pieces = {}, self.pieces
+        if len(self.pretokens) > self.entries:
+            self.pretokens, self.old_pretokens = {}, self.pretokens
+        keys, missing = distinct.tolist(), []
+        for i in absent:
+            old = self.old_pieces.get(keys[i])
+            if old is not None and old[0] == checks[i]:
+                found[i] = self.pieces[keys[i]] = old
+            else:
+                missing.append(i)
+        bounds = list(zip(starts.tolist(), ends.tolist()))
+        strings = [buffer[bounds[i][0] : bounds[i][1]].decode() for i in missing]
+        for i, string, ids in zip(missing, strings, self._ids_of(strings)):
+            found[i] = (checks[i], ids)
+            if len(string) <= LONG_PIECE:
+                self.pieces[keys[i]] = found[i]
+
+    def _joined(self, ids: bytes) -> np.ndarray:
+        return np.frombuffer(ids, dtype=self.dtype)
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        # A space and letters are one pre-token, as are letters.
+        cuts = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.cut(p) for p in pieces]
+        tokens, old_tokens = self.pretokens, self.old_pretokens
+        unknown = set(chain.from_iterable(cuts)).difference(tokens)
+        for token in unknown.intersection(old_tokens):
+            tokens[token] = old_tokens[token]
+        fresh = list(unknown.difference(old_tokens))
+        for token, ids in zip(fresh, self.encode(fresh)):
+            tokens[token] = np.asarray(ids, dtype=self.dtype).tobytes()
+        made = [tokens[cut[0]] if len(cut) == 1 else b"".join([tokens[t] for t in cut]) for cut in cuts]
         for token in fresh:
             if len(token) > LONG_PIECE:
-                del held[token]
-        return known
+                del tokens[token]
+        return made
+
+
+class Spelling:
+    """Byte strings by number, put one after another by array lookups."""
+
+    def __init__(self, strings: list[bytes]):
+        self.lengths = np.array([len(s) for s in strings], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def parts(self, numbers: np.ndarray, step: int = 1 << 18) -> Iterator[np.ndarray]:
+        for i in range(0, len(numbers), step):
+            part = numbers[i : i + step]
+            lengths = self.lengths[part]
+            ends = np.cumsum(lengths)
+            shift = np.repeat(self.starts[part] - ends + lengths, lengths)
+            yield self.data[shift + np.arange(len(shift))]
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str, pattern: str) -> tuple[BytePairEncoder, PieceCache, list[str]]:
+def _encoder(path: str, pattern: str) -> tuple[PieceCache, Spelling, Spelling]:
+    """The cache, the ids as decimals behind commas, and the tokens' bytes."""
     encoder = BytePairEncoder.from_file(path, pattern)
-    names = [str(i) for i in range(max(encoder.names) + 1)]
-    return encoder, PieceCache(encoder.pretokens, encoder.encode_pretokens), names
+    size = max(encoder.names) + 1
+    cache = PieceCache(encoder.pretokens, encoder.encode_pretokens, "<u2" if size <= 1 << 16 else "<u4")
+    decimals = Spelling([b",%d" % i for i in range(size)])
+    return cache, decimals, Spelling([encoder.names.get(i, b"") for i in range(size)])
+
+
+def _digests(ids: np.ndarray, decimals: Spelling, tokens: Spelling) -> tuple[str, str]:
+    listed, decoded = hashlib.sha256(), hashlib.sha256()
+    for i, part in enumerate(decimals.parts(ids)):
+        listed.update(part[1:] if i == 0 else part)
+    for part in tokens.parts(ids):
+        decoded.update(part)
+    return listed.hexdigest(), decoded.hexdigest()
 
 
 def encode_documents(
@@ -245,22 +391,16 @@ def encode_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         path = vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
-        encoder, cache, names = _encoder(path, pattern)
-        name_of, bytes_of = names.__getitem__, encoder.names.__getitem__
+        cache, decimals, tokens = _encoder(path, pattern)
         for batch in batches:
             counts, lists, digests, decoded = [], [], [], []
-            for texts in text_slices(batch.column("text").to_pylist()):
-                cuts = [cut_text(text) for text in texts]
-                known = cache.learn({piece for cut in cuts for piece in cut})
-                for cut in cuts:
-                    ids: list[int] = []
-                    for piece in cut:
-                        ids += known[piece]
-                    counts.append(len(ids))
-                    digests.append(hashlib.sha256(",".join(map(name_of, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join(map(bytes_of, ids))).hexdigest())
-                    if with_ids:
-                        lists.append(np.array(ids, dtype=np.int32))
+            for ids in cache.encode_texts(batch.column("text").to_pylist()):
+                listed, spelled = _digests(ids, decimals, tokens)
+                counts.append(len(ids))
+                digests.append(listed)
+                decoded.append(spelled)
+                if with_ids:
+                    lists.append(ids.astype(np.int32))
             made = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
             if with_ids:
                 made.append(pa.array(lists, pa.list_(pa.int32())))

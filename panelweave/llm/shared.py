@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +69,7 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
 SLICE_CHARS = 1 << 20
 
 
-def text_slices(texts: Sequence[str], limit: int = SLICE_CHARS) -> Iterator[list[str]]:
+def text_slices(texts: Iterable[str], limit: int = SLICE_CHARS) -> Iterator[list[str]]:
     """Consecutive texts of about ``limit`` characters together, at least one."""
     held, size = [], 0
     for text in texts:

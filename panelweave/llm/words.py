@@ -57,6 +57,17 @@ def _buffer_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
 
 
+def bytes_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each range of bytes."""
+    out = []
+    for name, base, values in (("", _BASE, _BYTE), ("other", STEP, mix(_BYTE))):
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(values[data] * _powers(base, len(data), f"up{name}"), out=sums[1:])
+        inverse = _powers(pow(base, -1, 1 << 64), len(data) + 1, f"down{name}")
+        out.append(mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+    return out[0], out[1]
+
+
 def word_hashes(texts: Sequence[bytes]) -> Iterator[np.ndarray]:
     """The hashes of each text's words, in order."""
     held: list[bytes] = []
