@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import PieceCache, cut_text
-from .shared import taken, text_slices
+from .bpe import PieceCache
+from .shared import taken
 
 BLOCK = 512
 #: Share of a block's ids that fit the packed width.
@@ -47,54 +47,97 @@ MAGIC = b"PFOR1\0\0\0"
 _HEAD = struct.Struct("<IBBH")  # least id, width, width of high parts, exceptions
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    """``values`` as ``width`` bits each, least bit first."""
-    if not width:
-        return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``values`` as rows of bytes, ``width`` bits each, least first."""
+    if width in (8, 16, 32):
+        return np.ascontiguousarray(values.astype(f"<u{width // 8}")).view(np.uint8)
+    size = 2 if width <= 16 else 4
+    held = np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8).reshape(*values.shape, size)
+    bits = np.unpackbits(held, axis=-1, bitorder="little")[..., :width]
+    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def _unpack(data: np.ndarray, count: int, width: int) -> np.ndarray:
-    if not width:
-        return np.zeros(count, dtype=np.uint32)
-    bits = np.unpackbits(data, count=count * width, bitorder="little").reshape(count, width)
-    return bits @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
-
-
-def encode_block(ids: np.ndarray, share: float = PACKED_SHARE) -> bytes:
-    least = int(ids.min())
-    rest = (ids - np.uint32(least)).astype(np.uint32)
-    sized = np.sort(rest)
-    width = int(sized[max(0, int(np.ceil(share * len(rest))) - 1)]).bit_length()
-    outside = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, dtype=np.int64)
-    high = rest[outside] >> np.uint32(width)
-    high_width = int(high.max()).bit_length() if len(high) else 0
-    low = rest & np.uint32((1 << width) - 1)
-    return (
-        _HEAD.pack(least, width, high_width, len(outside))
-        + _pack(low, width)
-        + outside.astype("<u2").tobytes()
-        + _pack(high, high_width)
-    )
-
-
-def decode_block(data: bytes, offset: int, count: int) -> np.ndarray:
-    least, width, high_width, exceptions = _HEAD.unpack_from(data, offset)
-    at = offset + _HEAD.size
-    size = -(-count * width // 8)
-    low = _unpack(np.frombuffer(data, np.uint8, size, at), count, width)
-    if exceptions:
-        places = np.frombuffer(data, "<u2", exceptions, at + size)
-        at += size + 2 * exceptions
-        high = _unpack(np.frombuffer(data, np.uint8, -(-exceptions * high_width // 8), at), exceptions, high_width)
-        low[places] |= high << np.uint32(width)
-    return (low + np.uint32(least)).astype(np.uint32)
+    """The inverse of :func:`_pack` for rows of ``count`` values."""
+    if width in (8, 16, 32):
+        return np.ascontiguousarray(data).view(f"<u{width // 8}").astype(np.uint32)
+    bits = np.unpackbits(data, axis=1, count=count * width, bitorder="little").reshape(len(data), count, width)
+    size = 16 if width <= 16 else 32
+    full = np.zeros((len(data), count, size), dtype=np.uint8)
+    full[..., :width] = bits
+    packed = np.packbits(full, axis=-1, bitorder="little")
+    return packed.reshape(len(data), -1).view(f"<u{size // 8}").astype(np.uint32)
+
+
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits that each value needs."""
+    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+
+
+def encode_blocks(ids: np.ndarray, share: float = PACKED_SHARE) -> list[bytes]:
+    """All blocks of ``ids``; whole blocks of one width are packed together."""
+    whole = len(ids) // BLOCK * BLOCK
+    return [
+        *_encode_rows(ids[:whole].reshape(-1, BLOCK), share),
+        *(_encode_rows(ids[whole:].reshape(1, -1), share) if whole < len(ids) else []),
+    ]
+
+
+def _encode_rows(rows: np.ndarray, share: float) -> list[bytes]:
+    if not len(rows):
+        return []
+    least = rows.min(axis=1)
+    rest = rows - least[:, None]
+    place = max(0, int(np.ceil(share * rows.shape[1])) - 1)
+    widths = _widths(np.partition(rest, place, axis=1)[:, place])
+    blocks: list[bytes] = [b""] * len(rows)
+    for width in np.unique(widths).tolist():
+        chosen = np.flatnonzero(widths == width)
+        values = rest[chosen].astype(np.uint64)
+        low = values & np.uint64((1 << width) - 1)
+        high = values >> np.uint64(width)
+        packed = _pack(low.astype(np.uint32), width) if width else np.empty((len(chosen), 0), dtype=np.uint8)
+        counts = np.count_nonzero(high, axis=1)
+        for i, number in enumerate(chosen.tolist()):
+            tail, high_width = b"", 0
+            if counts[i]:
+                outside = np.flatnonzero(high[i])
+                over = high[i][outside].astype(np.uint32)
+                high_width = int(over.max()).bit_length()
+                tail = outside.astype("<u2").tobytes() + _pack(over.reshape(1, -1), high_width).tobytes()
+            blocks[number] = _HEAD.pack(int(least[number]), width, high_width, int(counts[i])) + packed[i].tobytes() + tail
+    return blocks
+
+
+def decode_blocks(data: bytes, offsets: list[int], counts: list[int]) -> np.ndarray:
+    """Ids of the blocks at ``offsets``, which hold ``counts`` ids."""
+    heads = [_HEAD.unpack_from(data, offset) for offset in offsets]
+    raw = np.frombuffer(data, dtype=np.uint8)
+    out: list[np.ndarray] = [np.empty(0, dtype=np.uint32)] * len(offsets)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, (head, count) in enumerate(zip(heads, counts)):
+        alike.setdefault((head[1], count), []).append(i)
+    for (width, count), members in alike.items():
+        size = -(-count * width // 8)
+        firsts = np.array([offsets[i] + _HEAD.size for i in members])
+        if width:
+            rows = _unpack(raw[firsts[:, None] + np.arange(size)], count, width)
+        else:
+            rows = np.zeros((len(members), count), dtype=np.uint32)
+        for row, i, first in zip(rows, members, firsts.tolist()):
+            least, _, high_width, exceptions = heads[i]
+            if exceptions:
+                at = first + size
+                places = np.frombuffer(data, "<u2", exceptions, at)
+                bytes_ = raw[at + 2 * exceptions : at + 2 * exceptions - (-exceptions * high_width // 8)]
+                row[places] |= _unpack(bytes_.reshape(1, -1), exceptions, high_width)[0] << np.uint32(width)
+            out[i] = row + np.uint32(least)
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint32)
 
 
 def encode_segment(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """All ids of a segment's documents, whose numbers of ids are ``lengths``."""
-    blocks = [encode_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    blocks = encode_blocks(ids)
     ends = np.cumsum([0, *map(len, blocks)]).astype("<u8")
     head = struct.pack("<8sQQQ", MAGIC, len(ids), len(lengths), len(blocks))
     return b"".join([head, lengths.astype("<u8").tobytes(), ends.tobytes(), *blocks])
@@ -118,16 +161,24 @@ class Segment:
         if stop <= start:
             return np.empty(0, dtype=np.uint32)
         blocks = range(start // BLOCK, (stop - 1) // BLOCK + 1)
-        found = [
-            decode_block(self.data, self.first + int(self.offsets[b]), min(BLOCK, self.n_ids - b * BLOCK)) for b in blocks
-        ]
+        found = decode_blocks(
+            self.data,
+            [self.first + int(self.offsets[b]) for b in blocks],
+            [min(BLOCK, self.n_ids - b * BLOCK) for b in blocks],
+        )
         low = blocks[0] * BLOCK
-        return np.concatenate(found)[start - low : stop - low]
+        return found[start - low : stop - low]
 
     def documents(self) -> Iterator[np.ndarray]:
-        ends = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
-        for low, high in zip(ends[:-1], ends[1:]):
-            yield self.read(int(low), int(high))
+        """The ids of each document; about a million are held at once."""
+        ends = np.cumsum(self.lengths).astype(np.int64).tolist()
+        low, first, held = 0, 0, np.empty(0, dtype=np.uint32)
+        for i, end in enumerate(ends):
+            if end > first + len(held):
+                ahead = int(np.searchsorted(ends, low + (1 << 20)))
+                first, held = low, self.read(low, max(end, ends[min(ahead, len(ends) - 1)]))
+            yield held[low - first : end - first]
+            low = end
 
 
 @lru_cache(maxsize=4)
@@ -140,7 +191,7 @@ def _pieces(path: str, pattern: str) -> PieceCache:
     def encode(pretokens: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
 
-    return PieceCache(regex.compile(pattern).findall, encode)
+    return PieceCache(regex.compile(pattern).findall, encode, "<u4")
 
 
 def write_segments(
@@ -199,23 +250,15 @@ def write_segments(
             keys = batch.column("doc_id").to_pylist()
             if keys:
                 part = batch.column("part")[0].as_py()
-            at = 0
-            for texts in text_slices(batch.column("text").to_pylist()):
-                cuts = [cut_text(text) for text in texts]
-                known = cache.learn({piece for cut in cuts for piece in cut})
-                for cut in cuts:
-                    ids: list[int] = []
-                    for piece in cut:
-                        ids += known[piece]
-                    ids.append(end_id)
-                    if held and total + len(ids) > segment_ids:
-                        yield flush()
-                        number, held, lengths, names, total = number + 1, [], [], [], 0
-                    held.append(np.array(ids, dtype=np.uint32))
-                    lengths.append(len(ids))
-                    names.append(keys[at])
-                    total += len(ids)
-                    at += 1
+            for at, ids in enumerate(cache.encode_texts(batch.column("text").to_pylist())):
+                ids = np.append(ids, np.uint32(end_id))
+                if held and total + len(ids) > segment_ids:
+                    yield flush()
+                    number, held, lengths, names, total = number + 1, [], [], [], 0
+                held.append(ids)
+                lengths.append(len(ids))
+                names.append(keys[at])
+                total += len(ids)
         if held:
             yield flush()
 
