@@ -51,6 +51,7 @@ _PLACE = [("k1", "<u8"), ("k2", "<u8"), ("at", "<i4")]
 ANCHOR = np.dtype([("h", "<u8"), *_PLACE, ("left", "<u8"), ("right", "<u8"), ("state", "u1")])
 DOUBLED = np.dtype([("h", "<u8"), *_PLACE, ("state", "u1")])
 ASKED = np.dtype([("h", "<u8"), ("h2", "<u8"), *_PLACE, ("state", "u1")])
+PLACE = np.dtype(_PLACE)
 #: Record states: to be looked up, already known to repeat, mere evidence.
 OPEN, KNOWN, EVIDENCE = 0, 1, 2
 _ROWS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("payload", T.BinaryType())])
@@ -113,39 +114,61 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], _ROWS.names)
 
 
-def _look_up(
+def _by_bucket(
     rows: DataFrame, kind: np.dtype, then: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: T.StructType
 ) -> DataFrame:
-    """Bring each bucket together and hand its repeated records to ``then``."""
+    """Bring the records of each bucket together and hand them to ``then``."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
 
-    def resolve(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        records = np.frombuffer(b"".join(held), dtype=kind)
-        open_ones, repeated = _groups(records[records["state"] != KNOWN])
-        found = open_ones[repeated & (open_ones["state"] == OPEN)]
-        yield from then(np.concatenate([found, records[records["state"] == KNOWN]]))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         for batch in batches:
             for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist()):
                 if bucket != current and held:
-                    yield from resolve(held)
+                    yield from then(np.frombuffer(b"".join(held), dtype=kind))
                     held = []
                 current = bucket
                 held.append(payload)
         if held:
-            yield from resolve(held)
+            yield from then(np.frombuffer(b"".join(held), dtype=kind))
 
     return ranged.mapInArrow(work, schema)
 
 
+def _look_up(rows: DataFrame, kind: np.dtype, then: Callable[[np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Hand the repeated records of each bucket to ``then``."""
+
+    def resolve(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        open_ones, repeated = _groups(records[records["state"] != KNOWN])
+        found = open_ones[repeated & (open_ones["state"] == OPEN)]
+        yield from then(np.concatenate([found, records[records["state"] == KNOWN]]))
+
+    return _by_bucket(rows, kind, resolve, _ROWS)
+
+
+def _texts_of(rows: DataFrame) -> DataFrame:
+    """One row for each text, with the places found in it by all buckets."""
+    return _by_bucket(rows, PLACE, _by_text, _FOUND)
+
+
 def _keyed(records: np.ndarray, key: bytes) -> np.ndarray:
     records["k1"], records["k2"] = np.frombuffer(key, dtype="<u8")
     return records
 
 
+def _to_texts(records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pack the places found by buckets of texts."""
+    target = mix(records["k1"]) % np.uint64(buckets)
+    order = np.lexsort([records["at"], records["k1"], target])
+    places = np.empty(len(records), dtype=PLACE)
+    for name in PLACE.names:
+        places[name] = records[name][order]
+    cuts = np.flatnonzero(np.diff(target[order])) + 1
+    firsts = target[order][np.concatenate([[0], cuts])] if len(places) else []
+    yield _batch([(int(bucket), part.tobytes()) for part, bucket in zip(np.split(places, cuts), firsts)])
+
+
 def _by_text(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each text: its key and the places found."""
     records = records[np.lexsort([records["at"], records["k2"], records["k1"]])]
@@ -230,21 +253,22 @@ def repeated_windows(df: DataFrame, text_col: str = "text", window: int = WINDOW
     def to_doubled(anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _batch(list(_send(_doubled_records(anchors, base), buckets)))
 
+    def to_texts(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        return _to_texts(found, buckets)
+
     first = docs.mapInArrow(emit(lambda key, words: _anchor_records(key, words, base, window), False), _ROWS)
-    second = _look_up(first, ANCHOR, to_doubled, _ROWS)
-    starts = _look_up(second, DOUBLED, _by_text, _FOUND)
-    held = settle(starts.groupBy("text_key").agg(F.array_join(F.collect_list(F.hex("places")), "").alias("places")))
+    second = _look_up(first, ANCHOR, to_doubled)
+    held = settle(_texts_of(_look_up(second, DOUBLED, to_texts)))
     wanted = held.select("text_key")
     texts = docs.join(small_side(wanted, 40), "text_key", "left_semi").dropDuplicates(["text_key"])
-    candidates = stored(texts.join(held, "text_key").select("text_key", "text", F.unhex("places").alias("places")), "candidates")
+    candidates = stored(texts.join(held, "text_key"), "candidates")
 
     def asked(key: bytes, words: np.ndarray, places: bytes) -> np.ndarray:
         return _asked_records(key, words, np.frombuffer(places, dtype="<i4").astype(np.int64), base, window)
 
     third = candidates.mapInArrow(emit(asked, True), _ROWS)
-    found = _look_up(third, ASKED, _by_text, _FOUND)
-    joined = found.groupBy("text_key").agg(F.unhex(F.array_join(F.collect_list(F.hex("places")), "")).alias("places"))
-    return candidates.drop("places").join(joined, "text_key")
+    found = _texts_of(_look_up(third, ASKED, to_texts))
+    return candidates.drop("places").join(found, "text_key")
 
 
 def remove_repeats(
