@@ -168,9 +168,9 @@ def signatures(docs: DataFrame, options: Options) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, options: Options) -> DataFrame:
-    """``node``, ``shingles`` of the given nodes (``node``, ``text_key``), from
-    the text of one document each."""
-    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    """``number``, ``shingles`` of the given nodes (``number``, ``text_key``),
+    from the text of one document each."""
+    schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,42 +179,42 @@ def full_sets(docs: DataFrame, nodes: DataFrame, options: Options) -> DataFrame:
                 for texts in text_slices(batch.column("text").to_pylist())
                 for words in word_hashes([t.encode().lower() for t in texts])
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(sets, pa.list_(pa.int64()))], schema.names)
 
-    texts = docs.select("text_key", "text").join(small_side(nodes, 72), "text_key").dropDuplicates(["node"])
-    return texts.select("node", "text").mapInArrow(work, schema)
+    texts = docs.select("text_key", "text").join(small_side(nodes, 72), "text_key").dropDuplicates(["number"])
+    return texts.select("number", "text").mapInArrow(work, schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
     """Those of the pairs ``a``, ``b`` whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("number").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("number").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - shared
     return pairs.join(left, "a").join(right, "b").where(shared * 100 >= union * options.percent).select("a", "b")
 
 
-PAIRS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def compare_buckets(members: DataFrame, options: Options, all_pairs: bool) -> DataFrame:
     """Candidate pairs ``a``, ``b`` between components inside buckets.
 
-    ``members`` has ``key``, ``node``, ``root``, ``signature`` and ``count``
+    ``members`` has ``key``, ``number``, ``root``, ``signature`` and ``count``
     (members of the bucket).  Without ``all_pairs`` each member gives the pair
     with its most similar member of another component only.
     """
     blocks = F.ceil(F.col("count") / options.block).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("number", "key"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(own, i).alias("low"), F.greatest(own, i).alias("high")))
-    placed = members.select("key", "node", "root", "signature", own.alias("own"), F.explode(others).alias("pair")).select(
-        "key", "pair.low", "pair.high", "own", "node", "root", "signature"
+    placed = members.select("key", "number", "root", "signature", own.alias("own"), F.explode(others).alias("pair")).select(
+        "key", "pair.low", "pair.high", "own", "number", "root", "signature"
     )
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = placed.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    ranged = placed.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high", "number")
     most, bits = options.most_differing, options.bits
 
-    def compare(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
         if len(group) < 2 or all(g[1] == group[0][1] for g in group):
             return
         signed = np.frombuffer(b"".join(g[2] for g in group), dtype="<u8").reshape(len(group), -1)
@@ -238,7 +238,7 @@ def compare_buckets(members: DataFrame, options: Options, all_pairs: bool) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, group, out = None, [], set()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "root", "signature")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "number", "root", "signature")]
             for key, low, high, *member in zip(*columns):
                 if (key, low, high) != current:
                     out.update(compare(group))
@@ -253,9 +253,9 @@ def compare_buckets(members: DataFrame, options: Options, all_pairs: bool) -> Da
     return ranged.mapInArrow(work, PAIRS)
 
 
-def _pair_batch(pairs: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*sorted(pairs)) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], PAIRS.names)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], PAIRS.names)
 
 
 def _estimated(pairs: DataFrame, options: Options) -> DataFrame:
@@ -277,50 +277,60 @@ def _estimated(pairs: DataFrame, options: Options) -> DataFrame:
 
 
 def link_nodes(docs: DataFrame, features: DataFrame, options: Options) -> DataFrame:
-    """``node``, ``root`` of all nodes that link with another."""
+    """``node`` and ``root`` of all nodes; the root is the number of some node
+    of the component."""
     nodes = (
         features.where("node is not null")
         .groupBy("node")
         .agg(F.first("text_key").alias("text_key"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
     )
-    held = stored(nodes, "nodes")
-    spread = held.select("node", F.explode("keys").alias("key"))
+    # The numbers are written down with the nodes, so they stay what they are.
+    held = stored(nodes.withColumn("number", F.monotonically_increasing_id()), "nodes")
+    spread = held.select("number", F.explode("keys").alias("key"))
     shared = settle(
-        spread.groupBy("key").agg(F.count("*").alias("count"), F.min("node").alias("leader")).where("count > 1")
+        spread.groupBy("key").agg(F.count("*").alias("count"), F.min("number").alias("leader")).where("count > 1")
     )
-    members = settle(spread.join(small_side(shared.select("key"), 40), "key", "left_semi"))
+    members = settle(spread.join(small_side(shared.select("key"), 24), "key", "left_semi"))
     signed = settle(
-        held.select("node", "text_key", "signature").join(
-            small_side(members.select("node").distinct(), 40), "node", "left_semi"
+        held.select("number", "text_key", "signature").join(
+            small_side(members.select("number").distinct(), 24), "number", "left_semi"
         )
     )
-    sets = stored(full_sets(docs, signed.select("node", "text_key"), options), "sets")
+    sets = stored(full_sets(docs, signed.select("number", "text_key"), options), "sets")
 
-    star = members.join(shared, "key").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    star = (
+        members.join(shared, "key")
+        .where("number <> leader")
+        .select(F.col("leader").alias("a"), F.col("number").alias("b"))
+        .distinct()
+    )
     sides = {
-        side: signed.select(F.col("node").alias(side), F.col("signature").alias(f"g{side}")) for side in ("a", "b")
+        side: signed.select(F.col("number").alias(side), F.col("signature").alias(f"g{side}")) for side in ("a", "b")
     }
     candidates = settle(_estimated(star.join(sides["a"], "a").join(sides["b"], "b"), options))
     links = settle(confirmed(candidates, sets, options))
-    labels = components(links)
+    labels = components(links).select(F.col("node").alias("number"), "root")
     for all_pairs in (False, True):
-        rooted = (
-            members.join(labels, "node", "left")
-            .select("key", "node", F.coalesce("root", "node").alias("root"))
+        rooted = members.join(labels, "number", "left").select(
+            "key", "number", F.coalesce("root", "number").alias("root")
         )
-        mixed = (
+        mixed = settle(
             rooted.groupBy("key")
             .agg(F.count("*").alias("count"), F.min("root").alias("least"), F.max("root").alias("most"))
             .where("least <> most")
             .select("key", "count")
         )
-        open_members = rooted.join(settle(mixed), "key").join(signed.select("node", "signature"), "node")
+        if mixed.isEmpty():
+            break
+        open_members = rooted.join(mixed, "key").join(signed.select("number", "signature"), "number")
         candidates = settle(compare_buckets(open_members, options, all_pairs).distinct())
         more = settle(confirmed(candidates, sets, options))
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = components(links)
-    return labels
+            labels = components(links).select(F.col("node").alias("number"), "root")
+    return held.select("node", "number").join(labels, "number", "left").select(
+        "node", F.coalesce("root", "number").alias("root")
+    )
 
 
 def near_duplicates(
@@ -333,7 +343,7 @@ def near_duplicates(
     features = stored(signatures(docs, options), "signatures")
     labels = link_nodes(docs, features, options)
     ids = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = settle(ids.join(labels, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    rooted = settle(ids.join(labels, "node"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = settle(rooted.join(roots, "root").select("node", "component_id"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table, in bytes, that may be sent to every executor.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 4 << 20
 
 #: ASCII letters; only these are changed by :func:`lower_ascii`.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
