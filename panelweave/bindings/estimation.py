@@ -263,7 +263,7 @@ def bootstrap_se(spark, sf):
     f"""with base as (select n_nationkey nation, l_extendedprice / 1000 y, l_quantity x
       from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
 g as (select nation, count(*) n, regr_slope(y, x) b, regr_sxx(y, x) sxx, regr_sxy(y, x) sxy, regr_syy(y, x) syy from base group by 1)
-select nation, {r('b', 'coefficient')}, {r('sqrt((syy - b * sxy) / (n - 2) / sxx)', 'std_error')}, n n_obs, {r('b * sxy / syy', 'r_squared')} from g where n >= 10""",
+select nation, {r('case when n >= 10 then b end', 'coefficient')}, {r('case when n >= 10 then sqrt((syy - b * sxy) / (n - 2) / sxx) end', 'std_error')}, n n_obs, {r('case when n >= 10 then b * sxy / syy end', 'r_squared')} from g""",
 )
 def grouped_ols(spark, sf):
     suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
@@ -278,6 +278,75 @@ def grouped_ols(spark, sf):
     return rounded(rows.select("nation", "coefficient", "std_error", "n_obs", "r_squared"))
 
 
+@query(
+    "grouped_ols_small",
+    f"""with base as (select o_custkey customer, o_totalprice y, cast(date_part('month', o_orderdate) as double) x from orders),
+g as (select customer, count(*) n, regr_slope(y, x) b, regr_sxx(y, x) sxx, regr_sxy(y, x) sxy, regr_syy(y, x) syy from base group by 1),
+e as (select *, n >= 10 and sxx > n * 1e-24 ok from g)
+select customer, {r('case when ok then b end', 'coefficient')}, {r('case when ok then sqrt((syy - b * sxy) / (n - 2) / sxx) end', 'std_error')}, n n_obs,
+ case when n < 10 then 'fewer than 10 rows' when not ok then 'not identified' end reason from e""",
+)
+def grouped_ols_small(spark, sf):
+    """Many customers have too few orders; their rows say so."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("y"), F.month("o_orderdate").cast("double").alias("x")
+    )
+    rows = reg.grouped_ols(orders, "y", "x", "customer")
+    return rounded(rows.select("customer", "coefficient", "std_error", "n_obs", "reason"))
+
+
+_CONTROLS = {
+    "x0": "l_quantity",
+    "x1": "l_extendedprice / 1000 + 1e6",
+    "x2": "l_discount",
+    "x3": "l_tax + 1e6",
+    "x4": "cast(l_linenumber as double)",
+    "x5": "cast(l_partkey % 97 as double) + 1e6",
+    "x6": "cast(l_suppkey % 31 as double)",
+    "x7": "cast(l_orderkey % 13 as double) + 1e6",
+}
+_WIDE_OUTCOME = (
+    "2 * l_quantity - 30 * l_discount + l_extendedprice / 2000 + (l_partkey % 7) + 3 * l_linenumber"
+    " - 0.25 * (l_orderkey % 13) + 10 * l_tax + 0.1 * (l_suppkey % 31) + 0.2 * (l_partkey % 97) + 1e6"
+)
+_WIDE_BASE = (
+    f"base as (select l_orderkey * 10 + l_linenumber rid, cast({_WIDE_OUTCOME} as double) y, "
+    + ", ".join(f"{sql} {name}" for name, sql in _CONTROLS.items())
+    + ", l_returnflag flag from lineitem)"
+)
+
+
+def _wide_base(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    y = F.expr(f"cast({_WIDE_OUTCOME} as double)").alias("y")
+    return rows.select(y, *[F.expr(sql).alias(name) for name, sql in _CONTROLS.items()], F.col("l_returnflag").alias("flag"))
+
+
+@query(
+    "ols_many_controls",
+    f"with {_WIDE_BASE},\n" + sweep_sql("base", "rid", "y", list(_CONTROLS))
+    + f" select 'x' || (j - 1) term, {r('b', 'coefficient', 3)}, {r('sqrt(v)', 'std_error', 3)}, n n_obs from est",
+)
+def ols_many_controls(spark, sf):
+    """Eight regressors, half of them far from zero."""
+    fit = reg.run_ols(_wide_base(spark, sf), "y", list(_CONTROLS), all_terms=True)
+    return rounded(fit.select("term", "coefficient", "std_error", "n_obs"), 3)
+
+
+@query(
+    "ols_many_controls_by_flag",
+    " union all ".join(
+        f"(with {_WIDE_BASE}, part as (select * from base where flag = '{flag}'),\n"
+        + sweep_sql("part", "rid", "y", list(_CONTROLS))
+        + f" select '{flag}' flag, 'x' || (j - 1) term, {r('b', 'coefficient', 3)}, n n_obs from est)"
+        for flag in ("A", "N", "R")
+    ),
+)
+def ols_many_controls_by_flag(spark, sf):
+    fit = reg.run_ols(_wide_base(spark, sf), "y", list(_CONTROLS), keys=["flag"], all_terms=True)
+    return rounded(fit.select("flag", "term", "coefficient", "n_obs"), 3)
+
+
 def _r1(kind: str) -> str:
     """CTE ``g``: simple OLS by test from ``t(test_name, y, x)``."""
     return (
@@ -473,7 +542,7 @@ def alternative_cluster(spark, sf):
     f"""with base as (select n_nationkey nation, l_extendedprice / 1000 y, l_discount x
       from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
 g as (select nation, count(*) n, regr_slope(y, x) b, sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2) / regr_sxx(y, x)) se from base group by 1),
-f as (select *, {p_sql('(b / se)', '(n - 2)')} p from g)
+f as (select nation, n, b, se, {p_sql('(b / se)', '(n - 2)')} p from (select nation, n, case when n >= 10 then b end b, case when n >= 10 then se end se from g))
 select nation, printf('%.3f', b) || case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end || ' (' || printf('%.3f', se) || ')' coefficient_text,
        case when p < 0.001 then '<0.001' else printf('%.3f', p) end p_text,
        '[' || printf('%.2f', b - 1.96 * se) || ', ' || printf('%.2f', b + 1.96 * se) || ']' ci_text,
@@ -482,7 +551,7 @@ select nation, printf('%.3f', b) || case when p < 0.001 then '***' when p < 0.01
        printf('%.1f', case when abs(p) <= 1 then p * 100 else p end) || '%' percent_text,
        case when b > 0 then '+' else '' end || printf('%.3f', b) difference_text,
        p < 0.05 significant_05, p < 0.01 significant_01
-from f where n >= 10""",
+from f""",
 )
 def format_table(spark, sf):
     from ..functions import formats as fmt

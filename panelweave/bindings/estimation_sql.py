@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from ..functions.inference import ERF_COEFFICIENTS, ERF_P, LARGE_DOF, T_EXPANSION, Z_975
+from ..functions.inference import ERF_COEFFICIENTS, ERF_P, T_EXPANSION, Z_975
 
 
 def p_sql(t: str, dof: str) -> str:
     """Two-sided p-value of t."""
-    z = f"(case when {dof} > {LARGE_DOF} then abs({t}) else abs({t}) * (1 - 1.0 / (4.0 * {dof})) / sqrt(1 + ({t}) * ({t}) / (2.0 * {dof})) end)"
+    z = f"(abs({t}) * (1 - 1.0 / (4.0 * {dof})) / sqrt(1 + ({t}) * ({t}) / (2.0 * {dof})))"
     x = f"({z} / sqrt(2.0))"
     u = f"(1.0 / (1.0 + {ERF_P} * {x}))"
     poly = "0.0"
@@ -25,7 +25,7 @@ def p_sql(t: str, dof: str) -> str:
 
 def critical_sql(dof: str) -> str:
     small = " + ".join([f"{Z_975}", *[f"{c} / pow({dof}, {i})" for i, c in enumerate(T_EXPANSION, 1)]])
-    return f"(case when {dof} > {LARGE_DOF} then {Z_975} else {small} end)"
+    return f"({small})"
 
 
 def demean_sql(source: str, target: str, variables: Sequence[str], effects: Sequence[str], carry: Sequence[str]) -> str:

@@ -17,16 +17,13 @@ def _orders(spark, sf):
 
 
 def _customers(spark, sf):
-    """Without one segment, so that some orders stay unmatched."""
-    return (
-        table(spark, sf, "customer")
-        .filter(F.col("c_mktsegment") != "HOUSEHOLD")
-        .select(F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("balance"), "c_mktsegment")
-    )
+    """One segment has other keys, so that rows of both sides stay unmatched."""
+    key = F.when(F.col("c_mktsegment") == "HOUSEHOLD", -F.col("c_custkey") - 1).otherwise(F.col("c_custkey"))
+    return table(spark, sf, "customer").select(key.alias("custkey"), F.col("c_acctbal").alias("balance"), "c_mktsegment")
 
 
 _SIDES = """l as (select o_custkey custkey, o_orderkey, o_totalprice balance from orders),
-r as (select c_custkey custkey, c_acctbal balance, c_mktsegment from customer where c_mktsegment <> 'HOUSEHOLD')"""
+r as (select case when c_mktsegment = 'HOUSEHOLD' then -c_custkey - 1 else c_custkey end custkey, c_acctbal balance, c_mktsegment from customer)"""
 
 
 def _link_sql(kind: str) -> str:
@@ -93,7 +90,7 @@ def linkage_summary_multiplied(spark, sf):
 @query(
     "link_multi",
     """select l_orderkey orderkey, l_suppkey suppkey, l_linenumber, l_quantity, o_custkey, s_name from lineitem
-left join orders on l_orderkey = o_orderkey left join (select * from supplier where s_acctbal >= 0) s on l_suppkey = s_suppkey""",
+left join orders on l_orderkey = o_orderkey left join supplier on l_suppkey = case when s_acctbal < 0 then -s_suppkey - 1 else s_suppkey end""",
 )
 def link_multi(spark, sf):
     linked, _ = linkage.link_sources(*_multi(spark, sf))
@@ -106,7 +103,9 @@ def _multi(spark, sf):
     )
     sources = {
         "orders": table(spark, sf, "orders").select(F.col("o_orderkey").alias("orderkey"), "o_custkey"),
-        "supplier": table(spark, sf, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("suppkey"), "s_name"),
+        "supplier": table(spark, sf, "supplier").select(
+            F.when(F.col("s_acctbal") < 0, -F.col("s_suppkey") - 1).otherwise(F.col("s_suppkey")).alias("suppkey"), "s_name"
+        ),
         "region": table(spark, sf, "region"),
     }
     return lines, sources, ["orderkey", "suppkey"]
@@ -116,8 +115,8 @@ def _multi(spark, sf):
     "link_multi_summary",
     f"""select 'orders' source, (select count(*) from orders) n_source, count(o_orderkey) n_matched, count(*) - count(o_orderkey) n_unmatched,
  {r('count(o_orderkey) / (count(*) * 1.0)', 'match_rate')}, 'exact' match_type, 'orderkey' key_columns, count(*) n_rows from lineitem left join orders on l_orderkey = o_orderkey
-union all select 'supplier', (select count(*) from supplier where s_acctbal >= 0), count(s_suppkey), count(*) - count(s_suppkey),
- {r('count(s_suppkey) / (count(*) * 1.0)', 'x')}, 'exact', 'suppkey', count(*) from lineitem left join (select * from supplier where s_acctbal >= 0) s on l_suppkey = s_suppkey""",
+union all select 'supplier', (select count(*) from supplier), count(s_suppkey), count(*) - count(s_suppkey),
+ {r('count(s_suppkey) / (count(*) * 1.0)', 'x')}, 'exact', 'suppkey', count(*) from lineitem left join supplier on l_suppkey = case when s_acctbal < 0 then -s_suppkey - 1 else s_suppkey end""",
 )
 def link_multi_summary(spark, sf):
     return rounded(linkage.link_sources(*_multi(spark, sf))[1])

@@ -180,20 +180,20 @@ def panel_skeleton(spark, sf):
 @query(
     "panel_entry_exit",
     f"""with {PANEL_SQL},
-x as (select s_suppkey id, cast(s_suppkey % 83 as int) exit_period from supplier where s_acctbal < 0),
+x as (select s_suppkey id, cast(s_suppkey % 83 as int) exit_period from supplier),
 k as (select panel.id, panel.period, outcome, treatment from panel left join x on panel.id = x.id where exit_period is null or period < exit_period),
-n as (select 1000000 + c_custkey id, cast(unnest(range(cast(c_nationkey as int), 24)) as int) period from customer)
+n as (select 1000000 + c_custkey id, cast(unnest(range(cast(c_nationkey as int), 26)) as int) period from customer)
 select id, period, {r('outcome')}, treatment, cast(null as int) entry_period from k
 union all select id, period, null, 0, cast(min(period) over (partition by id) as int) from n""",
 )
 def panel_entry_exit(spark, sf):
     suppliers, customers = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    exits = suppliers.filter("s_acctbal < 0").select(
+    exits = suppliers.select(
         F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 83).cast("int").alias("exit_period")
     )
-    late = customers.filter(F.col("c_nationkey") < 24).select(
+    late = customers.select(
         (F.col("c_custkey") + 1000000).alias("id"),
-        F.explode(F.sequence(F.col("c_nationkey"), F.lit(23))).alias("period"),
+        F.explode(F.sequence(F.col("c_nationkey"), F.lit(25))).alias("period"),
         F.lit(0).alias("treatment"),
         F.col("c_nationkey").alias("entry_period"),
     )

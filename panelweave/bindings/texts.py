@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import manifest, textcheck
-from ..session import spread
 from ..sources.inventory import file_inventory, source_hints
 from .registry import query, r, rounded, table
 
@@ -28,7 +27,7 @@ CODE = f"""'\"\"\"' || text || '\"\"\"' || {_N} || 'import os' || {_N} || 'from
 
 
 def _docs(spark, sf, expression: str, *more: str):
-    docs = spread(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.expr(expression).alias("body"), *more)
 
 
@@ -267,7 +266,7 @@ _DOCSTRING = textcheck.DOCSTRING.replace("'", "''")
 
 @query(
     "docstrings",
-    f"with {_sql(CODE)} select doc_id, substr(regexp_replace(regexp_extract(body, '{_DOCSTRING}', 1), '^\\s+|\\s+$', '', 'g'), 1, 500) docstring from d",
+    f"with {_sql(CODE)} select doc_id, regexp_replace(regexp_extract(body, '{_DOCSTRING}', 1), '^\\s+|\\s+$', '', 'g') docstring from d",
 )
 def docstrings(spark, sf):
     return textcheck.docstrings(_docs(spark, sf, CODE), "doc_id", "body")
@@ -276,10 +275,10 @@ def docstrings(spark, sf):
 @query(
     "file_inventory",
     """select source || '/' || cast(doc_id as varchar) || '.md' path, strlen(text) size_bytes, 'manuscript' category,
-case when strlen(text) <= 5000 then sha256(text) end sha256 from documents where lang <> 'de'""",
+sha256(text) sha256 from documents where lang <> 'de'""",
 )
 def file_inventory_query(spark, sf):
-    """Documents as files: digests only up to a size, one kind left out."""
+    """Documents as files of two kinds, one of which the inventory leaves out."""
     ext = F.when(F.col("lang") == "de", ".tex").otherwise(".md")
     files = table(spark, sf, "documents").select(
         F.concat_ws("", "source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path"),
@@ -287,12 +286,12 @@ def file_inventory_query(spark, sf):
         F.lit("2024-01-01").cast("timestamp").alias("modificationTime"),
         F.col("text").cast("binary").alias("content"),
     )
-    return file_inventory(files, "manuscript", [".md"], max_hash_bytes=5000).drop("mtime")
+    return file_inventory(files, "manuscript", [".md"]).drop("mtime")
 
 
 _LEFT_MANIFEST = "a as (select 'm/' || cast(doc_id as varchar) path, strlen(text) size_bytes, lang mtime, case when lang <> 'de' then sha256(text) end sha256 from documents)"
-_RIGHT_MANIFEST = """b as (select 'm/' || cast(d.doc_id as varchar) path, strlen(text) size_bytes, case when quality = 0 then 'later' else lang end mtime, sha256(case when quality = 0 then text || ' x' else text end) sha256
- from documents d left join labels l on d.doc_id = l.doc_id where coalesce(toxic, 0) = 0 union all select 'p/' || cast(page_id as varchar), strlen(html), 'html', sha256(html) from pages)"""
+_RIGHT_MANIFEST = """b as (select case when toxic = 1 then 'moved/' else 'm/' end || cast(d.doc_id as varchar) path, strlen(text) size_bytes, case when quality = 0 then 'later' else lang end mtime, sha256(case when quality = 0 then text || ' x' else text end) sha256
+ from documents d left join labels l on d.doc_id = l.doc_id union all select 'p/' || cast(page_id as varchar), strlen(html), 'html', sha256(html) from pages)"""
 
 
 @query(
@@ -314,10 +313,11 @@ def manifest_diff(spark, sf):
     text, lang = F.col("text"), F.col("lang")
     path = F.concat(F.lit("m/"), F.col("doc_id").cast("string"))
     left = record(docs, path, text, lang, F.when(lang != "de", sha(text)))
-    kept = docs.join(labels, "doc_id", "left").filter(F.coalesce("toxic", F.lit(0)) == 0)
+    labelled = docs.join(labels, "doc_id", "left")
+    moved = F.concat(F.when(F.col("toxic") == 1, "moved/").otherwise("m/"), F.col("doc_id").cast("string"))
     bad = F.coalesce(F.col("quality") == 0, F.lit(False))
     edited = F.when(bad, F.concat(text, F.lit(" x"))).otherwise(text)
-    right = record(kept, path, text, F.when(bad, "later").otherwise(lang), sha(edited))
+    right = record(labelled, moved, text, F.when(bad, "later").otherwise(lang), sha(edited))
     html = F.col("html")
     added = record(pages, F.concat(F.lit("p/"), F.col("page_id").cast("string")), html, F.lit("html"), sha(html))
     return manifest.compare_manifests(left, right.unionByName(added))

@@ -33,7 +33,7 @@ T_EXPANSION = (
     (79 * Z_975**9 + 776 * Z_975**7 + 1482 * Z_975**5 - 1920 * Z_975**3 - 945 * Z_975) / 92160,
 )
 _WINITZKI_A = 8 * (math.pi - 3) / (3 * math.pi * (4 - math.pi))
-# Fixed value: degrees of freedom above which the normal is used.
+# Fixed value: degrees of freedom above which "estimation" uses the normal.
 LARGE_DOF = 100
 
 
@@ -63,7 +63,7 @@ def p_value(t, dof, method: str = "t") -> Column:
     """Two-sided p-value of a t statistic."""
     t, dof = as_column(t), as_column(dof).cast("double")
     if method == "t":
-        return F.when(dof > LARGE_DOF, normal_two_sided_p(t)).otherwise(normal_two_sided_p(_t_as_z(t, dof)))
+        return normal_two_sided_p(_t_as_z(t, dof))
     if method == "estimation":
         return F.when(dof > LARGE_DOF, normal_two_sided_p(t)).otherwise(_power_tail(t, dof, dof * dof))
     if method == "power":
@@ -78,7 +78,7 @@ def critical_value(dof, method: str = "t") -> Column:
         small = F.lit(Z_975)
         for power, coefficient in enumerate(T_EXPANSION, 1):
             small = small + F.lit(coefficient) / F.pow(dof, power)
-        return F.when(dof > LARGE_DOF, F.lit(Z_975)).otherwise(small)
+        return small
     if method == "estimation":
         log_term = math.log(1 - 0.95**2)
         inner = 2 / (math.pi * _WINITZKI_A) + log_term / 2

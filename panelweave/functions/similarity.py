@@ -22,31 +22,35 @@ def levenshtein_similarity(left, right) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - distance / longest)
 
 
-def _jaro_winkler_pair(left: str, right: str) -> float:
-    if left == right:
-        return 1.0
-    if not left or not right:
-        return 0.0
-    reach = max(max(len(left), len(right)) // 2 - 1, 0)
-    free = list(right)
-    paired = []
-    for at, char in enumerate(left):
-        spot = next((j for j in range(max(0, at - reach), min(at + reach + 1, len(right))) if free[j] == char), None)
-        if spot is not None:
-            free[spot] = None
-            paired.append((char, spot))
-    if not paired:
-        return 0.0
-    in_right_order = (right[spot] for spot in sorted(spot for _, spot in paired))
-    swapped = sum(char != other for (char, _), other in zip(paired, in_right_order))
-    common = len(paired)
-    jaro = (common / len(left) + common / len(right) + (common - swapped / 2) / common) / 3
-    lead = next((i for i, (a, b) in enumerate(zip(left[:MAX_PREFIX], right)) if a != b), min(len(left), len(right), MAX_PREFIX))
-    return jaro + lead * PREFIX_BONUS * (1 - jaro)
-
-
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Jaro-Winkler similarity, ignoring case; halves of transpositions count."""
+    """Jaro-Winkler similarity, ignoring case; halves of transpositions count.
+
+    The helper is nested so that it travels with the function: workers need not
+    have the package.
+    """
+
+    def similarity(left: str, right: str) -> float:
+        if left == right:
+            return 1.0
+        if not left or not right:
+            return 0.0
+        reach = max(max(len(left), len(right)) // 2 - 1, 0)
+        free = list(right)
+        paired = []
+        for at, char in enumerate(left):
+            spot = next((j for j in range(max(0, at - reach), min(at + reach + 1, len(right))) if free[j] == char), None)
+            if spot is not None:
+                free[spot] = None
+                paired.append((char, spot))
+        if not paired:
+            return 0.0
+        in_right_order = (right[spot] for spot in sorted(spot for _, spot in paired))
+        swapped = sum(char != other for (char, _), other in zip(paired, in_right_order))
+        common = len(paired)
+        jaro = (common / len(left) + common / len(right) + (common - swapped / 2) / common) / 3
+        lead = next((i for i, (a, b) in enumerate(zip(left[:MAX_PREFIX], right)) if a != b), min(len(left), len(right), MAX_PREFIX))
+        return jaro + lead * PREFIX_BONUS * (1 - jaro)
+
     pairs = zip(left.str.lower(), right.str.lower())
-    return pd.Series([None if a is None or b is None else _jaro_winkler_pair(a, b) for a, b in pairs], dtype="float64")
+    return pd.Series([None if a is None or b is None else similarity(a, b) for a, b in pairs], dtype="float64")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.missing import is_missing
 from ..sources.files import load_data, path_exists
 from .manifest import compare_columns
 
@@ -26,7 +27,7 @@ STAGE_SCHEMA = (
 def missing_counts(df: DataFrame) -> DataFrame:
     """(column_name, n_missing, percent_missing) for columns with any, in one pass."""
     total = F.count(F.lit(1))
-    wide = df.agg(total.alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)])
+    wide = df.agg(total.alias("_n"), *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)])
     rows = F.array(
         *[
             F.struct(
@@ -44,7 +45,7 @@ def audit_frame(df: DataFrame, stage_no: int, name: str) -> DataFrame:
     """One row for a stage held as a DataFrame."""
     wide = df.agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)],
+        *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
     )
     pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"m{i}").alias("value")) for i, c in enumerate(df.columns)])
     return wide.select(
@@ -64,7 +65,7 @@ def audit_frame(df: DataFrame, stage_no: int, name: str) -> DataFrame:
 def audit_stage(spark: SparkSession, stage_no: int, name: str, path: str) -> DataFrame:
     """One row for a stage file; a missing or unreadable file is noted."""
     if not path_exists(spark, path):
-        note = [(stage_no, name, False, 0, 0, [], 0.0, None, {}, "File not found")]
+        note = [(stage_no, name, False, 0, 0, [], 0.0, None, {}, "no file")]
         return spark.createDataFrame(note, STAGE_SCHEMA)
     try:
         df = load_data(spark, path, nan_as_null=True)
@@ -115,7 +116,7 @@ class PipelineAudit:
 
     def _path(self, name: str) -> str:
         if name not in self.stages:
-            raise ValueError(f"Stage not found. Available: {list(self.stages)}")
+            raise ValueError(f"no such stage among {list(self.stages)}")
         return f"{self.root}/{self.stages[name]}"
 
     def audit_stage(self, name: str) -> DataFrame:

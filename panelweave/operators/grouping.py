@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.missing import is_missing
+
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Add aggregates of each group to its rows; rows with a NULL key get NULL."""
@@ -125,7 +127,7 @@ def exact_quantiles(
     """
     keys = list(keys)
     counts = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(~is_missing(df, value))
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )

@@ -39,16 +39,16 @@ def exact_match(
     null_safe: bool = False,
     validate_merge: str | None = None,
     source: str = "secondary",
-    skewed_right: bool = False,
+    skewed_right: bool = True,
     compat_counts: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Link on equal keys; returns the linked rows and a one-row summary.
 
     ``validate_merge`` is ``"one_to_one"``, ``"one_to_many"``,
     ``"many_to_one"`` or ``None``; a violated rule fails the job that reads
-    the result.  ``skewed_right`` writes a left join as an inner join plus the
-    rows without a partner, because adaptive execution can split a hot key of
-    the right side only in an inner join.
+    the result.  A left link is written as an inner join plus the rows without a
+    partner, because adaptive execution can split a hot key of the right side
+    only in an inner join; without ``skewed_right`` it is one left join.
     """
     keys = [on] if isinstance(on, str) else list(on)
     summary = link_summary(left, right, keys, how, null_safe, source, compat_counts)

@@ -18,10 +18,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Widest set of variables for which one aggregate expression per pair pays;
-#: wider designs (event-time dummies) multiply matrices per Arrow batch.
-EXPRESSION_LIMIT = 6
-
 
 def pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
@@ -45,52 +41,65 @@ def group_moments(df: DataFrame, variables: Sequence[str], keys: Sequence[str] =
     return doubles.groupBy(*keys).agg(*aggs)
 
 
-def product_sums(df: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """One row (n, sums, products) for many variables.
+def matrix_moments(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """One row (n, mu, s) for many variables, ``s`` being the upper triangle in
+    the order of :func:`pairs`.
 
-    ``products`` is the upper triangle, in the order of :func:`pairs`, of the
-    sums of products.  Each task reduces its Arrow batches to one set of sums
-    by matrix products, and the tasks are added up by position.
+    The same moments as :func:`group_moments`, by matrix products: each Arrow
+    batch is centred on its own means, and two sets of moments are merged with
+    the gap between their means, first inside a task and then over one row per
+    task.  No raw sum of squares is formed, so values far from zero keep their
+    digits.
     """
     p = len(variables)
     upper = np.triu_indices(p)
 
-    def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, sums, products = 0, np.zeros(p), np.zeros((p, p))
+    def merge(
+        one: tuple[float, np.ndarray, np.ndarray], other: tuple[float, np.ndarray, np.ndarray]
+    ) -> tuple[float, np.ndarray, np.ndarray]:
+        n = one[0] + other[0]
+        if not other[0] or not n:
+            return one
+        gap = other[1] - one[1]
+        return n, one[1] + gap * (other[0] / n), one[2] + other[2] + np.outer(gap, gap) * (one[0] * other[0] / n)
+
+    def packed(held: tuple[float, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        n, mean, inner = held
+        arrays = [pa.array([n]), pa.array([mean.tolist()]), pa.array([inner[upper].tolist()])]
+        return pa.RecordBatch.from_arrays(arrays, names=["n", "mu", "s"])
+
+    nothing = (0.0, np.zeros(p), np.zeros((p, p)))
+
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = nothing
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            n, sums, products = n + len(x), sums + x.sum(axis=0), products + x.T @ x
-        values = np.concatenate([[float(n)], sums, products[upper]])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(values), dtype="int32")), pa.array(values)], names=["pos", "value"]
-        )
+            if batch.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                mean = x.mean(axis=0)
+                held = merge(held, (float(len(x)), mean, (x - mean).T @ (x - mean)))
+        yield packed(held)
+
+    def reduce_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = nothing
+        for batch in batches:
+            for n, mean, triangle in zip(*(c.to_pylist() for c in batch.columns)):
+                inner = np.zeros((p, p))
+                inner[upper] = triangle
+                held = merge(held, (n, np.array(mean), inner + np.triu(inner, 1).T))
+        yield packed(held)
 
+    schema = "n double, mu array<double>, s array<double>"
     doubles = df.select(*[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(variables)])
-    parts = doubles.mapInArrow(reduce_batches, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value"))
-    # One array of 1 + p + p (p + 1) / 2 numbers.
-    flat = parts.agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("flat"))
-    numbers = F.transform("flat", lambda e: e["value"])
-    return flat.select(
-        F.element_at(numbers, 1).alias("n"),
-        F.slice(numbers, 2, p).alias("sums"),
-        F.slice(numbers, p + 2, len(upper[0])).alias("products"),
-    )
-
-
-def wide_moments(df: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """One row (n, mu, s) for many variables, ``s`` centred.  Meant for columns
-    near zero already, as dummies and demeaned values are."""
-    p = len(variables)
+    # A row of moments per task meets in one.
+    return doubles.mapInArrow(reduce_rows, schema).repartition(1).mapInArrow(reduce_tasks, schema)
+
+
+def product_sums(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """One row (n, products): sums of products, not centred."""
     n = F.col("n")
-    means = product_sums(df, variables).withColumn("mu", F.transform("sums", lambda v: v / n))
-    # Row and column of each triangle entry, as two constant arrays.
-    rows, columns = (F.expr(f"array({', '.join(str(pair[side]) for pair in pairs(p))})") for side in (0, 1))
-    centred = F.transform(
-        "products", lambda v, k: v - n * F.get(F.col("mu"), F.get(rows, k)) * F.get(F.col("mu"), F.get(columns, k))
-    )
-    return means.select("n", "mu", centred.alias("s"))
+    rows, columns = (F.expr(f"array({', '.join(str(x[side]) for x in pairs(len(variables)))})") for side in (0, 1))
+    raw = F.transform("s", lambda v, k: v + n * F.get(F.col("mu"), F.get(rows, k)) * F.get(F.col("mu"), F.get(columns, k)))
+    return matrix_moments(df, variables).select("n", raw.alias("products"))
 
 
 def combine(table: DataFrame, p: int, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:

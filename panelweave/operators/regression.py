@@ -8,6 +8,7 @@ A design without full rank gives NULL estimates and ``identified = false``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,7 +22,7 @@ from ..plans.specs import PANEL, SPECIFICATIONS, PanelSpec, Specification
 from ..session import cut_lineage
 from .cleaning import complete_cases
 from .grouping import attach_group_stats
-from .moments import EXPRESSION_LIMIT, combine, group_moments, pairs, product_sums, remove, wide_moments
+from .moments import combine, group_moments, matrix_moments, pairs, product_sums, remove
 from .panel import EVENT_WINDOW, REFERENCE_PERIOD, dummy_name, event_dummies
 
 #: A scaled design with a larger condition number counts as rank deficient.
@@ -187,15 +188,15 @@ def _row_meat(cases: DataFrame, variables: Sequence[str], solution: DataFrame, k
 
 
 def _wide_solution(cases: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """Solution row of a design with many regressors."""
-    solved = wide_moments(cases, variables).withColumn("_sol", _solve_system("s"))
+    """Solution row by matrix products."""
+    solved = matrix_moments(cases, variables).withColumn("_sol", _solve_system("s"))
     means = {f"mu_{i}": F.get("mu", F.lit(i)) for i in range(len(variables))}
     parts = {c: F.col(f"_sol.{c}") for c in ("b", "inv", "rss")}
     return solved.withColumns(means | parts | {"s_0_0": F.get("s", F.lit(0))}).drop("_sol", "mu", "s")
 
 
 def _wide_ols(cases: DataFrame, variables: Sequence[str], cluster: str | None, robust: bool, method: str, all_terms: bool):
-    """Many regressors: solve first, then take scores in a second pass.
+    """Solve first, by matrix products, then take scores in a second pass.
 
     The second pass sums k scores per cluster, where the one-pass route would
     sum k (k + 1) / 2 products per cluster.
@@ -247,6 +248,17 @@ def inference_columns(coefficient: Column, std_error: Column, dof: Column, metho
     }
 
 
+ESTIMATES = ("coefficient", "std_error", "t_stat", "p_value", "ci_lower", "ci_upper", "r_squared")
+
+
+def explained(rows: DataFrame, min_rows: int) -> DataFrame:
+    """Rows with a ``reason`` where there is no estimate, NULL where there is."""
+    reason = F.when(F.col("n_obs") < min_rows, f"fewer than {min_rows} rows").when(~F.col("identified"), "not identified")
+    marked = rows.withColumn("reason", reason)
+    kept = {c: F.when(F.col("reason").isNull(), F.col(c)) for c in ESTIMATES if c in rows.columns}
+    return marked.withColumns(kept | {"identified": F.col("reason").isNull()})
+
+
 def finish(fit: DataFrame, terms: Sequence[str], keys: Sequence[str], meat: str | None, method: str, all_terms: bool):
     """Estimation rows: one per key and term, or the first term only."""
     k = len(terms)
@@ -296,6 +308,7 @@ def run_ols(
     all_terms: bool = False,
     complete: bool = False,
     centred: bool = False,
+    matrix: bool = False,
 ) -> DataFrame:
     """OLS with intercept on complete cases, for each value of ``keys``.
 
@@ -304,14 +317,18 @@ def run_ols(
     ``complete`` says that incomplete rows are gone already, ``centred`` that
     all means are near zero, as after demeaning: totals are then added up from
     the clusters, which would lose digits on values far from zero.
+
+    The number of regressors decides nothing.  A caller that knows its design
+    to be wide, as one of many dummies, may take the same moments by ``matrix``
+    products, without ``keys``; a clustered fit then has a second pass.
     """
     variables, keys = [y, *xs], list(keys)
     used = [*variables, *keys] + ([cluster] if cluster else [])
     cases = df if complete else complete_cases(df, used)
     p = len(variables)
-    if p > EXPRESSION_LIMIT:
+    if matrix:
         if keys:
-            raise ValueError(f"at most {EXPRESSION_LIMIT - 1} regressors per grouped regression")
+            raise ValueError("matrix products have no keys")
         return _wide_ols(cases, variables, cluster, robust, method, all_terms)
     if cluster:
         table = group_moments(cases, variables, [*keys, cluster])
@@ -514,7 +531,9 @@ def event_study_regression(
     xs = [dummy_name(k) for k in periods]
     with_dummies = event_dummies(df, window, reference)
     _, estimation = within_sample(with_dummies, spec.outcome, xs, fe, cluster)
-    rows = run_ols(estimation, spec.outcome, xs, cluster=cluster, method=method, all_terms=True, complete=True)
+    rows = run_ols(
+        estimation, spec.outcome, xs, cluster=cluster, method=method, all_terms=True, complete=True, matrix=True
+    )
     number = F.regexp_replace(F.substring("term", len("event_k") + 1, 10), "m", "-").cast("int")
     return rows.withColumn("event_time", number).drop("term")
 
@@ -528,7 +547,7 @@ def pretrend_f_test(
     with_dummies = event_dummies(df, window, reference=None)
     _, estimation = within_sample(with_dummies, spec.outcome, xs, fe, None)
     p = len(xs) + 1
-    fit = _wide_solution(estimation, [spec.outcome, *xs]) if p > EXPRESSION_LIMIT else solve(group_moments(estimation, [spec.outcome, *xs]), p)
+    fit = _wide_solution(estimation, [spec.outcome, *xs])
     dof = F.col("n") - p
     f_stat = F.try_divide((F.col("s_0_0") - F.col("rss")) / leads, F.try_divide(F.col("rss"), dof))
     return fit.select(
@@ -583,8 +602,9 @@ def balance_table(df: DataFrame, covariates: Sequence[str], group: str = "ever_t
     )
 
 
-# Cumulative Poisson(1) probabilities; the last step takes the rest.
-POISSON_1 = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+#: Cumulative Poisson(1) probabilities, until the rest is below the 2^-32 that
+#: :func:`hash_uniform` can tell apart.
+POISSON_1 = tuple(round(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)), 12) for n in range(12))
 
 
 def hash_uniform(*parts: Column) -> Column:
@@ -639,6 +659,10 @@ def leave_one_cluster_out(df: DataFrame, y: str, x: str, cluster: str) -> DataFr
 
 
 def grouped_ols(df: DataFrame, y: str, x: str, group: str, min_rows: int = 10, method: str = "t") -> DataFrame:
-    """One-regressor OLS for every value of a grouping column."""
+    """One-regressor OLS for every value of a grouping column.
+
+    A group without an estimate keeps its row, with NULL estimates and the
+    ``reason``: fewer than ``min_rows`` complete rows, or a constant regressor.
+    """
     rows = run_ols(df, y, [x], keys=[group], method=method)
-    return rows.filter(F.col("n_obs") >= min_rows).drop("term", "n_clusters")
+    return explained(rows, min_rows).drop("term", "n_clusters")

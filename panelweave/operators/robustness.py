@@ -13,10 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.missing import is_missing
 from ..plans.specs import PANEL, PanelSpec
 from .grouping import exact_quantiles, hash_ranked_sample
 from .moments import combine, group_moments
-from .regression import finish, hash_uniform, run_ols, solve
+from .regression import explained, finish, hash_uniform, run_ols, solve
 
 # Defaults of the battery.
 MIN_ROWS = 10
@@ -24,13 +25,15 @@ PRE_PERIOD_END = 11
 N_PLACEBOS = 5
 SUBSAMPLE = 0.8
 TRIM = (0.01, 0.99)
-COLUMNS = ("test_name", "test_type", "coefficient", "std_error", "p_value", "n_obs", "significant", "description")
+COLUMNS = (
+    "test_name", "test_type", "coefficient", "std_error", "p_value", "n_obs", "significant", "description", "reason",
+)
 
 
 def run_simple_ols(df: DataFrame, y: str, x: str, keys: Sequence[str] = (), method: str = "t") -> DataFrame:
-    """One-regressor OLS; keys with fewer than 10 complete rows give no row."""
-    out = run_ols(df, y, [x], keys=keys, method=method).filter(F.col("n_obs") >= MIN_ROWS)
-    return out.select(*keys, "coefficient", "std_error", "t_stat", "p_value", "n_obs")
+    """One-regressor OLS; keys without an estimate have a ``reason``."""
+    out = explained(run_ols(df, y, [x], keys=keys, method=method), MIN_ROWS)
+    return out.select(*keys, "coefficient", "std_error", "t_stat", "p_value", "n_obs", "reason")
 
 
 def _shape(df: DataFrame, name: Column, kind: str, description: Column) -> DataFrame:
@@ -43,6 +46,7 @@ def _shape(df: DataFrame, name: Column, kind: str, description: Column) -> DataF
         "n_obs",
         (F.col("p_value") < 0.05).alias("significant"),
         description.alias("description"),
+        "reason",
     )
 
 
@@ -72,7 +76,7 @@ def run_placebo_time(
     then multiply that small table.
     """
     ever = F.col("ever_treated") == 1 if "ever_treated" in df.columns else F.lit(True)
-    pre = df.filter((F.col(spec.time) <= pre_period_end) & F.col(spec.outcome).isNotNull())
+    pre = df.filter((F.col(spec.time) <= pre_period_end) & ~is_missing(df, spec.outcome))
     cells = group_moments(pre.select(spec.time, ever.alias("_ever"), spec.outcome), [spec.outcome], [spec.time, "_ever"])
     fakes = placebo_periods(df, n_placebos, pre_period_end, spec)
     axis = fakes.agg(F.collect_list("placebo").alias("_fakes"))
@@ -81,8 +85,7 @@ def run_placebo_time(
     # A cell has one regressor value, so its inner co-moments with it are zero.
     widened = tagged.withColumns({"mu_1": fake, "s_0_1": F.lit(0.0), "s_1_1": F.lit(0.0)})
     fit = solve(combine(widened, 2, ["placebo"]), 2, ["placebo"])
-    rows = finish(fit, ["placebo"], ["placebo"], None, method, False)
-    rows = rows.filter((F.col("n_obs") >= MIN_ROWS) & F.col("identified"))
+    rows = explained(finish(fit, ["placebo"], ["placebo"], None, method, False), MIN_ROWS)
     label = F.col("placebo").cast("string")
     return _shape(
         rows,
@@ -130,7 +133,7 @@ def _tag(df: DataFrame, tests: Mapping[str, Column], spec: PanelSpec) -> DataFra
     tags = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in tests.items()]))
     control = first_covariate(df)
     z = F.coalesce(F.col(control), F.lit(0.0)) if control else F.lit(0.0)
-    known = F.col(spec.outcome).isNotNull() & F.col(spec.treatment).isNotNull()
+    known = ~is_missing(df, spec.outcome) & ~is_missing(df, spec.treatment)
     return df.filter(known).select(
         F.explode(tags).alias("test_name"),
         F.col(spec.outcome).alias("y"),
@@ -154,7 +157,7 @@ def _estimate_tags(tagged: DataFrame, control: str | None, method: str, extra: M
         **(extra or {}),
     }
     note = F.create_map(*[F.lit(v) for pair in notes.items() for v in pair])[F.col("test_name")]
-    kept = rows.filter((F.col("n_obs") >= MIN_ROWS) & F.col("identified"))
+    kept = explained(rows, MIN_ROWS)
     kind = F.when(F.col("test_name").isin("main", "with_control"), "specification").otherwise("sample")
     return kept.select(
         "test_name",
@@ -165,6 +168,7 @@ def _estimate_tags(tagged: DataFrame, control: str | None, method: str, extra: M
         "n_obs",
         (F.col("p_value") < 0.05).alias("significant"),
         note.alias("description"),
+        "reason",
     )
 
 

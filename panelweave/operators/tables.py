@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.missing import is_missing
+
 from ..plans.specs import PANEL, PanelSpec
 from .grouping import exact_quantiles
 from .panel import EVENT_WINDOW
@@ -83,7 +85,7 @@ def histogram(df: DataFrame, value: str, bins: int = 50, keys: Sequence[str] = (
     Every bin is listed, empty ones with a count of 0.
     """
     keys = list(keys)
-    known = df.filter(F.col(value).isNotNull())
+    known = df.filter(~is_missing(df, value))
     if keys:
         known = known.dropna(subset=keys)
     ranges = known.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

@@ -243,7 +243,6 @@ def review_summary(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 # What counts as a docstring, import, function or class in source text.
 DOCSTRING = r"""(?s)^\s*["']['"]{2}(.*?)["']['"]{2}"""
-DOCSTRING_LENGTH = 500
 IMPORT = r"(?m)^(?:from\s+(\S+)|import\s+(\S+))"
 FUNCTION = r"(?m)^def\s+(\w+)\s*\("
 CLASS = r"(?m)^class\s+(\w+)\s*[:\(]"
@@ -266,7 +265,6 @@ def code_symbols(sources: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def docstrings(sources: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, docstring): first 500 characters, NULL without one."""
+    """(doc, docstring): the whole docstring, NULL without one."""
     body = F.regexp_replace(F.regexp_extract(text, DOCSTRING, 1), r"(?U)^\s+|\s+$", "")
-    shown = F.substring(body, 1, DOCSTRING_LENGTH)
-    return sources.select(doc, F.when(F.col(text).rlike(DOCSTRING), shown).alias("docstring"))
+    return sources.select(doc, F.when(F.col(text).rlike(DOCSTRING), body).alias("docstring"))

@@ -1,9 +1,7 @@
-"""Session defaults and the two session-level helpers the library needs."""
+"""Session defaults and the cut of a lineage."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings every job here relies on.  They let Spark choose broadcast
@@ -38,27 +36,15 @@ def build_session(app: str = "panelweave", master: str | None = None, **conf: st
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder named by ``spark.checkpoint.dir``.
 
-    A reliable checkpoint survives the loss of executors.  Only a local master
-    may fall back to a temporary folder; on a cluster a missing setting is an
-    error because a machine-local path would not be shared.
+    A reliable checkpoint survives the loss of executors.  The folder has to be
+    one that all executors share, so a missing setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="panelweave-checkpoint-")
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than there are cores.
-
-    Meant for work that is heavy per row.  A table large enough to have more
-    splits than cores comes back as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

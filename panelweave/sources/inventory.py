@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: larger files are recorded without a digest.
-MAX_HASH_BYTES = 50 * 1024 * 1024
+#: Largest file that one row can hold; only larger ones have no digest.
+ROW_BYTES = (1 << 31) - 1 - (1 << 10)
 
 
 def file_name(path: str = "path"):
@@ -25,7 +25,7 @@ def file_inventory(
     category: str | None = None,
     include_exts: Sequence[str] | None = None,
     exclude_names: Sequence[str] | None = None,
-    max_hash_bytes: int = MAX_HASH_BYTES,
+    max_hash_bytes: int = ROW_BYTES,
 ) -> DataFrame:
     """Manifest rows from a table shaped like Spark's ``binaryFile`` source.
 
@@ -52,12 +52,12 @@ def collect_files(
     category: str | None = None,
     include_exts: Sequence[str] | None = None,
     exclude_names: Sequence[str] | None = None,
-    max_hash_bytes: int = MAX_HASH_BYTES,
+    max_hash_bytes: int = ROW_BYTES,
 ) -> DataFrame:
     """Recursive inventory of ``directory``.
 
-    Contents are only read for files at or below ``max_hash_bytes``: larger
-    files come from a second scan that prunes the content column.
+    Every file that fits one row has its digest.  Larger ones come from a
+    second scan that prunes the content column; their digest is NULL.
     """
     base = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     small = base.load(str(directory)).filter(F.col("length") <= max_hash_bytes)

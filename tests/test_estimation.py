@@ -234,7 +234,7 @@ def test_restrictions_agree_with_direct_filters(noisy_panel):
         row = robustness.run_simple_ols(sample, "outcome", "treatment").first()
         assert tagged[name]["n_obs"] == row["n_obs"]
         assert tagged[name]["coefficient"] == pytest.approx(row["coefficient"], rel=1e-9)
-    assert robustness.run_simple_ols(data.limit(5), "outcome", "treatment").count() == 0
+    assert robustness.run_simple_ols(data.limit(5), "outcome", "treatment").first()["reason"] == "fewer than 10 rows"
 
 
 def test_balance_table(noisy_panel, pdf):
@@ -252,3 +252,43 @@ def test_values_far_from_zero_keep_their_digits(noisy_panel, pdf, mode):
     row = regression.run_ols(shifted, "y", ["x"], cluster="id" if mode == "cluster" else None).first()
     beta, se, _ = fit(pdf[["covariate_1"]].to_numpy(), pdf["outcome"].to_numpy(), pdf["id"].to_numpy() if mode == "cluster" else None)
     assert row["coefficient"] == pytest.approx(beta[1], rel=1e-4) and row["std_error"] == pytest.approx(se[1], rel=1e-4)
+
+
+def test_wide_design_far_from_zero(spark):
+    """Any number of regressors, far from zero, by either route."""
+    rng = np.random.default_rng(5)
+    n, k = 400, 8
+    x = rng.normal(size=(n, k)) + 1e8
+    y = x[:, 0] * 0.9 - x[:, 3] * 0.4 + rng.normal(size=n)
+    centred = x - x.mean(axis=0)
+    expected = np.linalg.lstsq(centred, y - y.mean(), rcond=None)[0]
+    rows = [(i % 5, float(y[i]), *map(float, x[i])) for i in range(n)]
+    names = [f"x{i}" for i in range(k)]
+    df = spark.createDataFrame(rows, ["g", "y", *names])
+    for matrix in (False, True):
+        fit = regression.run_ols(df, "y", names, cluster="g", all_terms=True, matrix=matrix).collect()
+        found = {r["term"]: r["coefficient"] for r in fit}
+        assert [found[c] for c in names] == pytest.approx(list(expected), abs=1e-5)
+    grouped = regression.run_ols(df, "y", names, keys=["g"], all_terms=True).filter("g = 2 and term = 'x3'").first()
+    own = np.arange(n) % 5 == 2
+    part = np.linalg.lstsq(x[own] - x[own].mean(axis=0), y[own] - y[own].mean(), rcond=None)[0]
+    assert grouped["coefficient"] == pytest.approx(part[3], abs=1e-5)
+
+
+def test_small_groups_keep_their_row(spark):
+    rows = [("few", 1.0, float(i)) for i in range(3)] + [("flat", float(i), 1.0) for i in range(12)]
+    rows += [("fine", 2.0 * i + i % 2, float(i)) for i in range(12)]
+    found = {r["g"]: r for r in regression.grouped_ols(spark.createDataFrame(rows, "g string, y double, x double"), "y", "x", "g").collect()}
+    assert found["few"]["reason"] == "fewer than 10 rows" and found["few"]["coefficient"] is None and found["few"]["n_obs"] == 3
+    assert found["flat"]["reason"] == "not identified" and found["fine"]["reason"] is None
+
+
+def test_nan_is_missing(spark):
+    from panelweave.operators import audit, grouping, rules, tables
+
+    rows = [(float(i), 1.0 * (i % 7)) for i in range(50)] + [(float("nan"), 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "y double, x double")
+    assert audit.missing_counts(df).collect()[0]["n_missing"] == 2
+    assert not rules.DataValidator().add_rule(rules.no_missing_values(["y"])).validate(df).passed
+    assert grouping.exact_quantiles(df, "y", {"m": 0.5}).first()["m"] == pytest.approx(24.5)
+    assert sum(r["count"] for r in tables.histogram(df, "y", 5).collect()) == 50

@@ -32,15 +32,15 @@ def test_rules_pass_and_fail(sample, repeated, spark):
     holes = sample.withColumn("value", F.when(~F.col("id").between(10, 15), F.col("value")))
     assert not check(sample, rules.no_missing_values(["id", "value", "absent"])).has_errors
     report = check(holes, rules.no_missing_values(["value"]))
-    assert report.has_errors and "'value': 6" in report.results[0].message
+    assert report.has_errors and "value=6" in report.results[0].message
     assert not check(sample, rules.unique_values("id")).has_errors
-    assert "3 duplicate values (5 unique of 8)" in check(repeated, rules.unique_values("id")).results[0].message
+    assert "3 repeats in 8 rows" in check(repeated, rules.unique_values("id")).results[0].message
     assert check(holes, rules.unique_values("value")).has_errors
     assert check(sample, rules.value_range("value", 0, 5)).has_warnings
     assert not check(sample, rules.value_range("value", 0, 15)).has_warnings
     assert check(sample, rules.categorical_values("category", {"A", "B", "C"})).passed
     report = check(sample, rules.categorical_values("category", {"A"}))
-    assert report.has_errors and "2 distinct, first 'B'" in report.results[0].message
+    assert report.has_errors and "67 outside the set, least: B" in report.results[0].message
     assert check(sample, rules.date_range("date", "2020-01-01", "2021-01-01")).passed
     assert not check(sample, rules.date_range("date", "2020-02-01")).passed
     words = spark.createDataFrame([("2020-01-05",), ("no date",)], "date string")
@@ -48,8 +48,8 @@ def test_rules_pass_and_fail(sample, repeated, spark):
     assert check(sample, rules.row_count(10)).passed and check(sample, rules.row_count(1000)).has_errors
     assert not check(sample, rules.row_count(max_rows=10)).passed
     assert check(sample, rules.no_duplicate_rows(["id"])).passed
-    assert "Found 3 duplicate rows" in check(repeated, rules.no_duplicate_rows(["id", "value"])).results[0].message
-    assert "Found 3 duplicate rows" in check(repeated, rules.no_duplicate_rows()).results[0].message
+    assert "3 surplus rows" in check(repeated, rules.no_duplicate_rows(["id", "value"])).results[0].message
+    assert "3 surplus rows" in check(repeated, rules.no_duplicate_rows()).results[0].message
     assert check(repeated, rules.no_duplicate_rows(["none"])).has_errors
     assert check(sample, rules.positive_values("value"), rules.non_negative("value"), rules.strictly_positive("value")).passed
     assert check(sample, rules.string_length("category", 1, 1), rules.value_pattern("category", "[ABC]")).passed
@@ -58,7 +58,7 @@ def test_rules_pass_and_fail(sample, repeated, spark):
     assert check(sample, rules.no_future_dates("date")).passed
     assert check(sample, rules.value_range("absent", 0)).has_warnings
     points = spark.createDataFrame([(10.0, 20.0), (95.0, 0.0), (None, 0.0)], "latitude double, longitude double")
-    assert "2 coordinates" in check(points, rules.valid_coordinates()).results[0].message
+    assert "2 off the globe" in check(points, rules.valid_coordinates()).results[0].message
 
 
 def test_one_job_for_all_row_rules(sample):
@@ -71,16 +71,16 @@ def test_broken_rule_is_a_failed_rule(sample):
     broken = rules.condition_rule("broken", ["value"], F.col("no_such_column") > 1, "bad", "good", "error")
     report = check(sample, rules.row_count(1), broken)
     assert [r.passed for r in report.results] == [True, False]
-    assert "execution error" in report.results[1].message
+    assert "not evaluated" in report.results[1].message
 
 
 def test_report(sample, repeated):
-    with pytest.raises(ValueError, match="Validation failed"):
+    with pytest.raises(ValueError, match="rules broken"):
         rules.DataValidator().add_rule(rules.unique_values("id")).validate_or_raise(repeated)
     empty = rules.ValidationReport()
     assert empty.total == 0 and empty.passed and not empty.has_errors
     report = check(sample, rules.row_count(1), rules.value_range("value", 0, 1))
-    assert "VALIDATION REPORT" in report.format() and report.to_dict()["total"] == 2
+    assert "1 of 2 rules broken" in report.format() and report.to_dict()["total"] == 2
     assert (report.error_count, report.warning_count) == (0, 1)
     assert rules.DataValidator().add_rule(rules.row_count(1)).validate_or_raise(sample).total == 1
     assert rules.DataValidator().validate(sample).total == 0
@@ -118,7 +118,7 @@ def test_audit(spark, sample, tmp_path):
     rows = {r["stage_name"]: r for r in pipeline.run_full_audit().collect()}
     assert rows["s1"]["row_count"] == 100 and rows["s1"]["missing_by_column"] == {"value": 4}
     assert rows["s1"]["file_size_mb"] > 0 and rows["s1"]["modified_time"] is not None
-    assert not rows["gone"]["exists"] and "not found" in rows["gone"]["notes"].lower()
+    assert not rows["gone"]["exists"] and rows["gone"]["notes"] == "no file"
     step = audit.attrition(pipeline.run_full_audit()).collect()
     assert len(step) == 1 and (step[0]["difference"], step[0]["percent_change"]) == (-20, -20.0)
     compared = pipeline.compare_stages("s1", "s2").first()
@@ -127,7 +127,7 @@ def test_audit(spark, sample, tmp_path):
     assert [(r["column_name"], r["n_missing"], r["percent_missing"]) for r in missing] == [("value", 4, 4.0)]
     pipeline.save(f"{tmp_path}/report")
     assert spark.read.json(f"{tmp_path}/report/stages.json").count() == 3
-    with pytest.raises(ValueError, match="Stage not found"):
+    with pytest.raises(ValueError, match="no such stage"):
         pipeline.compare_stages("s1", "nope")
     assert "s00_raw" in audit.PipelineAudit(spark).stages
 
