@@ -4,8 +4,9 @@ Conversations come in many layouts.  A layout is recognised by a hash of its
 nested field paths, and the hash selects a declarative mapping to canonical
 turns.  Tables with a typed schema are fingerprinted once from the schema;
 raw JSON records are fingerprinted row by row, so one column may mix layouts.
-Only fields that some mapping knows enter a fingerprint: further fields, with
-whatever names, change nothing.
+Only fields that a mapping knows enter its fingerprint: further fields, with
+whatever names, change nothing.  Of several that fit, the one with most fields
+is taken.
 
 A conversation is formatted turn by turn as ``<|turn|>role\\ntext<|end|>\\n``.
 Backslashes in a text are doubled and a backslash is put into every control
@@ -56,7 +57,7 @@ class Layout:
     @property
     def paths(self) -> tuple[str, ...]:
         if self.rows:
-            return tuple(sorted(self.rows))
+            return tuple(sorted(self.rows[1:]))
         if self.messages:
             top, role, text = self.messages
             return tuple(sorted((f"{top}[].{role}", f"{top}[].{text}")))
@@ -94,12 +95,17 @@ def _known(layouts) -> list[str]:
     return sorted({path for layout in layouts for path in layout.paths})
 
 
+def _by_detail(layouts) -> list[Layout]:
+    """Layouts with more fields first: they say more about what a record is."""
+    return sorted(layouts, key=lambda layout: -len(layout.paths))
+
+
 def select_layout(schema: T.StructType, layouts=LAYOUTS) -> Layout:
-    """The layout whose fingerprint the schema has."""
-    known = set(_known(layouts))
-    present = [path for path in field_paths(schema) if path in known]
-    for layout in layouts:
-        if fingerprint(layout.paths) == fingerprint(present):
+    """The most detailed layout whose fingerprint the schema has, taken over
+    the fields that the layout knows."""
+    present = field_paths(schema)
+    for layout in _by_detail(layouts):
+        if fingerprint(path for path in present if path in layout.paths) == fingerprint(layout.paths):
             return layout
     raise ValueError(f"no mapping for the fields {sorted(present)}")
 
@@ -166,15 +172,16 @@ def canonical_from_json(df: DataFrame, id_col: str, json_col: str, layouts=LAYOU
         lambda p: p.isNotNull(),
     )
     rows = df.select(F.col(id_col).alias("conv_id"), record.alias("record"))
-    marked = rows.withColumn("print", F.sha2(F.array_join(F.array_sort(present), "\n"), 256))
+    marked = rows.withColumn("present", F.array_sort(present))
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    for layout in layouts:
+    for layout in reversed(_by_detail(layouts)):
         if layout.messages:
             top, role, text = layout.messages
             own = _message_turns(layout, get(top, f"array<struct<`{role}`:string,`{text}`:string>>"))
         else:
             own = _joined_parts(layout, get)
-        same = F.col("print") == fingerprint(layout.paths)
+        known = F.array_intersect("present", F.array(*map(F.lit, layout.paths)))
+        same = F.sha2(F.array_join(known, "\n"), 256) == fingerprint(layout.paths)
         name, turns = F.when(same, layout.name).otherwise(name), F.when(same, own).otherwise(turns)
     return marked.select("conv_id", name.alias("layout"), turns.alias("turns"))
 
