@@ -104,7 +104,8 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUC
     the order of rows in them, which must be the same whenever a task reruns.
     """
     spark = df.sparkSession
-    rows = settle(df.drop("shard", "slot"))
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    rows = settle(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]))
     counted = rows.groupBy(F.spark_partition_id().alias("partition")).count().collect()  # a row per partition
     counts = np.zeros(max([row["partition"] + 1 for row in counted], default=1), dtype=np.int64)
     for row in counted:
@@ -157,5 +158,5 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUC
     )
     placed = dealt.withColumn("_own", F.row_number().over(own).cast("long") - 1)
     return placed.join(starts, (F.col("_shard") == F.col("_s")) & (F.col("_bucket") == F.col("_b"))).select(
-        *[F.col(f"`{f.name}`") for f in kept], F.col("_shard").alias("shard"), (F.col("_own") + F.col("_start")).alias("slot")
+        *[F.col(f.name).alias(name) for f, name in zip(kept, names)], F.col("_shard").alias("shard"), (F.col("_own") + F.col("_start")).alias("slot")
     )

@@ -224,7 +224,7 @@ def _kept_digest(words: list[bytes], removed: np.ndarray | None = None) -> str:
 def repeated_windows(df: DataFrame, text_col: str = "text", window: int = WINDOW, base: int = BASE) -> DataFrame:
     """Distinct texts with asked windows that start at two places or more:
     ``text_key``, ``text``, ``places`` (packed 4-byte starts)."""
-    if not 1 <= base <= (window + 2) // 3:
+    if not 1 <= base <= (window + 1) // 3:
         raise ValueError("the base length must be at most a third of the window")
     docs = taken(df, {"text": F.col(text_col)}).where("length(text) > 0")
     docs = docs.select(F.unhex(F.md5("text")).alias("text_key"), "text")
