@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import settle
+from .shared import pinned
 
 #: Rows of a bucket inside a shard, on average.
 BUCKET_ROWS = 5_000
@@ -105,7 +105,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUC
     """
     spark = df.sparkSession
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = settle(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]))
+    rows = pinned(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]))
     counted = rows.groupBy(F.spark_partition_id().alias("partition")).count().collect()  # a row per partition
     counts = np.zeros(max([row["partition"] + 1 for row in counted], default=1), dtype=np.int64)
     for row in counted:

@@ -33,7 +33,7 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def pinned(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint: rows, partitions and their
     order stay as they are, whatever executor is lost later."""
     shared_folder(df.sparkSession)
@@ -48,6 +48,16 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a written table.
+
+    A checkpoint would do, but it hands the constraints of its plan on to what
+    is built on it; over the rounds of a loop they multiply until planning
+    fills the driver.
+    """
+    return stored(df, "step")
+
+
 def taken(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """Only ``columns``, under the operator's own names: whatever else the
     input carries can then not clash with columns made later."""
