@@ -34,11 +34,15 @@ def chunks_of(text: Column, sizes: tuple[int, int] = CHUNK_SIZES) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{{low},{high}}}?(?:{BOUNDARY})|.{{1,{high}}}"), F.lit(0))
 
 
-def _colliding(chunks: DataFrame) -> DataFrame:
-    """Hashes that stand for more than one chunk, with one row per chunk."""
+def _colliding(chunks: DataFrame) -> DataFrame | None:
+    """One row per chunk for hashes that stand for more than one, or None.
+
+    Such hashes are looked for first, so that where there are none, as good as
+    always, the chunks have moved once.
+    """
     distinct = chunks.select("hash", "chunk").distinct()
-    twice = distinct.groupBy("hash").count().where("count > 1").select("hash")
-    return distinct.join(twice, "hash", "left_semi")
+    twice = settle(distinct.groupBy("hash").count().where("count > 1").select("hash"))
+    return None if twice.isEmpty() else settle(distinct.join(twice, "hash", "left_semi"))
 
 
 def recipes(
@@ -60,8 +64,8 @@ def recipes(
     pieces = cut.select(F.explode("chunks").alias("chunk")).select(chunk_hash(F.col("chunk")).alias("hash"), "chunk")
     hashed = F.transform("chunks", lambda c: F.struct(chunk_hash(c).alias("hash"), F.lit(0).alias("place")))
     plain = cut.select("doc_id", F.sha2(F.col("text"), 256).alias("text_sha256"), hashed.alias("recipe"))
-    shared = settle(_colliding(pieces))
-    if shared.isEmpty():
+    shared = _colliding(pieces)
+    if shared is None:
         return plain
     return _with_places(cut, plain, shared, chunk_hash)
 
@@ -106,7 +110,9 @@ def group_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lists = settle(recipes(df, id_col, text_col, **options))
     groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return lists.join(groups, "recipe").select(
+    # Read from a table, both sides are shuffled for the join alone; only then
+    # can adaptive execution split a hot recipe.
+    return lists.join(settle(groups), "recipe").select(
         "doc_id",
         "keep_id",
         "group_size",
