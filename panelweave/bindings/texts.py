@@ -172,7 +172,7 @@ def review_summary(spark, sf):
 
 _CONFIG_KEYS = "[" + ", ".join(f"'{k}'" for k in textcheck.REQUIRED_CONFIG) + "]"
 _CONFIG_SQL = f"""k as (select doc_id, lang, unnest({_CONFIG_KEYS}) as key, unnest(range(0, 12)) i from documents),
-c as (select doc_id, key, case when (doc_id + i) % 3 = 0 then '' else lang end as value from k where (doc_id + i) % 5 <> 0)"""
+c as (select doc_id, key, case when (doc_id + i) % 3 = 0 then '' else lang end as value from k where (doc_id + i) % 5 <> 0 and doc_id % 7 <> 0)"""
 
 
 @query(
@@ -182,10 +182,10 @@ c as (select doc_id, key, case when (doc_id + i) % 3 = 0 then '' else lang end a
 def config_coverage(spark, sf):
     keys = F.array(*[F.lit(k) for k in textcheck.REQUIRED_CONFIG])
     long = table(spark, sf, "documents").select("doc_id", "lang", F.posexplode(keys).alias("i", "key"))
-    config = long.filter((F.col("doc_id") + F.col("i")) % 5 != 0).select(
+    config = long.filter(((F.col("doc_id") + F.col("i")) % 5 != 0) & (F.col("doc_id") % 7 != 0)).select(
         "doc_id", "key", F.when((F.col("doc_id") + F.col("i")) % 3 == 0, "").otherwise(F.col("lang")).alias("value")
     )
-    return textcheck.config_coverage(config, "doc_id")
+    return textcheck.config_coverage(config, "doc_id", documents=table(spark, sf, "documents"))
 
 
 @query(

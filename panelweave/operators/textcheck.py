@@ -192,9 +192,15 @@ def extract_limits(docs: DataFrame, doc: str, text: str) -> DataFrame:
     )
 
 
-def config_coverage(config: DataFrame, doc: str, required: Sequence[str] = REQUIRED_CONFIG) -> DataFrame:
+def config_coverage(
+    config: DataFrame, doc: str, required: Sequence[str] = REQUIRED_CONFIG, documents: DataFrame | None = None
+) -> DataFrame:
     """(doc, key, present) for every required key of every document.
 
+    ``documents`` lists documents that may have no entry at all; without it
+    only those with entries are known.  A required key may be a nested one,
+    its parts joined by dots.
+
     ``config`` is long: doc, key, value.  Empty values count as absent.
     Keys are reduced to required ones before they are grouped, so a group
     holds at most as many keys as are required.
@@ -202,9 +208,11 @@ def config_coverage(config: DataFrame, doc: str, required: Sequence[str] = REQUI
     filled = F.coalesce(F.length("value"), F.lit(0)) > 0
     wanted = F.col("key").isin(*required) & filled
     held = config.groupBy(doc).agg(F.collect_set(F.when(wanted, F.col("key"))).alias("_held"))
+    if documents is not None:
+        held = documents.select(doc).distinct().join(held, doc, "left")
     keys = F.array(*[F.lit(k) for k in required])
     return held.select(doc, "_held", F.explode(keys).alias("key")).select(
-        doc, "key", F.array_contains("_held", F.col("key")).alias("present")
+        doc, "key", F.coalesce(F.array_contains("_held", F.col("key")), F.lit(False)).alias("present")
     )
 
 

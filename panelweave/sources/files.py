@@ -70,15 +70,23 @@ def read_text_columns(spark: SparkSession, path: str, types: dict[str, str], **o
     return raw.select(*cols)
 
 
-def load_data(spark: SparkSession, path: str, nan_as_null: bool = True, **options) -> DataFrame:
-    """Read parquet, CSV or JSON, chosen by the extension of ``path``."""
+def load_data(
+    spark: SparkSession, path: str, nan_as_null: bool = True, schema: T.StructType | str | None = None, **options
+) -> DataFrame:
+    """Read parquet, CSV or JSON, chosen by the extension of ``path``.
+
+    A given ``schema`` saves CSV and JSON the pass that infers one.  Large CSV
+    files are split between tasks unless ``multiLine="true"`` allows line
+    breaks inside quotes.
+    """
     path = str(path)
     if not path_exists(spark, path):
         raise FileNotFoundError(f"nothing to read at {path}")
     fmt = _format(path)
     if fmt == "csv":
-        options = {"header": "true", "inferSchema": "true", "multiLine": "true", **options}
-    df = spark.read.options(**options).format(fmt).load(path)
+        options = {"header": "true", "inferSchema": str(schema is None).lower(), **options}
+    reader = spark.read.options(**options).format(fmt)
+    df = (reader.schema(schema) if schema is not None else reader).load(path)
     # Parquet keeps missing values as NULL; NaN only enters through text.
     return normalise_missing(df) if nan_as_null and fmt != "parquet" else df
 
@@ -133,13 +141,12 @@ def load_all_sources(
     return stacked, errors
 
 
-def count_rows(spark: SparkSession, path: str) -> int:
+def count_rows(spark: SparkSession, path: str, **options) -> int:
     """Row count; a parquet or JSON scan reads no column for it.
 
-    Quoted line breaks in CSV are counted as part of their row.  A missing
-    file has no rows.
+    A missing file has no rows.
     """
-    return load_data(spark, path, nan_as_null=False).count() if path_exists(spark, path) else 0
+    return load_data(spark, path, nan_as_null=False, **options).count() if path_exists(spark, path) else 0
 
 
 def save_diagnostic(df: DataFrame, directory: str, name: str, subdir: str = "") -> str:

@@ -36,7 +36,7 @@ def test_errors(spark, tmp_path):
 def test_quoted_line_breaks_count_once(spark, tmp_path):
     path = tmp_path / "q.csv"
     path.write_text('a,b\n1,"x\ny"\n2,z\n')
-    assert sources.count_rows(spark, str(path)) == 2
+    assert sources.count_rows(spark, str(path), multiLine="true") == 2
 
 
 def test_typed_text_columns(spark, tmp_path):
