@@ -4,7 +4,7 @@ A segment is one binary value: a header, a table of its documents, an index of
 its blocks and the blocks.  A block holds up to 512 ids: the block's least id
 is subtracted, the rest is packed at the width that a chosen share of the ids
 fits into, and the high parts of all others stand in an exception list with
-their places.  The index has the byte offset of each block, so any range of
+their places, unless the full width takes less room.  The index has the byte offset of each block, so any range of
 ids is read without unpacking what lies before it.
 
 Segments are written by Spark's own committed writer, one row each, so they go
@@ -90,6 +90,11 @@ def _encode_rows(rows: np.ndarray, share: float) -> list[bytes]:
     rest = rows - least[:, None]
     place = max(0, int(np.ceil(share * rows.shape[1])) - 1)
     widths = _widths(np.partition(rest, place, axis=1)[:, place])
+    # Exceptions only where they take less room than the full width.
+    full = _widths(rest.max(axis=1))
+    over = np.count_nonzero(rest >> widths.astype(np.uint32)[:, None], axis=1)
+    saved = rows.shape[1] * (full - widths) - over * (16 + full - widths)
+    widths = np.where(saved > 0, widths, full)
     blocks: list[bytes] = [b""] * len(rows)
     for width in np.unique(widths).tolist():
         chosen = np.flatnonzero(widths == width)
