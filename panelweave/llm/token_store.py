@@ -98,18 +98,18 @@ def _encode_rows(rows: np.ndarray, share: float) -> list[bytes]:
     blocks: list[bytes] = [b""] * len(rows)
     for width in np.unique(widths).tolist():
         chosen = np.flatnonzero(widths == width)
-        values = rest[chosen].astype(np.uint64)
-        low = values & np.uint64((1 << width) - 1)
-        high = values >> np.uint64(width)
-        packed = _pack(low.astype(np.uint32), width) if width else np.empty((len(chosen), 0), dtype=np.uint8)
-        counts = np.count_nonzero(high, axis=1)
+        low = rest[chosen]
+        counts = np.where(widths[chosen] < full[chosen], over[chosen], 0)
+        if counts.any():  # then the width is below 32
+            high, low = low >> np.uint32(width), low & np.uint32((1 << width) - 1)
+        packed = _pack(low, width) if width else np.empty((len(chosen), 0), dtype=np.uint8)
         for i, number in enumerate(chosen.tolist()):
             tail, high_width = b"", 0
             if counts[i]:
                 outside = np.flatnonzero(high[i])
-                over = high[i][outside].astype(np.uint32)
-                high_width = int(over.max()).bit_length()
-                tail = outside.astype("<u2").tobytes() + _pack(over.reshape(1, -1), high_width).tobytes()
+                above = high[i][outside]
+                high_width = int(above.max()).bit_length()
+                tail = outside.astype("<u2").tobytes() + _pack(above.reshape(1, -1), high_width).tobytes()
             blocks[number] = _HEAD.pack(int(least[number]), width, high_width, int(counts[i])) + packed[i].tobytes() + tail
     return blocks
 
@@ -125,7 +125,10 @@ def decode_blocks(data: bytes, offsets: list[int], counts: list[int]) -> np.ndar
     for (width, count), members in alike.items():
         size = -(-count * width // 8)
         firsts = np.array([offsets[i] + _HEAD.size for i in members])
-        if width:
+        if width in (8, 16, 32):
+            kind = f"<u{width // 8}"
+            rows = [np.frombuffer(data, kind, count, first).astype(np.uint32) for first in firsts.tolist()]
+        elif width:
             rows = _unpack(raw[firsts[:, None] + np.arange(size)], count, width)
         else:
             rows = np.zeros((len(members), count), dtype=np.uint32)
