@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Mapping
 
@@ -16,14 +18,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as named by ``spark.checkpoint.dir``."""
+    """The folder all executors share, as named by ``spark.checkpoint.dir``.
+
+    Where it is unset, as in tests, a local master gets a temporary folder and
+    any other master one below the warehouse, which its executors share too.
+    """
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if not held.isEmpty():
         return held.get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not folder and re.fullmatch(r"local(\[.*\])?", context.master):
+        folder = tempfile.mkdtemp(prefix="panelweave-")
+    elif not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/lineage"
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
