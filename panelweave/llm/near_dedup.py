@@ -13,8 +13,9 @@ default parameters, and one that is linked fails the estimate with one of 1e-9.
 Pairs of a group are never written out.  Equal sets are one node.  Then, in
 three rounds, a bucket's members are compared with its first member, each with
 its most similar member outside its own component, and last with all members
-that are still in other components; a group of copies is one component after
-the first rounds, so the last has nothing to do in it.  Buckets larger than a
+that are still in other components, by sets that come to the bucket, so that
+only links leave it; a group of copies is one component after the first rounds,
+and the last has nothing to do in it.  Buckets larger than a
 block are compared block by block, each pair of blocks on its own.
 
 Defined results: letters A-Z are lower-cased and words are
@@ -198,17 +199,22 @@ PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 
 
 def compare_buckets(members: DataFrame, options: Options, all_pairs: bool) -> DataFrame:
-    """Candidate pairs ``a``, ``b`` between components inside buckets.
+    """Pairs ``a``, ``b`` between components inside buckets.
 
     ``members`` has ``key``, ``number``, ``root``, ``signature`` and ``count``
     (members of the bucket).  Without ``all_pairs`` each member gives the pair
-    with its most similar member of another component only.
+    with its most similar member of another component, a mere candidate.  With
+    ``all_pairs``, which also takes the full sets as ``shingles``, every pair
+    whose estimate is high enough is confirmed where it is found, and only
+    links come out; a member linked to a component is not compared with the
+    rest of it.
     """
     blocks = F.ceil(F.col("count") / options.block).cast("int")
     own = F.pmod(F.xxhash64("number", "key"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(own, i).alias("low"), F.greatest(own, i).alias("high")))
-    placed = members.select("key", "number", "root", "signature", own.alias("own"), F.explode(others).alias("pair")).select(
-        "key", "pair.low", "pair.high", "own", "number", "root", "signature"
+    carried = ["number", "root", "signature", *(["shingles"] if all_pairs else [])]
+    placed = members.select("key", *carried, own.alias("own"), F.explode(others).alias("pair")).select(
+        "key", "pair.low", "pair.high", *carried
     )
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = placed.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high", "number")
@@ -227,18 +233,34 @@ def compare_buckets(members: DataFrame, options: Options, all_pairs: bool) -> Da
                 continue
             found = differing(signed[apart], signed[i], bits)
             if all_pairs:
-                apart = apart[found <= most]
+                reached = set()
+                for j in apart[found <= most].tolist():
+                    if roots[j] not in reached and similar(group[i][3], group[j][3]):
+                        reached.add(roots[j])
+                        yield ordered(group[i][0], group[j][0])
             else:
                 best = int(found.argmin())
-                apart = apart[best : best + 1] if found[best] <= most else apart[:0]
-            for j in apart.tolist():
-                a, b = group[i][0], group[j][0]
-                yield (a, b) if a < b else (b, a)
+                if found[best] <= most:
+                    yield ordered(group[i][0], group[int(apart[best])][0])
+
+    def ordered(a: int, b: int) -> tuple[int, int]:
+        return (a, b) if a < b else (b, a)
+
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
+        # Sets are sorted and distinct.
+        if 100 * min(len(a), len(b)) < options.percent * max(len(a), len(b)):
+            return False
+        both = np.concatenate([a, b])
+        both.sort(kind="stable")
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        return 100 * shared >= options.percent * (len(both) - shared)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, group, out = None, [], set()
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "number", "root", "signature")]
+            if all_pairs:
+                columns.append([s.values.to_numpy() for s in batch.column("shingles")])
             for key, low, high, *member in zip(*columns):
                 if (key, low, high) != current:
                     out.update(compare(group))
@@ -276,6 +298,22 @@ def _estimated(pairs: DataFrame, options: Options) -> DataFrame:
     return pairs.select("a", "b", "ga", "gb").mapInArrow(work, PAIRS)
 
 
+def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: only roots are linked, which are few."""
+    ends = links
+    for side in ("a", "b"):
+        held = labels.select(F.col("number").alias(side), F.col("root").alias(f"r{side}"))
+        ends = ends.join(held, side, "left")
+    ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(ends).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    kept = labels.join(moved, "root", "left").select("number", F.coalesce("to", "root").alias("root"))
+    # Ends that had no label were their own roots.
+    fresh = moved.join(labels, moved["root"] == labels["number"], "left_anti").select(
+        F.col("root").alias("number"), F.col("to").alias("root")
+    )
+    return settle(kept.unionByName(fresh))
+
+
 def link_nodes(docs: DataFrame, features: DataFrame, options: Options) -> DataFrame:
     """``node`` and ``root`` of all nodes; the root is the number of some node
     of the component."""
@@ -323,11 +361,12 @@ def link_nodes(docs: DataFrame, features: DataFrame, options: Options) -> DataFr
         if mixed.isEmpty():
             break
         open_members = rooted.join(mixed, "key").join(signed.select("number", "signature"), "number")
-        candidates = settle(compare_buckets(open_members, options, all_pairs).distinct())
-        more = settle(confirmed(candidates, sets, options))
+        if all_pairs:
+            more = settle(compare_buckets(open_members.join(sets, "number"), options, True).distinct())
+        else:
+            more = settle(confirmed(settle(compare_buckets(open_members, options, False).distinct()), sets, options))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links).select(F.col("node").alias("number"), "root")
+            labels = _joined_labels(labels, more)
     return held.select("node", "number").join(labels, "number", "left").select(
         "node", F.coalesce("root", "number").alias("root")
     )
