@@ -45,8 +45,8 @@ from .words import mix, run_hashes, word_hashes
 WINDOW = 35
 BASE = 8
 #: Bytes of text for each bucket of window hashes.
-BUCKET_BYTES = 8 << 20
-SLICE_CHARS = 4 << 20
+BUCKET_BYTES = 4 << 20
+SLICE_CHARS = 1 << 20
 _PLACE = [("k1", "<u8"), ("k2", "<u8"), ("at", "<i4")]
 ANCHOR = np.dtype([("h", "<u8"), *_PLACE, ("left", "<u8"), ("right", "<u8"), ("state", "u1")])
 DOUBLED = np.dtype([("h", "<u8"), *_PLACE, ("state", "u1")])
