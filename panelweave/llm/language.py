@@ -6,9 +6,9 @@ block by block against every dictionary; the smallest total decides.  The margin
 it is narrow, ``rejected`` is true and the language is a guess.
 
 The dictionaries are learnt from a sample of at most ``sample_texts`` labelled
-texts of a language in the order of a hash, ``piece_chars`` from the middle of
-each, so their size is bounded by the number of languages.  Prediction uses
-whole texts.
+different texts of a language in the order of a hash, ``piece_chars`` from the
+middle of each, so their size is bounded by the number of languages.
+Prediction uses whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 and rejected.  A tie goes to the language with more labelled texts, or else to
@@ -61,11 +61,22 @@ def learn(df: DataFrame, label_col: str = "lang", text_col: str = "text", option
     """Dictionary content by language, from the labelled rows of ``df``, the
     languages with more texts first.
 
-    A first pass counts the texts of each language, a second takes the share
-    of them with the smallest hashes, so no language is sorted as a whole.
+    Copies of a text in a language count and teach once.  A first pass counts
+    the texts of each language, a second takes the share of them with the
+    smallest hashes, so no language is sorted as a whole.
     """
-    rows = taken(df, {"label": F.col(label_col), "text": F.col(text_col)}).where("label is not null and length(text) > 0")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(options.max_languages + 1).collect()}
+    middle = F.greatest((F.length("text") - options.piece_chars).cast("int") / 2, F.lit(0)).cast("int") + 1
+    rows = (
+        taken(df, {"label": F.col(label_col), "text": F.col(text_col)})
+        .where("label is not null and length(text) > 0")
+        .select(
+            "label", F.xxhash64("text").alias("draw"), F.substring("text", middle, F.lit(options.piece_chars)).alias("piece")
+        )
+    )
+    # Texts are told apart by 64 bits of hash; the piece only has to be one of
+    # theirs, and is not carried while they are counted.
+    distinct = rows.select("label", "draw").distinct()
+    counts = {r["label"]: r["count"] for r in distinct.groupBy("label").count().limit(options.max_languages + 1).collect()}
     if len(counts) > options.max_languages:
         raise ValueError(f"more than {options.max_languages} labels")
     if not counts:
@@ -74,10 +85,8 @@ def learn(df: DataFrame, label_col: str = "lang", text_col: str = "text", option
     for label, count in counts.items():
         wanted = options.sample_texts + 6 * math.sqrt(options.sample_texts)
         share = F.when(F.col("label") == label, min(1.0, wanted / count)).otherwise(share)
-    draw = F.xxhash64("text")
-    middle = F.greatest((F.length("text") - options.piece_chars).cast("int") / 2, F.lit(0)).cast("int") + 1
-    near = rows.where(F.pmod(draw, F.lit(1 << 30)) < share * (1 << 30)).select(
-        "label", draw.alias("draw"), F.substring("text", middle, F.lit(options.piece_chars)).alias("piece")
+    near = rows.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30)).groupBy("label", "draw").agg(
+        F.min("piece").alias("piece")
     )
     order = Window.partitionBy("label").orderBy("draw", "piece")
     sample = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= options.sample_texts)

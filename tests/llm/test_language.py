@@ -67,3 +67,13 @@ def test_query_never_uses_labels_of_the_row(spark, tmp_path):
         frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         out.append(sorted(map(tuple, queries.op7_language(spark, f"{tmp_path}/{name}").collect())))
     assert out[0] == out[1]
+
+
+def test_copies_teach_once(spark):
+    texts = [text("aa", i) for i in range(40)]
+    once = spark.createDataFrame([(t, "aa") for t in texts], "text string, lang string")
+    options = language.Options(sample_texts=8, piece_chars=30)
+    wanted = language.learn(once, options=options)
+    for hot in (texts[0], texts[1], min(texts, key=lambda t: t in wanted["aa"].decode())):
+        copies = once.unionByName(spark.createDataFrame([(hot, "aa")] * 600, once.schema))
+        assert language.learn(copies, options=options) == wanted
