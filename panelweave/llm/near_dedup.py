@@ -36,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -372,27 +372,59 @@ def link_nodes(docs: DataFrame, features: DataFrame, options: Options) -> DataFr
     )
 
 
+def _least(features: DataFrame, labels: DataFrame, value: Column) -> DataFrame:
+    """For every node the least ``value`` of the rows of its component."""
+    own = features.where("node is not null").groupBy("node").agg(F.min(value).alias("least"))
+    rooted = settle(own.join(labels, "node"))
+    roots = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return settle(rooted.join(roots, "root").select("node", "component"))
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, options: Options) -> tuple[DataFrame, DataFrame]:
+    """Features of every row, and the root of every node."""
+    docs = taken(df, {"doc_id": F.col(id_col), "text": F.coalesce(F.col(text_col), F.lit(""))})
+    docs = docs.withColumn("text_key", F.unhex(F.md5("text")))
+    features = stored(signatures(docs, options), "signatures")
+    return features, link_nodes(docs, features, options)
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Options = Options()
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``
     (smallest id of its component) and ``kept``."""
-    docs = taken(df, {"doc_id": F.col(id_col), "text": F.coalesce(F.col(text_col), F.lit(""))})
-    docs = docs.withColumn("text_key", F.unhex(F.md5("text")))
-    features = stored(signatures(docs, options), "signatures")
-    labels = link_nodes(docs, features, options)
-    ids = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = settle(ids.join(labels, "node"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = settle(rooted.join(roots, "root").select("node", "component_id"))
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    features, labels = _linked(df, id_col, text_col, options)
+    found = _least(features, labels, F.col("doc_id"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return features.select("doc_id", "n_shingles", "node").join(found, "node", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
+def _row_key(doc_id: Column, text_key: Column) -> Column:
+    """One text for id and digest; no id differs from every id."""
+    return F.concat(text_key, F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")))
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Options = Options()) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: of each component
-    the document with the smallest id, and every row without an id."""
-    gone = near_duplicates(df, id_col, text_col, options).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return df.join(small_side(settle(gone.distinct()), 24), df[id_col] == F.col("_gone"), "left_anti")
+    one row, with the smallest id and of that id's texts the one with the
+    smallest digest, and every row without shingles.  A row without an id stays
+    only where its component has no id."""
+    features, labels = _linked(df, id_col, text_col, options)
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    mine = _row_key(F.col("doc_id"), F.lower(F.hex("text_key")))
+    rows = features.join(_least(features, labels, first), "node").select(
+        mine.alias("_key"),
+        (F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("text_key") == F.col("component.text_key"))).alias("stays"),
+    )
+    told = settle(rows.groupBy("_key").agg(F.first("stays").alias("stays"), F.count("*").alias("count")))
+    gone, repeated = (told.where(c).select("_key") for c in ("not stays", "stays and count > 1"))
+    keyed = df.withColumn("_key", _row_key(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    kept = keyed.join(small_side(gone, 96), "_key", "left_anti")
+    if not repeated.isEmpty():
+        repeated = small_side(repeated, 96)
+        kept = kept.join(repeated, "_key", "left_anti").unionByName(
+            kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        )
+    return kept.select(*df.columns)

@@ -109,3 +109,16 @@ def test_components_of_chains_stars_and_loops(spark):
         wanted.setdefault(root, set()).add(n)
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in wanted.values() if len(g) > 1)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_by_id_and_text(spark):
+    """Repeated ids with different texts, and rows without an id."""
+    near = sentence(61, 80)
+    nameless = sentence(62, 80)
+    rows = [(1, near), (2, near + " more"), (2, sentence(63, 80)), (2, ""), (None, near + " again"), (None, nameless)]
+    rows += [(None, nameless), (None, nameless + " end"), (None, None), (None, ""), (3, nameless[:40]), (3, nameless[:40])]
+    kept = near_dedup.one_of_each(messy(spark, rows), options=near_dedup.Options(shingle_words=2))
+    found = sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=repr)
+    (left,) = [t for d, t in found if d is None and t]
+    assert left in (nameless, nameless + " end")
+    assert found == sorted([(1, near), (2, sentence(63, 80)), (2, ""), (None, None), (None, ""), (None, left), (3, nameless[:40])], key=repr)
