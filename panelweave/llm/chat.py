@@ -14,9 +14,10 @@ string after its first character, so no text can pass for a mark and
 :func:`read_back` restores every text.  The loss mask lists the code-point
 spans of assistant texts.
 
-Defined results: a null role or text counts as empty.  Turns that share a turn
-number are ordered by role, then text, null numbers first; repeated rows are
-repeated turns.  Rows without a conversation id form one conversation.  A JSON
+Defined results: a null role or text counts as empty, and so does one that a
+message of a JSON record lacks, if another message of the record has it.
+Turns that share a turn number are ordered by role, then text, null numbers
+first; repeated rows are repeated turns.  Rows without a conversation id form one conversation.  A JSON
 record that is null, malformed or of unknown layout is kept with ``layout``
 null and no turns.  A conversation without turns formats to an empty text; an
 empty table gives an empty result.  A conversation, as one output value, has to
@@ -165,10 +166,16 @@ def canonical_from_json(df: DataFrame, id_col: str, json_col: str, layouts=LAYOU
     record = F.try_parse_json(F.col(json_col))
 
     def get(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get("record", "$." + path.replace("[]", "[0]"), kind)
+        return F.try_variant_get("record", f"$.{path}", kind)
+
+    def has(path: str) -> Column:
+        top, _, below = path.partition("[].")
+        if not below:
+            return get(path, "variant").isNotNull()
+        return F.exists(get(top, "array<variant>"), lambda m: F.try_variant_get(m, f"$.{below}", "variant").isNotNull())
 
     present = F.filter(
-        F.array(*[F.when(get(path, "variant").isNotNull(), F.lit(path)) for path in _known(layouts)]),
+        F.array(*[F.when(has(path), F.lit(path)) for path in _known(layouts)]),
         lambda p: p.isNotNull(),
     )
     rows = df.select(F.col(id_col).alias("conv_id"), record.alias("record"))
@@ -177,7 +184,12 @@ def canonical_from_json(df: DataFrame, id_col: str, json_col: str, layouts=LAYOU
     for layout in reversed(_by_detail(layouts)):
         if layout.messages:
             top, role, text = layout.messages
-            own = _message_turns(layout, get(top, f"array<struct<`{role}`:string,`{text}`:string>>"))
+            fields = [(name, f"$.{name}") for name in (role, text)]
+            messages = F.transform(
+                get(top, "array<variant>"),
+                lambda m: F.struct(*[F.try_variant_get(m, path, "string").alias(name) for name, path in fields]),
+            )
+            own = _message_turns(layout, messages)
         else:
             own = _joined_parts(layout, get)
         known = F.array_intersect("present", F.array(*map(F.lit, layout.paths)))

@@ -91,3 +91,14 @@ def test_no_python_in_the_plan(spark):
     df = spark.range(3).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text"))
     plan = chat.read_back(chat.format_chat(chat.canonical_turns(df)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_json_messages_that_lack_a_field(spark):
+    first = {"messages": [{"role": "system"}, {"role": "user", "content": "q"}, {"content": "lone"}, {"role": "assistant", "content": None}, "odd", {"role": "assistant", "content": "a"}]}
+    shared = {"conversations": [{"value": "v"}, {"from": "gpt", "value": "w"}]}
+    records = [(1, json.dumps(first)), (2, json.dumps(shared)), (3, json.dumps({"messages": [{"role": "user"}]})), (4, json.dumps({"messages": []})), (5, json.dumps({"messages": "text"}))]
+    turns = chat.canonical_from_json(spark.createDataFrame(records, "conv_id long, raw string"), "conv_id", "raw")
+    assert {r["conv_id"]: r["layout"] for r in turns.collect()} == {1: "messages", 2: "shared", 3: None, 4: None, 5: None}
+    found = read(turns)
+    assert found[1] == ([("system", ""), ("user", "q"), ("", "lone"), ("assistant", ""), ("", ""), ("assistant", "a")], "a")
+    assert found[2] == ([("", "v"), ("assistant", "w")], "w") and found[3][0] == []
