@@ -20,8 +20,12 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is clear; labels of ``docs`` teach it."""
-    found = language.with_language(docs, language.learn(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    taken, mark = {name.lower() for name in docs.columns}, "_"
+    while any(name.startswith(mark) for name in taken):
+        mark += "_"
+    names = (f"{mark}lang_pred", f"{mark}score", f"{mark}rejected")
+    found = language.with_language(docs, language.learn(docs), names=names)
+    return found.where(~F.col(names[2])).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

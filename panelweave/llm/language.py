@@ -136,13 +136,20 @@ def classify(
     return with_language(docs, content, "text", options).drop("text")
 
 
-def with_language(df: DataFrame, content: dict[str, bytes], text_col: str = "text", options: Options = Options()) -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` and ``rejected`` behind its columns."""
+def with_language(
+    df: DataFrame,
+    content: dict[str, bytes],
+    text_col: str = "text",
+    options: Options = Options(),
+    names: tuple[str, str, str] = ("lang_pred", "score", "rejected"),
+) -> DataFrame:
+    """``df`` with ``lang_pred``, ``score`` and ``rejected``, or what ``names``
+    calls them, behind its columns; columns of these names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(content)
     added = [
-        T.StructField("lang_pred", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("rejected", T.BooleanType()),
+        T.StructField(names[0], T.StringType()),
+        T.StructField(names[1], T.DoubleType()),
+        T.StructField(names[2], T.BooleanType()),
     ]
     df = df.drop(*[f.name for f in added])
     schema = T.StructType([*df.schema.fields, *added])
@@ -151,8 +158,8 @@ def with_language(df: DataFrame, content: dict[str, bytes], text_col: str = "tex
         classifier = Classifier(shared.value, options)
         for batch in batches:
             found = [classifier.predict(text.as_py()) for text in batch.column(text_col)]
-            names, scores, rejected = zip(*found) if found else ((), (), ())
-            made = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            labels, scores, rejected = zip(*found) if found else ((), (), ())
+            made = [pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
 
     return df.mapInArrow(predict, schema)

@@ -1,7 +1,7 @@
 import hashlib
 
 import corpus_pipeline
-from corpus import sentence
+from corpus import CLASHES, messy, sentence
 from test_language import text
 
 from panelweave.llm import queries
@@ -49,3 +49,13 @@ def test_one_query_for_each_operator():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_clashing_columns_pass_unchanged(spark):
+    langs = ["aa", "bb", "cc"] * 12
+    rows = [(i, text(lang, i, 60), lang, f"p{i}", i, f"r{i}", i * 2, "u") for i, lang in enumerate(langs)] + [(99, "1 2", None, "p", 1, "r", 2, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int, rejected string, _score long, _Rejected string")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == rows[:-1]
+    clashing = messy(spark, [r[:2] for r in rows]).join(docs.select("doc_id", "lang"), "doc_id")
+    assert corpus_pipeline.identify_language(spark, clashing, "").select(*CLASHES).distinct().collect() == [tuple(range(len(CLASHES)))]
