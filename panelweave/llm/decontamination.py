@@ -74,17 +74,17 @@ def build_index(
     return PositionalIndex(docs, index, index.groupBy("term").agg(F.count("*").alias("occurrences")))
 
 
-def _ordered_terms(phrases: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Each distinct phrase with its terms and offsets, rarest first; phrases
-    with a term that no document has are gone."""
+def _ordered_terms(phrases: DataFrame, frequencies: DataFrame, whole: bool = True) -> DataFrame:
+    """Each distinct phrase with its terms and offsets, rarest first.  Terms
+    that no document has are left out, and if ``whole``, so are their phrases."""
     spelled = phrases.select("phrase").distinct().select("phrase", F.posexplode("phrase").alias("offset", "term"))
     counted = spelled.join(frequencies, "term")
-    return (
-        counted.groupBy("phrase")
-        .agg(F.sort_array(F.collect_list(F.struct("occurrences", "term", "offset"))).alias("terms"))
-        .where("size(terms) = size(phrase)")
-        .withColumn("phrase_key", F.xxhash64("phrase"))
+    ordered = counted.groupBy("phrase").agg(
+        F.sort_array(F.collect_list(F.struct("occurrences", "term", "offset"))).alias("terms")
     )
+    if whole:
+        ordered = ordered.where("size(terms) = size(phrase)")
+    return ordered.withColumn("phrase_key", F.xxhash64("phrase"))
 
 
 def candidate_starts(index: PositionalIndex, phrases: DataFrame, depth: int = 3) -> DataFrame:
@@ -132,32 +132,57 @@ def phrase_matches(index: PositionalIndex, phrases: DataFrame, depth: int = 3) -
     )
 
 
-def proximity_matches(index: PositionalIndex, phrases: DataFrame, slop: int = 5) -> DataFrame:
-    """Places where the two rarest terms of a phrase stand in their order with
-    at most ``slop`` more or fewer words between them than in the phrase:
-    ``doc_key``, ``start`` (of the rarest term's phrase), ``phrase``, ``shift``.
-
+def proximity_matches(
+    index: PositionalIndex, phrases: DataFrame, slop: int = 5, missing: float = 0.1
+) -> DataFrame:
+    """Places where all terms of a phrase, but a share of at most ``missing``,
+    stand within ``slop`` words of where the phrase would have them:
+    ``doc_key``, ``start`` (of the phrase, as a term that is there places it),
+    ``phrase``, ``shift`` (least difference to where another such term places
+    it) and ``found`` (terms that stand there).
+
+    If m terms may be missing, two of the m + 2 rarest that occur at all are
+    there, so every pair of these gives candidates; they are confirmed on the
+    words of the document.  A phrase of one word has no pair and never matches.
     Postings meet only inside blocks of ``2 * slop + 1`` positions, each looked
     up with its two neighbours, so a document never pairs all its positions.
     """
-    ordered = settle(_ordered_terms(phrases, index.frequencies)).where("size(terms) > 1")
+    ordered = _ordered_terms(phrases, index.frequencies, whole=False)
+    allowed = F.floor(F.size("phrase") * F.lit(missing) + F.lit(1e-9)).cast("int")
+    ordered = settle(ordered.withColumn("allowed", allowed).where("size(phrase) > 1 and size(terms) >= size(phrase) - allowed"))
     block = 2 * slop + 1
-
-    def side(k: int, name: str) -> DataFrame:
-        terms = ordered.select(
-            "phrase_key", "phrase", F.col("terms")[k]["term"].alias("term"), F.col("terms")[k]["offset"].alias("offset")
+    ranked = ordered.select("phrase_key", F.posexplode(F.slice("terms", F.lit(1), F.col("allowed") + 2)).alias("rank", "held"))
+    ranked = ranked.select("phrase_key", "rank", F.col("held.term").alias("term"), F.col("held.offset").alias("offset"))
+    placed = settle(
+        index.postings.join(small_side(ranked, 96), "term").select(
+            "doc_key", "phrase_key", "rank", (F.col("position") - F.col("offset")).alias("start")
         )
-        return index.postings.join(small_side(terms, 512), "term").select(
-            "doc_key", "phrase_key", "phrase", (F.col("position") - F.col("offset")).alias(name)
-        )
-
-    left = side(0, "start").select("*", F.floor(F.col("start") / block).alias("block"))
-    right = side(1, "other").drop("phrase")
+    )
+    left = placed.withColumn("block", F.floor(F.col("start") / block))
+    right = placed.select("doc_key", "phrase_key", F.col("rank").alias("other_rank"), F.col("start").alias("other"))
     right = right.select("*", F.explode(F.array(*[F.floor(F.col("other") / block) + d for d in (-1, 0, 1)])).alias("block"))
-    return (
+    shift = F.col("other") - F.col("start")
+    near = (
         left.join(right, ["doc_key", "phrase_key", "block"])
-        .where(F.abs(F.col("start") - F.col("other")) <= slop)
-        .select("doc_key", "start", "phrase", (F.col("other") - F.col("start")).alias("shift"))
+        .where((F.col("rank") < F.col("other_rank")) & (F.abs(shift) <= slop))
+        .groupBy("doc_key", "phrase_key", "start")
+        .agg(F.min_by(shift, F.struct(F.abs(shift), shift)).alias("shift"))
+    )
+    candidates = settle(near.join(small_side(ordered.select("phrase_key", "phrase", "allowed"), 512), "phrase_key"))
+    docs = index.docs.join(candidates.select("doc_key").distinct(), "doc_key", "left_semi")
+    spelled = docs.dropDuplicates(["doc_key"]).select("doc_key", words_of(F.col("text")).alias("words"))
+
+    def stands(term: Column, i: Column) -> Column:
+        first = F.col("start") + i - slop
+        low = F.greatest(first, F.lit(0))
+        return F.array_contains(F.slice("words", low + 1, F.greatest(first + block - low, F.lit(0))), term)
+
+    there = F.filter(F.transform("phrase", lambda term, i: stands(term, i)), lambda x: x)
+    return (
+        spelled.join(candidates, "doc_key")
+        .withColumn("found", F.size(there))
+        .where("found >= size(phrase) - allowed")
+        .select("doc_key", "start", "phrase", "shift", "found")
     )
 
 

@@ -99,3 +99,20 @@ def test_no_python_in_the_plan(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = decontamination.score_documents(messy(spark), items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_proximity_of_windows_with_a_replaced_word(spark):
+    """Nine of ten words have to stand there, whichever is missing; two are not enough."""
+    window = "alpha bravo carol delta eager fancy giant happy inner joker".split()
+    texts = [" ".join(["pad", *window[:i], "other", *window[i + 1 :], "end"]) for i in range(10)]
+    texts += ["alpha bravo " + sentence(70, 20), " ".join([*window[:2], "x", "y", *window[4:]]), " ".join([*window[:5], "one", "more", *window[5:]])]
+    texts += [" ".join(window[::-1]), " ".join(window[:5] + ["far"] * 9 + window[5:])]
+    for known in (True, False):  # whether the last word occurs anywhere
+        told = [t if known else t.replace("joker", "other") for t in texts]
+        docs = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+        items = spark.createDataFrame([(1, " ".join(window))], "item_id long, text string")
+        phrases = decontamination.phrases_of(items, "item_id", "text", 10)
+        index = decontamination.build_index(docs, phrases.selectExpr("explode(phrase) as term").distinct())
+        found = decontamination.proximity_matches(index, phrases, slop=3).join(index.docs, "doc_key").collect()
+        assert {r["doc_id"] for r in found} == ({*range(10), 12} if known else {9, 12})
+        assert all(r["found"] >= 9 for r in found)
