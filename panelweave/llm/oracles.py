@@ -102,4 +102,54 @@ SQL = {
                h.n_hit is not null as contaminated
         from doc_words d left join hit h using (doc_id) left join named n using (doc_id)
     """,
+    "op12_resampling": r"""
+        with crc as (
+            select list(list_reduce(list_concat([i], range(8)),
+                                    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+            from range(256) r(i)
+        ), doc_words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from documents
+        ), doc_counts as (
+            select doc_id, word, count(*) as n from (select doc_id, unnest(words) as word from doc_words) group by all
+        ), item_counts as (
+            select word, count(*) as n from (
+                select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark
+            ) group by word
+        ), coded as (
+            select word, hex(encode(word)) as code from (select word from doc_counts union select word from item_counts)
+        ), hashed as (
+            select word, xor(list_reduce(list_concat([4294967295],
+                                list_transform(range(0, length(code) // 2), lambda k: ('0x' || substr(code, 2 * k + 1, 2))::bigint)),
+                                lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 as bucket
+            from coded, crc
+        ), s as (select bucket, sum(n)::bigint as s from doc_counts join hashed using (word) group by bucket),
+        t as (select bucket, sum(n)::bigint as t from item_counts join hashed using (word) group by bucket),
+        gains as (
+            select bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::double) * ((select coalesce(sum(s), 0) from s) + 10000)
+                                 / ((coalesce(s, 0) + 1.0::double) * ((select coalesce(sum(t), 0) from t) + 10000))))::bigint as gain
+            from s full join t using (bucket)
+        ), weights as (
+            select doc_id, floor(sum(n * gain)::double / sum(n))::bigint as weight
+            from doc_counts join hashed using (word) join gains using (bucket) group by doc_id
+        ), drawn as (
+            select doc_id, len(words) as n_features, coalesce(weight, 0) as weight,
+                   ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as h
+            from doc_words left join weights using (doc_id)
+        ), scored as (
+            select doc_id, n_features, weight,
+                   weight + floor(-1000.0::double * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint as score,
+                   n_features >= 20 as able
+            from drawn
+        ), ranked as (
+            select *, row_number() over (partition by able order by score desc, doc_id) as place,
+                   count(*) filter (able) over () as total
+            from scored
+        )
+        select doc_id, cast(n_features as bigint) as n_features, weight, score,
+               case when able and place <= 10 * total // 100 then place end as rank
+        from ranked
+    """,
 }
