@@ -152,4 +152,27 @@ SQL = {
                case when able and place <= 10 * total // 100 then place end as rank
         from ranked
     """,
+    "op13_hard_negatives": """
+        with rows as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(256.0::double * x::double)) as v
+            from embeddings
+            where label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), anchors as (select * from rows where vec_id % 50 = 0),
+        scores as (
+            select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_dot_product(a.v, r.v)::bigint as score
+            from anchors a join rows r on a.vec_id <> r.vec_id
+        ), positives as (
+            select anchor_id, vec_id as positive_id, score as positive_score
+            from scores where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+        )
+        select anchor_id, positive_id,
+               cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+               vec_id as negative_id, positive_score, score as negative_score
+        from positives join scores using (anchor_id)
+        where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+        qualify rank <= 3
+    """,
 }

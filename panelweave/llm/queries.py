@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, exact_dedup, language, near_dedup, oracles, pii, resampling, sharding, substring_dedup, token_store
+from . import bpe, chat, decontamination, exact_dedup, language, near_dedup, negatives, oracles, pii, resampling, sharding, substring_dedup, token_store
 from .shared import fresh_path
 
 
@@ -133,6 +133,18 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
+    )
+    whole = negatives.usable(rows, "label", "embedding").select(
+        "vec_id", "label", F.transform("embedding", lambda x: F.floor(x * 256.0).cast("double")).alias("vector")
+    )
+    return negatives.hard_negatives(whole, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: fn

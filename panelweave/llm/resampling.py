@@ -42,6 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import stored
 
@@ -167,7 +168,7 @@ def score_documents(
     return rows.mapInArrow(work, schema)
 
 
-def _keys(batch: pa.RecordBatch) -> list[tuple]:
+def sort_keys(batch: pa.RecordBatch) -> list[tuple]:
     """Sort keys of rows: higher scores first, then ids, the null one last."""
     score, doc_id, text_key, row = (batch.column(c).to_pylist() for c in _KEY)
     return [(-s, d is None, d, t, r) for s, d, t, r in zip(score, doc_id, text_key, row)]
@@ -200,7 +201,7 @@ def regular_splitters(runs: DataFrame, rows: int, ranges: int, fan_in: int = FAN
 
     def batch_of(found: list[tuple], run: int) -> pa.RecordBatch:
         made = [[-k[0] for k, _ in found], [k[2] for k, _ in found], [k[3] for k, _ in found], [k[4] for k, _ in found]]
-        types = pa.schema([(f.name, _arrow(f.dataType)) for f in sample.fields])
+        types = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in sample.fields])
         columns = [*made, [c for _, c in found], [run] * len(found)]
         return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(columns, types)], sample.names)
 
@@ -210,7 +211,7 @@ def regular_splitters(runs: DataFrame, rows: int, ranges: int, fan_in: int = FAN
 
         def keys() -> Iterator[tuple]:
             for batch in batches:
-                yield from ((k, 1) for k in _keys(batch))
+                yield from ((k, 1) for k in sort_keys(batch))
 
         yield batch_of(list(_thinned(keys(), share)), run // fan_in)
 
@@ -224,7 +225,7 @@ def regular_splitters(runs: DataFrame, rows: int, ranges: int, fan_in: int = FAN
         def merge(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             found, run = [], 0
             for batch in batches:
-                found += zip(_keys(batch), batch.column("count").to_pylist())
+                found += zip(sort_keys(batch), batch.column("count").to_pylist())
                 run = batch.column("run")[0].as_py() if batch.num_rows else run
             found.sort()
             yield batch_of(list(_thinned(found, level)), run // fan_in)
@@ -236,12 +237,6 @@ def regular_splitters(runs: DataFrame, rows: int, ranges: int, fan_in: int = FAN
     return sorted((-r["score"], r["doc_id"] is None, r["doc_id"], r["text_key"], r["row"]) for r in ends)
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def rank_rows(scored: DataFrame, options: Options, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``scored`` with ``rank``, null for rows that are not drawn."""
     spark = scored.sparkSession
@@ -260,7 +255,7 @@ def rank_rows(scored: DataFrame, options: Options, range_rows: int = RANGE_ROWS)
         ends = held.value
         for batch in batches:
             able = np.asarray(batch.column("n_words")) >= least
-            found = [bisect.bisect_left(ends, k) if a else None for k, a in zip(_keys(batch), able)]
+            found = [bisect.bisect_left(ends, k) if a else None for k, a in zip(sort_keys(batch), able)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], schema.names)
 
     placed = stored(rows.mapInArrow(cut, schema), "ranges")
