@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, exact_dedup, language, near_dedup, negatives, oracles, pii, resampling, sharding, substring_dedup, token_store
+from . import bpe, chat, decontamination, edit_fingerprints, exact_dedup, language, near_dedup, negatives, oracles, pii, resampling, sharding, substring_dedup, token_store
 from .shared import fresh_path
 
 
@@ -128,6 +128,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints.compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return ranked.select("doc_id", "n_features", "weight", "score", "rank")
