@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,31 +27,55 @@ def levenshtein_similarity(left, right) -> Column:
 def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity, ignoring case; halves of transpositions count.
 
-    The helper is nested so that it travels with the function: workers need not
-    have the package.
+    Pairs of a batch are matched side by side, one left character at a time, as
+    rows of code points.  The helpers are nested so that they travel with the
+    function: workers need not have the package.
     """
 
-    def similarity(left: str, right: str) -> float:
-        if left == right:
-            return 1.0
-        if not left or not right:
-            return 0.0
-        reach = max(max(len(left), len(right)) // 2 - 1, 0)
-        free = list(right)
-        paired = []
-        for at, char in enumerate(left):
-            spot = next((j for j in range(max(0, at - reach), min(at + reach + 1, len(right))) if free[j] == char), None)
-            if spot is not None:
-                free[spot] = None
-                paired.append((char, spot))
-        if not paired:
-            return 0.0
-        in_right_order = (right[spot] for spot in sorted(spot for _, spot in paired))
-        swapped = sum(char != other for (char, _), other in zip(paired, in_right_order))
-        common = len(paired)
-        jaro = (common / len(left) + common / len(right) + (common - swapped / 2) / common) / 3
-        lead = next((i for i, (a, b) in enumerate(zip(left[:MAX_PREFIX], right)) if a != b), min(len(left), len(right), MAX_PREFIX))
-        return jaro + lead * PREFIX_BONUS * (1 - jaro)
-
-    pairs = zip(left.str.lower(), right.str.lower())
-    return pd.Series([None if a is None or b is None else similarity(a, b) for a, b in pairs], dtype="float64")
+    def codes(texts: list[str], width: int) -> np.ndarray:
+        """Code points as rows, filled up with zeros."""
+        raw = b"".join(t.ljust(width, "\0").encode("utf-32-le") for t in texts)
+        return np.frombuffer(raw, dtype="<u4").reshape(len(texts), width)
+
+    def similarity(lefts: list[str], rights: list[str]) -> np.ndarray:
+        m, n = (np.array([len(t) for t in texts]) for texts in (lefts, rights))
+        a, b = codes(lefts, max(int(m.max()), 1)), codes(rights, max(int(n.max()), 1))
+        reach = np.maximum(np.maximum(m, n) // 2 - 1, 0)
+        place = np.arange(b.shape[1])
+        free = place < n[:, None]
+        paired = np.zeros(a.shape, dtype=bool)
+        for at in range(a.shape[1]):
+            near = free & (b == a[:, at : at + 1]) & (np.abs(place - at) <= reach[:, None]) & (at < m)[:, None]
+            row = np.flatnonzero(near.any(axis=1))
+            free[row, near[row].argmax(axis=1)] = False
+            paired[row, at] = True
+        taken = ~free & (place < n[:, None])
+        common = paired.sum(axis=1)
+        # Paired characters of both sides in order, side by side.
+        width = max(int(common.max()), 1)
+        first = np.take_along_axis(a, np.argsort(~paired, axis=1, kind="stable")[:, :width], axis=1)
+        second = np.take_along_axis(b, np.argsort(~taken, axis=1, kind="stable")[:, :width], axis=1)
+        swapped = ((first != second) & (np.arange(width) < common[:, None])).sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            jaro = (common / m + common / n + (common - swapped / 2) / common) / 3
+        jaro = np.where(common > 0, jaro, 0.0)
+        head = min(MAX_PREFIX, a.shape[1], b.shape[1])
+        same = (a[:, :head] == b[:, :head]) & (np.arange(head) < np.minimum(m, n)[:, None])
+        lead = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+        same_text = np.array([x == y for x, y in zip(lefts, rights)])
+        return np.where(same_text, 1.0, jaro + lead * PREFIX_BONUS * (1 - jaro))
+
+    low, high = left.str.lower(), right.str.lower()
+    out = np.full(len(low), np.nan)
+    known = np.flatnonzero((low.notna() & high.notna()).to_numpy())
+    lefts, rights = low.to_numpy(dtype=object)[known], high.to_numpy(dtype=object)[known]
+    sizes = np.array([max(len(x), len(y)) for x, y in zip(lefts, rights)], dtype=int)
+    order, at = np.argsort(sizes, kind="stable"), 0
+    while at < len(order):  # about a million characters at once, of like lengths
+        stop = at + 1
+        while stop < len(order) and (stop + 1 - at) * sizes[order[stop]] <= 1 << 20:
+            stop += 1
+        chosen = order[at:stop]
+        out[known[chosen]] = similarity(list(lefts[chosen]), list(rights[chosen]))
+        at = stop
+    return pd.Series(out)

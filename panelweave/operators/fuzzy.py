@@ -18,7 +18,7 @@ whenever the bound allows it.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,9 +125,15 @@ def _best(scored: DataFrame, block: list[str]) -> DataFrame:
 def _grams(text: Column, q: int) -> Column:
     """Numbered q-grams of a string; empty when it is shorter than q."""
     starts = F.when(F.length(text) >= q, F.sequence(F.lit(1), F.length(text) - (q - 1)))
-    grams = F.array_sort(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(q))))
+    grams = F.sort_array(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(q))))
     # All grams have q characters, so the number can simply follow.
-    return F.transform(grams, lambda g, i: F.concat(g, (i - F.array_position(grams, g)).cast("string")))
+    return _bound(grams, lambda all_: F.transform(all_, lambda g, i: F.concat(g, (i - F.array_position(all_, g)).cast("string"))))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once: a lambda that names an
+    expression outside of it would compute that again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _with_prefix(df: DataFrame, name: str, block: list[str], q: int, order: DataFrame, overlap: Column) -> DataFrame:
@@ -208,46 +214,140 @@ def _levenshtein_pairs(lefts: DataFrame, rights: DataFrame, block: list[str], th
     return scored.filter(F.col("score") >= threshold).select(*block, "l", "r", "score")
 
 
-def _jaro_winkler_pairs(lefts: DataFrame, rights: DataFrame, block: list[str], threshold: float) -> DataFrame:
-    """Jaro-Winkler at or above the threshold.
+#: Tokens whose frequencies order the others; rarer ones count as never seen.
+COMMON_TOKENS = 1000
+
+
+#: From this sum of shares on, tokens are worth their rows for any lead.
+STRONG_SUM = 1.5
+
+
+def _token_counts(strings: DataFrame, name: str) -> DataFrame:
+    """One row: how often the most frequent tokens occur, as a map."""
+    tokens = strings.select(F.explode(_grams(F.lower(name), 1)).alias("token"))
+    top = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).orderBy(F.col("f").desc(), "token").limit(COMMON_TOKENS)
+    return top.agg(F.map_from_arrays(F.collect_list("token"), F.collect_list("f")).alias("_counts"))
+
+
+def _least_sum(threshold: float, lead: int) -> float:
+    """What common/m + common/n must reach for a score at the threshold, with
+    ``lead`` equal first characters and no transposition."""
+    plain = (threshold - PREFIX_BONUS * lead) / (1 - PREFIX_BONUS * lead)
+    return 3 * plain - 1 - _EPS
+
+
+def _band_ratio(total: float) -> float:
+    """Ratio of the bounds of a length band: a quarter of the lengths that fit."""
+    return min(max(1 + (1 / (total - 1) - 1) / 4, 1.02), 1.3)
+
+
+def _band(length: Column, ratio: float) -> Column:
+    return F.floor(F.log(length.cast("double")) / math.log(ratio) + _EPS).cast("int")
 
-    With ``c`` common characters the plain score is at most
-    ``(c/m + c/n + 1) / 3``; solving for ``c`` with the bonus of a shared
-    prefix below full length gives the token bound.  Pairs that share the full
-    prefix are joined on it directly.
+
+def _band_start(band: Column, ratio: float) -> Column:
+    return F.pow(F.lit(ratio), band.cast("double"))
+
+
+KEYS = "array<struct<lead:int,head:string,band_l:int,band_r:int,token:string>>"
+
+
+def _lead_keys(df: DataFrame, name: str, counts: DataFrame, threshold: float, is_left: bool) -> DataFrame:
+    """Index rows of strings: for every lead and every length band of a
+    partner, the first characters and the rarest tokens of the rest.
+
+    With ``c`` the least number of common characters for two bands, less the
+    lead, two strings that fit share a token among the first ``rest - c + 1``
+    of each, by one order of all tokens.  Where the bound is weak, leads of
+    three and more are left without tokens, as is a bound of no further common
+    characters.
+    """
+    lower = F.lower(F.col(name))
+    base = df.withColumn("len", F.length(lower)).filter(F.col("len") > 0)
+    marked = base.join(F.broadcast(counts))
+
+    def bit(token: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(token), F.lit(64)).cast("int"))
+
+    def by_count(tokens: Column) -> Column:
+        weighed = F.transform(tokens, lambda t: F.struct(F.coalesce(F.element_at("_counts", t), F.lit(0).cast("long")).alias("f"), t.alias("t")))
+        return F.transform(F.sort_array(weighed), lambda s: s["t"])
+
+    totals = [_least_sum(threshold, lead) for lead in range(MAX_PREFIX + 1)]
+    tokened = [lead for lead, total in enumerate(totals) if lead == 0 or total >= STRONG_SUM or (total > 1 and lead < 3)]
+    marked = marked.withColumns({f"_grams_{lead}": _grams(F.substring(lower, lead + 1, 1 << 30), 1) for lead in tokened})
+    marked = marked.withColumns({f"_rarest_{lead}": by_count(F.col(f"_grams_{lead}")) for lead in tokened})
+    signature = F.aggregate("_grams_0", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(bit(t)))
+    kinds = []
+    for lead, total in enumerate(totals):
+
+        def key(token: Column, other: Column | None = None) -> Column:
+            own, theirs = (F.lit(-1), F.lit(-1)) if other is None else (band, other)
+            left, right = (own, theirs) if is_left else (theirs, own)
+            return F.struct(
+                F.lit(lead).alias("lead"), F.substring(lower, 1, lead).alias("head"), left.alias("band_l"), right.alias("band_r"), token.alias("token")
+            )
+
+        rarest = F.col(f"_rarest_{lead}")
+
+        ratio = _band_ratio(total) if total > 1 else 2.0
+        band = _band(F.col("len"), ratio)
+
+        def of_band(other: Column) -> Column:
+            mine, theirs = (F.ceil(_band_start(b, ratio) - 1e-6) for b in (band, other))
+            least = F.greatest(F.ceil(total * mine * theirs / (mine + theirs) - 1e-6).cast("int"), F.lit(1))
+            common = least - lead
+            longest = F.floor(_band_start(F.greatest(band, other) + 1, ratio) + 1e-6)
+            kept = F.slice(rarest, F.lit(1), F.greatest(F.col("len") - lead - common + 1, F.lit(0)))
+            some = F.transform(kept, lambda t: key(t, other))
+            # Where no string of the bands can do without a token, all are the key.
+            whole = F.array(key(F.array_join(rarest, ""), other))
+            return F.when(common <= 0, F.array(key(F.lit(""), other))).when(longest <= least, whole).otherwise(some)
+
+        if lead not in tokened:
+            found = F.array(key(F.lit("")))
+        elif total <= 1:  # any length may fit, but one character is common
+            found = F.transform(rarest, lambda t: key(t))
+        else:  # the shorter one has at least total - 1 of the longer one's length
+            first = F.greatest(_band(F.greatest(F.lit(1.0), F.col("len") * (total - 1)), ratio) - 1, F.lit(0))
+            others = F.sequence(first, _band(F.col("len") / (total - 1), ratio) + 1)
+            found = F.flatten(F.transform(others, of_band))
+        kinds.append(F.when(F.col("len") >= lead, found).otherwise(F.array().cast(KEYS)))
+    return marked.select(*df.columns, "len", signature.alias("signature"), F.inline(F.concat(*kinds)))
+
+
+def jaro_winkler_candidates(lefts: DataFrame, rights: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
+    """Pairs ``l``, ``r`` that can reach the threshold by their characters.
+
+    With ``c`` common characters the plain score of strings of lengths m and n
+    is at most ``(c/m + c/n + 1) / 3``.  Pairs meet at their number of equal
+    first characters and at rare common tokens (see :func:`_lead_keys`).  A
+    64-bit signature of the numbered characters tells how many of them the
+    other string lacks at least; pairs that lack too many are not written.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
+    block = list(block)
+    counts = _token_counts(rights, "r")
+    a = _lead_keys(lefts, "l", counts, threshold, True).withColumnsRenamed({"len": "len_l", "signature": "bits_l"})
+    b = _lead_keys(rights, "r", counts, threshold, False).withColumnsRenamed({"len": "len_r", "signature": "bits_r"})
+    pairs = salted_join(a, b, [*block, "lead", "head", "band_l", "band_r", "token"], ["r"])
+    lacks_l = F.bit_count(F.col("bits_l").bitwiseAND(F.bitwise_not("bits_r")))
+    lacks_r = F.bit_count(F.col("bits_r").bitwiseAND(F.bitwise_not("bits_l")))
+    common = F.least(F.col("len_l") - lacks_l, F.col("len_r") - lacks_r)
+    needed = F.element_at(F.array(*[F.lit(_least_sum(threshold, lead)) for lead in range(MAX_PREFIX + 1)]), F.col("lead") + 1)
+    longer_lead = (F.least("len_l", "len_r") > F.col("lead")) & (
+        F.substring(F.lower("l"), F.col("lead") + 1, F.lit(1)) == F.substring(F.lower("r"), F.col("lead") + 1, F.lit(1))
+    )
+    hopeful = pairs.filter(
+        (common > 0) & (common / F.col("len_l") + common / F.col("len_r") >= needed) & ((F.col("lead") == MAX_PREFIX) | ~longer_lead)
+    )
+    return hopeful.select(*block, "l", "r").distinct()
 
-    def needed_share(prefix: int) -> float:
-        plain = (threshold - PREFIX_BONUS * prefix) / (1 - PREFIX_BONUS * prefix)
-        return max(3 * plain - 2, 0.0)
 
-    overlap = F.greatest(F.lit(1), F.ceil(F.col("len") * needed_share(MAX_PREFIX - 1) - _EPS)).cast("int")
-    head_l, head_r = F.substring(F.lower("l"), 1, MAX_PREFIX), F.substring(F.lower("r"), 1, MAX_PREFIX)
-    partial = _candidates(lefts, rights, block, 1, overlap, once=True).filter(
-        (head_l != head_r) | (F.least("len_l", "len_r") < MAX_PREFIX)
-    )
-    sides = []
-    for frame, name in ((lefts, "l"), (rights, "r")):
-        lower = F.lower(F.col(name))
-        full = frame.withColumn(f"len_{name}", F.length(lower)).filter(F.col(f"len_{name}") >= MAX_PREFIX)
-        sides.append(
-            full.withColumn(f"tokens_{name}", _grams(lower, 1)).withColumn("head", F.substring(lower, 1, MAX_PREFIX))
-        )
-    shared = salted_join(sides[0], sides[1], [*block, "head"], ["r"])
-    columns = [*block, "l", "r", "len_l", "len_r", "tokens_l", "tokens_r"]
-    pairs = partial.select(*columns).unionByName(shared.select(*columns))
-    common = F.size(F.array_intersect("tokens_l", "tokens_r"))
-    lead = F.lit(0)
-    for width in range(1, MAX_PREFIX + 1):
-        agree = F.substring(F.lower("l"), 1, width) == F.substring(F.lower("r"), 1, width)
-        lead = F.when(agree & (F.least("len_l", "len_r") >= width), width).otherwise(lead)
-    plain = (common / F.col("len_l") + common / F.col("len_r") + 1) / 3
-    ceiling = plain + lead * PREFIX_BONUS * (1 - plain)
-    # The bound runs in the JVM; only pairs that can pass it reach Python.
-    hopeful = pairs.filter((common > 0) & (ceiling >= threshold - _EPS)).select(*block, "l", "r")
-    scored = hopeful.withColumn("score", jaro_winkler("l", "r"))
+def _jaro_winkler_pairs(lefts: DataFrame, rights: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """Pairs at or above the threshold with their score."""
+    scored = jaro_winkler_candidates(lefts, rights, block, threshold).withColumn("score", jaro_winkler("l", "r"))
     return scored.filter(F.col("score") >= threshold)
 
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,31 @@ def test_jaro_winkler_values(spark, a, b, expected):
     assert df.select(jaro_winkler("a", "b").alias("s")).first()["s"] == pytest.approx(expected, abs=1e-6)
 
 
+def random_names(count, seed):
+    rng = random.Random(seed)
+    parts = [c + v for c in "bcdfghklmnprstvwz" for v in "aeiou"]
+    return ["".join(rng.choices(parts, k=rng.randint(2, 4))).title() + " " + "".join(rng.choices(parts, k=rng.randint(2, 5))).title() for _ in range(count)]
+
+
+def test_jaro_winkler_writes_few_pairs(spark):
+    """Of 10,000 by 10,000 names, few pairs are left for the exact score."""
+    left, right = (spark.createDataFrame([(n,) for n in sorted(set(random_names(10_000, i)))], f"{c} string") for i, c in enumerate("lr"))
+    pairs = fuzzy.jaro_winkler_candidates(left, right, [], 0.85).count()
+    assert 0 < pairs < 0.05 * left.count() * right.count()
+
+
+def test_jaro_winkler_on_names(spark):
+    """Names with typing errors, and strings of very different lengths."""
+    rng, right = random.Random(3), sorted(set(random_names(250, 7)) | {"a", "ab", "x" * 60, "bada " * 12})
+    left = [n[:i] + rng.choice("aeioux") + n[i + rng.randint(0, 2) :] for n in right for i in [rng.randrange(len(n))]] + ["q", "", "badab"]
+    l, r = (spark.createDataFrame([(w,) for w in words], f"{c} string") for words, c in ((left, "l"), (right, "r")))
+    for threshold in (0.8, 0.93):
+        got = {x["left_value"]: (x["match_value"], x["match_score"]) for x in fuzzy.best_matches(l, r, "l", "r", threshold, "jaro_winkler").collect()}
+        best = {a: max((round(brute_jaro_winkler(a, b), 12), [-ord(c) for c in b], b) for b in right) for a in left}
+        assert got.keys() == {a for a, (s, *_) in best.items() if s >= threshold}
+        assert all(score == pytest.approx(best[a][0]) and brute_jaro_winkler(a, name) == pytest.approx(score) for a, (name, score) in got.items())
+
+
 def test_contains_and_equality(spark):
     l = spark.createDataFrame([("Cat",), ("a",), ("zz",), ("",), ("longer phrase",), (None,)], "l string")
     r = spark.createDataFrame([("concatenate",), ("CATALOG",), ("a longer Phrase",), ("b",)], "r string")
