@@ -40,8 +40,11 @@ from .shared import taken, text_slices
 from .words import bytes_hashes
 
 LEAF = 256
-#: Pieces and pre-tokens remembered by a worker process, each.
-CACHE_ENTRIES = 600_000
+#: Bytes of pieces that a worker process remembers in one of two generations,
+#: a quarter of it for pre-tokens, and what an entry takes besides its ids.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 260
+#: Ids that are handed on at once.
+OUT_IDS = 1 << 20
 #: Longer ones are not remembered.
 LONG_PIECE = 64
 #: Texts are cut into parts of this many characters, and worked on by as many.
@@ -214,9 +217,10 @@ class PieceCache:
     A piece starts at a single space between two other characters, where no
     pre-token can cross.  Pieces of many texts are cut and told apart by array
     operations, by 128 bits of hash; only new ones are looked at as strings.
-    ``cut`` maps a piece to its pre-tokens and ``encode`` pre-tokens to ids; a
-    full cache becomes the old generation, from which what is still in use is
-    taken over.
+    ``cut`` maps a piece to its pre-tokens and ``encode`` pre-tokens to ids.
+    Pre-tokens are remembered only where a piece has several of them.  A cache
+    has a bound in bytes: a full one becomes the old generation, from which what
+    is still in use is taken over.
     """
 
     def __init__(
@@ -224,9 +228,10 @@ class PieceCache:
         cut: Callable[[str], list[str]],
         encode: Callable[[list[str]], list],
         dtype: str = "<u4",
-        entries: int = CACHE_ENTRIES,
+        limit: int = CACHE_BYTES,
     ):
-        self.cut, self.encode, self.dtype, self.entries = cut, encode, dtype, entries
+        self.cut, self.encode, self.dtype, self.limit = cut, encode, dtype, limit
+        self.piece_bytes = self.pretoken_bytes = 0
         self.pieces: dict[int, tuple[int, bytes]] = {}
         self.old_pieces: dict[int, tuple[int, bytes]] = {}
         self.pretokens: dict[str, bytes] = {}
@@ -292,15 +297,16 @@ class PieceCache:
 
     def _learn(self, found, absent, distinct, checks, buffer, starts, ends) -> None:
         """Fill in the pieces that the present generation lacks."""
-        if len(self.pieces) > self.entries:
-            self.pieces, self.old_pieces = {}, self.pieces
-        if len(self.pretokens) > self.entries:
-            self.pretokens, self.old_pretokens = {}, self.pretokens
+        if self.piece_bytes > self.limit:
+            self.pieces, self.old_pieces, self.piece_bytes = {}, self.pieces, 0
+        if self.pretoken_bytes > self.limit // 4:
+            self.pretokens, self.old_pretokens, self.pretoken_bytes = {}, self.pretokens, 0
         keys, missing = distinct.tolist(), []
         for i in absent:
             old = self.old_pieces.get(keys[i])
             if old is not None and old[0] == checks[i]:
                 found[i] = self.pieces[keys[i]] = old
+                self.piece_bytes += ENTRY_BYTES + len(old[1])
             else:
                 missing.append(i)
         bounds = list(zip(starts.tolist(), ends.tolist()))
@@ -309,6 +315,7 @@ class PieceCache:
             found[i] = (checks[i], ids)
             if len(string) <= LONG_PIECE:
                 self.pieces[keys[i]] = found[i]
+                self.piece_bytes += ENTRY_BYTES + len(ids)
 
     def _joined(self, ids: bytes) -> np.ndarray:
         return np.frombuffer(ids, dtype=self.dtype)
@@ -317,17 +324,24 @@ class PieceCache:
         # A space and letters are one pre-token, as are letters.
         cuts = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.cut(p) for p in pieces]
         tokens, old_tokens = self.pretokens, self.old_pretokens
-        unknown = set(chain.from_iterable(cuts)).difference(tokens)
-        for token in unknown.intersection(old_tokens):
+        several = set(chain.from_iterable(cut for cut in cuts if len(cut) > 1)).difference(tokens)
+        for token in several.intersection(old_tokens):
             tokens[token] = old_tokens[token]
-        fresh = list(unknown.difference(old_tokens))
-        for token, ids in zip(fresh, self.encode(fresh)):
-            tokens[token] = np.asarray(ids, dtype=self.dtype).tobytes()
-        made = [tokens[cut[0]] if len(cut) == 1 else b"".join([tokens[t] for t in cut]) for cut in cuts]
+            self.pretoken_bytes += ENTRY_BYTES + len(tokens[token])
+        fresh = list(several.difference(old_tokens))
+        single = list({cut[0] for cut in cuts if len(cut) == 1}.difference(tokens, fresh))
+        made = {}
+        for token, ids in zip(fresh + single, self.encode(fresh + single)):
+            made[token] = np.asarray(ids, dtype=self.dtype).tobytes()
         for token in fresh:
-            if len(token) > LONG_PIECE:
-                del tokens[token]
-        return made
+            if len(token) <= LONG_PIECE:
+                tokens[token] = made[token]
+                self.pretoken_bytes += ENTRY_BYTES + len(made[token])
+
+        def ids_of(token: str) -> bytes:
+            return made[token] if token in made else tokens[token]
+
+        return [ids_of(cut[0]) if len(cut) == 1 else b"".join(map(ids_of, cut)) for cut in cuts]
 
 
 class Spelling:
@@ -393,17 +407,26 @@ def encode_documents(
         path = vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
         cache, decimals, tokens = _encoder(path, pattern)
         for batch in batches:
-            counts, lists, digests, decoded = [], [], [], []
-            for ids in cache.encode_texts(batch.column("text").to_pylist()):
+            counts, lists, digests, decoded, first, held = [], [], [], [], 0, 0
+
+            def made(last: int) -> pa.RecordBatch:
+                columns = [batch.column("doc_id").slice(first, last - first), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
+                if with_ids:
+                    columns.append(pa.array(lists, pa.list_(pa.int32())))
+                return pa.RecordBatch.from_arrays(columns, schema.names)
+
+            for row, ids in enumerate(cache.encode_texts(batch.column("text").to_pylist()), 1):
                 listed, spelled = _digests(ids, decimals, tokens)
                 counts.append(len(ids))
                 digests.append(listed)
                 decoded.append(spelled)
                 if with_ids:
                     lists.append(ids.astype(np.int32))
-            made = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
-            if with_ids:
-                made.append(pa.array(lists, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(made, schema.names)
+                held += len(ids)
+                if held >= OUT_IDS:
+                    yield made(row)
+                    counts, lists, digests, decoded, first, held = [], [], [], [], row, 0
+            if counts:
+                yield made(batch.num_rows)
 
     return docs.mapInArrow(encode, schema)

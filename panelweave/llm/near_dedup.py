@@ -141,8 +141,9 @@ def signatures(docs: DataFrame, options: Options) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(options)
         for batch in batches:
-            counts, nodes, packed, keys = [], [], [], []
+            at = 0
             for texts in text_slices(batch.column("text").to_pylist()):
+                counts, nodes, packed, keys = [], [], [], []
                 for words in word_hashes([t.encode().lower() for t in texts]):
                     shingles = shingle_set(words, options.shingle_words)
                     counts.append(len(shingles))
@@ -153,17 +154,18 @@ def signatures(docs: DataFrame, options: Options) -> DataFrame:
                     nodes.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                     packed.append(signer.packed(minima))
                     keys.append(signer.band_keys(minima).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("text_key"),
-                    pa.array(counts, pa.int64()),
-                    pa.array(nodes, pa.binary()),
-                    pa.array(packed, pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                ],
-                schema.names,
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(at, len(texts)),
+                        batch.column("text_key").slice(at, len(texts)),
+                        pa.array(counts, pa.int64()),
+                        pa.array(nodes, pa.binary()),
+                        pa.array(packed, pa.binary()),
+                        pa.array(keys, pa.list_(pa.int64())),
+                    ],
+                    schema.names,
+                )
+                at += len(texts)
 
     return docs.mapInArrow(work, schema)
 
@@ -175,12 +177,12 @@ def full_sets(docs: DataFrame, nodes: DataFrame, options: Options) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [
-                shingle_set(words, options.shingle_words).astype(np.int64)
-                for texts in text_slices(batch.column("text").to_pylist())
-                for words in word_hashes([t.encode().lower() for t in texts])
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(sets, pa.list_(pa.int64()))], schema.names)
+            at = 0
+            for texts in text_slices(batch.column("text").to_pylist()):
+                words = word_hashes([t.encode().lower() for t in texts])
+                sets = pa.array([shingle_set(w, options.shingle_words).astype(np.int64) for w in words], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("number").slice(at, len(texts)), sets], schema.names)
+                at += len(texts)
 
     texts = docs.select("text_key", "text").join(small_side(nodes, 72), "text_key").dropDuplicates(["number"])
     return texts.select("number", "text").mapInArrow(work, schema)

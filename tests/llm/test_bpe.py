@@ -42,7 +42,7 @@ def test_documents(spark, reference):
 
 
 def test_random_texts(encoder, reference):
-    cache = bpe.PieceCache(encoder.pretokens, encoder.encode_pretokens, entries=40)
+    cache = bpe.PieceCache(encoder.pretokens, encoder.encode_pretokens, limit=40 * bpe.ENTRY_BYTES)
     rng = random.Random(4)
     letters = list(" \n\t\r   aabbccddeetthh's'lléèß漢字🎉1234.,!?\x85\xa0\x1c -")
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
