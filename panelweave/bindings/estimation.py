@@ -75,6 +75,65 @@ def fe_baseline(spark, sf):
     return _core(spark, sf, "baseline")
 
 
+_DM = PANEL_SQL + ",\n" + demean_sql("panel", "dm", ["outcome", "treatment"], TWO_WAY, ["id", "period"])
+_DM_SCORES = f"""with {_DM},
+mo as (select avg(treatment) mx, avg(outcome) my, regr_sxx(outcome, treatment) sxx, regr_sxy(outcome, treatment) sxy, count(*) n from dm),
+ro as (select id, period, (treatment - mx) * ((outcome - my) - sxy / sxx * (treatment - mx)) s from dm, mo)"""
+SE_COLUMNS = ["coefficient", "std_error", "n_obs"]
+
+
+@query(
+    "fe_robust",
+    f"{_DM_SCORES} select {r('any_value(sxy / sxx)', 'coefficient')}, {r('sqrt(any_value(n) / (any_value(n) - 2.0) * sum(s * s)) / any_value(sxx)', 'std_error')}, any_value(n) n_obs from ro, mo",
+)
+def fe_robust(spark, sf):
+    return rounded(reg.run_fe_estimation(panel(spark, sf), BY_KEYS["baseline"], se="robust").select(*SE_COLUMNS))
+
+
+@query(
+    "fe_two_way",
+    f"""{_DM_SCORES},
+a as (select count(*) / (count(*) - 1.0) * sum(s * s) v from (select id, sum(s) s from ro group by 1)),
+b as (select count(*) / (count(*) - 1.0) * sum(s * s) v from (select period, sum(s) s from ro group by 1)),
+ab as (select count(*) / (count(*) - 1.0) * sum(s * s) v from ro)
+select {r('sxy / sxx', 'coefficient')}, {r('sqrt((a.v + b.v - ab.v) * (n - 1.0) / (n - 2.0)) / sxx', 'std_error')}, n n_obs from mo, a, b, ab""",
+)
+def fe_two_way(spark, sf):
+    return rounded(reg.run_fe_estimation(panel(spark, sf), BY_KEYS["baseline"], se="two_way").select(*SE_COLUMNS))
+
+
+@query(
+    "fe_bootstrap",
+    f"""{_DM_SCORES},
+dr as (select rep, s * case when cast(cast('0x' || substr(md5(id || '-' || rep || '-42'), 1, 8) as bigint) as double) / 4294967296.0 < 0.5 then -1 else 1 end w
+       from (select id, sum(s) s from ro group by id), (select unnest(range(1, 201)) rep)),
+re as (select rep, sum(w) d from dr group by rep)
+select {r('any_value(sxy / sxx)', 'coefficient')}, {r('stddev_samp(d) / any_value(sxx)', 'std_error')}, any_value(n) n_obs from re, mo""",
+)
+def fe_bootstrap(spark, sf):
+    return rounded(reg.run_fe_estimation(panel(spark, sf), BY_KEYS["baseline"], se="bootstrap").select(*SE_COLUMNS))
+
+
+@query(
+    "fe_two_way_converged",
+    _core_sql(
+        f"""recursive {PANEL_SQL.lstrip()},
+pe as (select 0 k, period, cast(0.0 as double) gy, cast(0.0 as double) gx from panel group by period
+ union all
+ select k + 1, period, avg(outcome - ay), avg(treatment - ax) from (
+   select panel.*, k, avg(outcome - gy) over (partition by id) ay, avg(treatment - gx) over (partition by id) ax
+   from panel join pe on panel.period = pe.period where k < 60) group by k, period),
+la as (select * from pe where k = 60),
+dm as (select panel.id, panel.period, outcome - gy - avg(outcome - gy) over (partition by panel.id) outcome,
+       treatment - gx - avg(treatment - gx) over (partition by panel.id) treatment from panel join la on panel.period = la.period),"""
+        + simple_cluster_sql("dm", "id")
+    ),
+)
+def fe_two_way_converged(spark, sf):
+    """Both effects taken out to the end, as dummies of both would."""
+    return rounded(reg.run_fe_estimation(panel(spark, sf), BY_KEYS["baseline"], tolerance=1e-9).select(*CORE))
+
+
 @query("unit_fe_only", _FE["unit_fe_only"])
 def unit_fe_only(spark, sf):
     return _core(spark, sf, "unit_fe_only")

@@ -353,10 +353,13 @@ def two_way_ols(
     Moments are taken once by (a, b); scores of those cells add up to the
     scores by a and by b.
     """
+    return _two_way_fit(complete_cases(df, [y, *xs, *clusters]), y, xs, clusters, method)
+
+
+def _two_way_fit(cases: DataFrame, y: str, xs: Sequence[str], clusters: tuple[str, str], method: str) -> DataFrame:
     a, b = clusters
     variables = [y, *xs]
     p, k = len(variables), len(xs)
-    cases = complete_cases(df, [*variables, a, b])
     table = group_moments(cases, variables, [a, b])
     solution = solve(group_moments(cases, variables), p)
     scores = cluster_scores(table, solution, p)
@@ -418,6 +421,55 @@ def demean_by_fe(
     return out
 
 
+def demean_converged(
+    df: DataFrame, variables: Sequence[str], fe: Sequence[str], tolerance: float = 1e-9, max_rounds: int = 1000
+) -> DataFrame:
+    """Subtract all effects at once: the residual from dummies of every effect.
+
+    Rows are added up to cells of the effects.  Each round takes, on the cells,
+    the mean of one effect's group less the other effects, for each effect in
+    turn, until no value of the last effect moves by more than ``tolerance``
+    standard deviations of its variable.  Only tables of the effects' values are
+    kept between rounds, in the shared folder; the rows are read for the cells
+    and rewritten once at the end.  Rows without a value of an effect get NULL.
+    """
+    present = [v for v in dict.fromkeys(variables) if v in df.columns]
+    size = range(len(present))
+    sums = [F.sum(F.col(v).cast("double")).alias(f"_s{i}") for i, v in enumerate(present)]
+    keyed = df.select(*[F.col(e).alias(f"_e{k}") for k, e in enumerate(fe)], *present).dropna(subset=[f"_e{k}" for k in range(len(fe))])
+    cells = cut_lineage(keyed.groupBy(*[f"_e{k}" for k in range(len(fe))]).agg(F.count(F.lit(1)).alias("_n"), *sums))
+    spread = df.agg(*[F.stddev_pop(v).alias(f"d{i}") for i, v in enumerate(present)]).first()
+    scale = [spread[f"d{i}"] or 1.0 for i in size]
+    values: dict[int, DataFrame] = {}
+    for _ in range(max_rounds):
+        before = values.get(len(fe) - 1)
+        for k in range(len(fe)):
+            left = cells
+            for other, table in values.items():
+                if other != k:
+                    left = left.join(table, f"_e{other}")
+            taken = {i: sum((F.col(f"_a{o}_{i}") for o in values if o != k), F.lit(0.0)) for i in size}
+            means = [(F.sum(F.col(f"_s{i}") - F.col("_n") * taken[i]) / F.sum("_n")).alias(f"_a{k}_{i}") for i in size]
+            values[k] = left.groupBy(f"_e{k}").agg(*means)
+        last = len(fe) - 1
+        values[last] = cut_lineage(values[last])
+        if before is not None:
+            old = before.withColumnsRenamed({f"_a{last}_{i}": f"_b{i}" for i in size})
+            moved = values[last].join(old, f"_e{last}").agg(
+                *[F.max(F.abs(F.col(f"_a{last}_{i}") - F.col(f"_b{i}"))).alias(f"m{i}") for i in size]
+            )
+            change = moved.first()
+            if all((change[f"m{i}"] or 0.0) <= tolerance * scale[i] for i in size):
+                break
+    else:
+        raise RuntimeError(f"effects did not settle in {max_rounds} rounds")
+    out = df
+    for k, effect in enumerate(fe):
+        out = out.join(values[k], F.col(effect) == F.col(f"_e{k}"), "left").drop(f"_e{k}")
+    rest = {v: F.col(v) - sum(F.col(f"_a{k}_{i}") for k in range(len(fe))) for i, v in enumerate(present)}
+    return out.withColumns(rest).select(*df.columns)
+
+
 def _resolve(name: str | Specification) -> tuple[str, Specification]:
     if isinstance(name, Specification):
         return "custom", name
@@ -427,14 +479,24 @@ def _resolve(name: str | Specification) -> tuple[str, Specification]:
 
 
 def within_sample(
-    df: DataFrame, y: str, xs: Sequence[str], fe: Sequence[str], cluster: str | None, carry: Sequence[str] = (), iterations: int = 1
+    df: DataFrame,
+    y: str,
+    xs: Sequence[str],
+    fe: Sequence[str],
+    cluster: str | None,
+    carry: Sequence[str] = (),
+    iterations: int = 1,
+    tolerance: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Complete cases of a specification, and the same rows demeaned."""
+    """Complete cases of a specification, and the same rows demeaned; to the end
+    if there is a ``tolerance``."""
     needed = list(dict.fromkeys([y, *xs, *fe, *([cluster] if cluster else []), *carry]))
     valid = complete_cases(df, [y, *xs, *fe, *([cluster] if cluster else [])]).select(*needed)
     # Effects and clusters may be regressors' own columns only by name; the
     # demeaned values replace the outcome and the regressors.
     doubles = valid.withColumns({v: F.col(v).cast("double") for v in dict.fromkeys([y, *xs])})
+    if tolerance is not None and len(fe) > 1:
+        return valid, demean_converged(doubles, [y, *xs], fe, tolerance)
     return valid, demean_by_fe(doubles, [y, *xs], fe, iterations) if fe else doubles
 
 
@@ -445,20 +507,43 @@ def run_fe_estimation(
     sample: Column | None = None,
     method: str = "t",
     iterations: int = 1,
+    tolerance: float | None = None,
+    se: str | None = None,
+    clusters: tuple[str, str] | None = None,
+    replicates: int = 200,
+    seed: int = 42,
 ) -> DataFrame:
     """One result row for a named or given specification.
 
-    ``sample`` is a filter condition on the panel.
+    ``sample`` is a filter condition on the panel.  ``tolerance`` takes the
+    effects out to convergence instead of in ``iterations`` sweeps.  ``se`` is
+    the error type after demeaning: None for the specification's own (clustered
+    or plain), ``robust``, ``two_way`` (by ``clusters``, else the specification's
+    cluster and time) or ``bootstrap`` (signs drawn by cluster for its score,
+    ``replicates`` times; p-values as of the clustered fit).
     """
+    if se not in (None, "robust", "two_way", "bootstrap"):
+        raise ValueError(f"Unknown error type: {se}")
     name, chosen = _resolve(specification)
     y, x = chosen.outcome or spec.outcome, chosen.treatment or spec.treatment
     xs = [x, *chosen.controls]
     rows = df if sample is None else df.filter(sample)
+    cluster = chosen.cluster or spec.unit
+    pair = clusters or (cluster, spec.time)
     carry = [c for c in (spec.unit, spec.time) if c in df.columns]
-    valid, estimation = within_sample(rows, y, xs, chosen.fe, chosen.cluster, carry, iterations)
-    result = run_ols(estimation, y, xs, cluster=chosen.cluster, method=method, complete=True, centred=bool(chosen.fe))
+    by = {"two_way": pair, "bootstrap": (cluster,)}.get(se, ())
+    rows = rows.dropna(subset=list(by)) if by else rows
+    valid, estimation = within_sample(rows, y, xs, chosen.fe, chosen.cluster, [*carry, *by], iterations, tolerance)
+    if se == "two_way":
+        result = _two_way_fit(estimation, y, xs, pair, method)
+    elif se == "bootstrap":
+        result = _score_bootstrap(estimation, y, xs, cluster, replicates, seed, method)
+    else:
+        own = None if se else chosen.cluster
+        result = run_ols(estimation, y, xs, cluster=own, robust=se == "robust", method=method, complete=True, centred=bool(chosen.fe))
+    label_of = {"robust": "robust", "two_way": ",".join(pair), "bootstrap": f"bootstrap {cluster}"}
     for column, label in ((spec.unit, "n_units"), (spec.time, "n_periods")):
-        if column == chosen.cluster:
+        if column == chosen.cluster and se is None:
             result = result.withColumn(label, F.col("n_clusters"))
         elif column in carry:
             result = result.join(F.broadcast(valid.agg(F.count_distinct(column).alias(label))))
@@ -478,7 +563,7 @@ def run_fe_estimation(
         "r_squared",
         F.lit(",".join(chosen.controls)).alias("controls"),
         F.lit(",".join(chosen.fe)).alias("fe"),
-        F.lit(chosen.cluster or "none").alias("cluster"),
+        F.lit(label_of.get(se, chosen.cluster or "none")).alias("cluster"),
         (F.col("p_value") < 0.05).alias("significant_05"),
         (F.col("p_value") < 0.01).alias("significant_01"),
     )
@@ -646,6 +731,38 @@ def bootstrap_se(
     )
 
 
+def _score_bootstrap(
+    cases: DataFrame, y: str, xs: Sequence[str], cluster: str, replicates: int, seed: int, method: str
+) -> DataFrame:
+    """Bootstrap error of the first coefficient from the clusters' scores.
+
+    A replicate gives each cluster a sign from a hash and adds up what the
+    clusters contribute to the coefficient; nothing is fitted again.
+    """
+    variables = [y, *xs]
+    p, k = len(variables), len(xs)
+    table = group_moments(cases, variables, [cluster])
+    solution = solve(combine(table, p), p)
+    scores = cluster_scores(table, solution, p).join(F.broadcast(solution.select(F.col("inv").alias("_inv"))))
+    share = sum((F.element_at("_inv", j) * F.col(f"score_{j}") for j in range(1, k + 1)), F.lit(0.0))
+    drawn = scores.select(F.col(cluster).alias("_c"), share.alias("_share"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"))
+    sign = F.when(hash_uniform(F.col("_c"), F.col("_r"), F.lit(seed)) < 0.5, -1.0).otherwise(1.0)
+    sums = drawn.groupBy("_r").agg(F.sum(sign * F.col("_share")).alias("_d"))
+    error = sums.agg(F.stddev_samp("_d").alias("_e"))
+    clusters = table.agg(F.count(F.lit(1)).alias("n_clusters"))
+    fit = solution.drop("n_clusters").join(F.broadcast(error)).join(F.broadcast(clusters))
+    n = F.col("n").cast("long")
+    columns = inference_columns(F.element_at("b", 1), F.col("_e"), n - (k + 1), method)
+    return fit.select(
+        F.lit(xs[0]).alias("term"),
+        *[c.alias(name) for name, c in columns.items()],
+        n.alias("n_obs"),
+        "n_clusters",
+        F.when(F.col("b").isNotNull(), 1 - F.try_divide("rss", "s_0_0")).alias("r_squared"),
+        F.col("b").isNotNull().alias("identified"),
+    )
+
+
 def leave_one_cluster_out(df: DataFrame, y: str, x: str, cluster: str) -> DataFrame:
     """The slope without each cluster, from totals minus that cluster's moments."""
     cases = complete_cases(df, [y, x, cluster])

@@ -135,6 +135,47 @@ def test_more_rounds_reach_the_two_way_estimator(noisy_panel, pdf):
     assert row["coefficient"] == pytest.approx(beta[1], abs=1e-5)
 
 
+def dummy_matrix(pdf, xs):
+    """Regressors, a constant aside, and dummies of units and periods."""
+    blocks = [pdf[xs]] + [(pdf[k].to_numpy()[:, None] == np.sort(pdf[k].unique())[1:]) for k in KEYS]
+    return np.column_stack(blocks).astype(float)
+
+
+def test_converged_effects_equal_dummies(noisy_panel, pdf):
+    """On a panel with holes, also where a period is seen by few units."""
+    rare = noisy_panel.filter("period <> 9 or id < 3").withColumn("outcome", F.col("outcome") + 1e4)
+    kept = pdf[(pdf["period"] != 9) | (pdf["id"] < 3)]
+    xs = ["treatment", "covariate_1"]
+    spec = Specification(fe=KEYS, cluster="id", controls=("covariate_1",))
+    row = regression.run_fe_estimation(rare, spec, tolerance=1e-11).first()
+    beta, _, _ = fit(dummy_matrix(kept, xs), kept["outcome"].to_numpy())
+    assert row["coefficient"] == pytest.approx(beta[1], rel=1e-7)
+
+
+@pytest.mark.parametrize("xs", [["treatment"], ["treatment", "covariate_1", "covariate_2"]])
+def test_error_types_after_demeaning(noisy_panel, pdf, xs):
+    spec = Specification(fe=KEYS, cluster="id", controls=tuple(xs[1:]))
+    inner = demeaned(pdf, ["outcome", *xs], KEYS)
+    x, y = inner[xs].to_numpy(), inner["outcome"].to_numpy()
+
+    def error(groups):
+        return fit(x, y, groups)[1][1]
+
+    robust = regression.run_fe_estimation(noisy_panel, spec, se="robust").first()
+    n, k = len(pdf), len(xs) + 1
+    rows = error(np.arange(n)) / np.sqrt(n / (n - 1) * (n - 1) / (n - k)) * np.sqrt(n / (n - k))
+    assert robust["std_error"] == pytest.approx(rows, rel=1e-7) and robust["cluster"] == "robust"
+    two = regression.run_fe_estimation(noisy_panel, spec, se="two_way").first()
+    both = error((pdf["id"] * 100 + pdf["period"]).to_numpy()) ** 2
+    assert two["std_error"] == pytest.approx(np.sqrt(max(error(pdf["id"].to_numpy()) ** 2 + error(pdf["period"].to_numpy()) ** 2 - both, 0)), rel=1e-6)
+    drawn = regression.run_fe_estimation(noisy_panel, spec, se="bootstrap", replicates=400).first()
+    assert drawn["std_error"] == pytest.approx(error(pdf["id"].to_numpy()), rel=0.15)
+    assert (drawn["n_units"], drawn["n_periods"], drawn["n_obs"]) == (40, 15, n)
+    assert robust["coefficient"] == pytest.approx(two["coefficient"]) == pytest.approx(drawn["coefficient"])
+    with pytest.raises(ValueError):
+        regression.run_fe_estimation(noisy_panel, spec, se="other")
+
+
 def test_collinear_design_is_reported(noisy_panel):
     twice = noisy_panel.withColumn("again", F.col("covariate_1") * 2)
     for xs in (["covariate_1", "again"], ["covariate_1", "covariate_2", "again"]):
