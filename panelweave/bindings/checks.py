@@ -191,7 +191,7 @@ def _rule_sql(source: str, entries: list[tuple[str, str, str]]) -> str:
     ),
 )
 def validate_rules(spark, sf):
-    """Ten rules over orders: one aggregate plus three grouped counts."""
+    """Ten rules over orders, keys included, in one aggregate."""
     validator = rules.DataValidator().add_rules(
         [
             rules.row_count(min_rows=1),

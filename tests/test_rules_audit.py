@@ -164,3 +164,23 @@ def test_tables(demo):
     assert [(s["observations"], round(s["percent_retained"], 1)) for s in steps] == [(12, 100.0), (9, 75.0), (2, 16.7)]
     summary = {r["treatment"]: r for r in tables.group_summary(demo, "treatment", "outcome").collect()}
     assert summary[1]["mean"] == 13.6 and summary[0]["count"] == 10
+
+
+def test_any_number_of_rules_reads_once(spark):
+    """Key sets that overlap, repeat and hold NULLs, in one scan, with row rules."""
+    rows = [(1, "a", 1.0), (2, "a", None), (2, "a", None), (None, "b", 3.0), (None, None, 3.0), (4, None, -1.0)]
+    df = spark.createDataFrame(rows, "k int, g string, v double")
+    df.write.mode("overwrite").saveAsTable("read_once")
+    held = spark.table("read_once")
+    made = [
+        rules.unique_values("k"), rules.no_duplicate_rows(), rules.no_duplicate_rows(["g", "k"]), rules.unique_values("g"),
+        rules.no_duplicate_rows(["v"]), rules.no_missing_values(["k", "v"]), rules.value_range("v", 0), rules.unique_values("absent"), rules.unique_values("k"),
+    ]
+    validator = rules.DataValidator().add_rules(made)
+    plan = validator.results(held)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    got = [(r["rule_name"], r["n_violations"]) for r in plan.orderBy("rule_no").collect()]
+    assert [n for _, n in got] == [3, 1, 1, 4, 2, 4, 1, 1, 3]
+    empty = validator.results(held.limit(0)).orderBy("rule_no").collect()
+    assert [r["n_violations"] for r in empty] == [0, 0, 0, 0, 0, 0, 0, 1, 0]
+    spark.sql("drop table read_once")
