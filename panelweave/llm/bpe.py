@@ -41,7 +41,7 @@ from .words import bytes_hashes
 
 LEAF = 256
 #: Bytes of pieces that a worker process remembers in one of two generations,
-#: a quarter of it for pre-tokens, and what an entry takes besides its ids.
+#: a quarter of it for pre-tokens, and what a pre-token takes besides its ids.
 CACHE_BYTES, ENTRY_BYTES = 24 << 20, 260
 #: Ids that are handed on at once.
 OUT_IDS = 1 << 20
@@ -52,6 +52,8 @@ PART_CHARS = 1 << 19
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 #: Characters that some definition of white space has beyond these, and the
 #: bytes that they can start with.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
@@ -97,14 +99,17 @@ class BytePairEncoder:
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)])
-        # The rank of the merge of two tokens, by both ranks in one number.
-        self.merges: dict[int, int] = {}
+        # The rank of the merge of two tokens: by the left one, then by the right.
+        none: dict[int, int] = {}
+        self.merges = [none] * (max(ranks.values()) + 1)
         self.first = np.full((256, 256), -1)
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    self.merges[left << 32 | right] = rank
+                    if self.merges[left] is none:
+                        self.merges[left] = {}
+                    self.merges[left][right] = rank
             if len(token) == 2:
                 self.first[token[0], token[1]] = rank
 
@@ -117,25 +122,32 @@ class BytePairEncoder:
         return self.pattern.findall(piece)
 
     def encode_pretokens(self, pretokens: list[str]) -> list[np.ndarray]:
-        """Ranks of each pre-token.  A pre-token that is a token is that token;
-        merges go by the lowest rank and, where equal, from the left."""
+        """Ranks of each pre-token."""
         raws = [pretoken.encode() for pretoken in pretokens]
-        out = [self.ranks.get(raw) for raw in raws]
-        rest = [i for i, whole in enumerate(out) if whole is None]
-        out = [None if whole is None else np.array([whole]) for whole in out]
-        if rest:
-            lengths = [len(raws[i]) for i in rest]
-            tokens = np.array(self._merge(b"".join(raws[i] for i in rest), lengths))
-            alive = tokens >= 0
-            starts = np.cumsum(lengths)[:-1]
-            ends = np.cumsum(alive)[starts - 1] if len(starts) else []
-            for i, own in zip(rest, np.split(tokens[alive], ends)):
-                out[i] = own
-        return out
-
-    def _merge(self, raw: bytes, lengths: list[int]) -> list[int]:
+        ids, counts = self.encode_joined(b"".join(raws), np.array([len(raw) for raw in raws], dtype=np.int64))
+        return np.split(ids, np.cumsum(counts)[:-1])
+
+    def encode_joined(self, raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pre-tokens that stand one after another, and how many each
+        has.  A pre-token that is a token is that token; merges go by the lowest
+        rank and, where equal, from the left."""
+        bounds, get = np.cumsum(lengths).tolist(), self.ranks.get
+        whole = np.array([get(raw[a:b], -1) for a, b in zip([0, *bounds], bounds)], dtype=np.int64)
+        rest = whole < 0
+        if not rest.any():
+            return whole, np.ones(len(whole), dtype=np.int64)
+        own = lengths[rest]
+        tokens = np.array(self._merge(np.frombuffer(raw, dtype=np.uint8)[np.repeat(rest, lengths)], own))
+        alive = tokens >= 0
+        counts = np.ones(len(whole), dtype=np.int64)
+        counts[rest] = np.diff(np.cumsum(alive)[np.cumsum(own) - 1], prepend=0)
+        merged = np.repeat(rest, counts)
+        ids = np.empty(len(merged), dtype=np.int64)
+        ids[merged], ids[~merged] = tokens[alive], whole[~rest]
+        return ids, counts
+
+    def _merge(self, data: np.ndarray, lengths: np.ndarray) -> list[int]:
         """Token at each byte where one starts after all merges, else -1."""
-        data = np.frombuffer(raw, dtype=np.uint8)
         tokens = self.single[data].tolist()
         size = len(data)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -147,7 +159,7 @@ class BytePairEncoder:
             after[end - 1] = -1
             if end < size:
                 before[end] = -1
-        queue, current, merge = self.queue, pair.tolist(), self.merges.get
+        queue, current, merges = self.queue, pair.tolist(), self.merges
         buckets = queue.buckets
         order = np.argsort(pair, kind="stable")
         order = order[np.searchsorted(pair[order], 0) :]
@@ -168,7 +180,7 @@ class BytePairEncoder:
                 new = -1
                 if beyond >= 0:
                     before[beyond] = at
-                    new = merge(rank << 32 | tokens[beyond], -1)
+                    new = merges[rank].get(tokens[beyond], -1)
                     if new >= 0:
                         if new in buckets:
                             buckets[new].append(at)
@@ -178,7 +190,7 @@ class BytePairEncoder:
                 current[at] = new
                 previous = before[at]
                 if previous >= 0:
-                    new = merge(tokens[previous] << 32 | rank, -1)
+                    new = merges[tokens[previous]].get(rank, -1)
                     current[previous] = new
                     if new >= 0:
                         if new in buckets:
@@ -211,13 +223,51 @@ def safe_parts(text: str, size: int = PART_CHARS) -> list[str]:
     return [*parts, text[at:]]
 
 
+class Pieces:
+    """Ids of pieces by 128 bits of hash: arrays in the order of the first half."""
+
+    def __init__(self, dtype: str):
+        self.keys = self.checks = np.empty(0, dtype=np.uint64)
+        self.starts = self.counts = np.empty(0, dtype=np.int64)
+        self.ids = np.empty(0, dtype=dtype)
+
+    @property
+    def size(self) -> int:
+        """Bytes held."""
+        return 32 * len(self.keys) + self.ids.nbytes
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The place of each piece, -1 where it is not held."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Remember further pieces, whose keys ascend."""
+        at = np.searchsorted(self.keys, keys)
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.starts, self.counts = np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after another."""
+    until = np.cumsum(counts)
+    return values[np.repeat(starts - until + counts, counts) + np.arange(until[-1] if len(until) else 0)]
+
+
 class PieceCache:
     """Encodes texts piece by piece and remembers pieces up to a bound.
 
     A piece starts at a single space between two other characters, where no
-    pre-token can cross.  Pieces of many texts are cut and told apart by array
-    operations, by 128 bits of hash; only new ones are looked at as strings.
-    ``cut`` maps a piece to its pre-tokens and ``encode`` pre-tokens to ids.
+    pre-token can cross.  Pieces of many texts are cut, told apart by 128 bits
+    of hash and looked up by array operations; new ones of a space and letters
+    are pre-tokens as they stand, and only the others are looked at as strings.
+    ``cut`` maps a piece to its pre-tokens.  ``encode`` maps pre-tokens, joined as
+    bytes, and their lengths to all their ids and the number of ids of each.
     Pre-tokens are remembered only where a piece has several of them.  A cache
     has a bound in bytes: a full one becomes the old generation, from which what
     is still in use is taken over.
@@ -226,14 +276,13 @@ class PieceCache:
     def __init__(
         self,
         cut: Callable[[str], list[str]],
-        encode: Callable[[list[str]], list],
+        encode: Callable[[bytes, np.ndarray], tuple[np.ndarray, np.ndarray]],
         dtype: str = "<u4",
         limit: int = CACHE_BYTES,
     ):
         self.cut, self.encode, self.dtype, self.limit = cut, encode, dtype, limit
-        self.piece_bytes = self.pretoken_bytes = 0
-        self.pieces: dict[int, tuple[int, bytes]] = {}
-        self.old_pieces: dict[int, tuple[int, bytes]] = {}
+        self.pieces, self.old_pieces = Pieces(dtype), Pieces(dtype)
+        self.pretoken_bytes = 0
         self.pretokens: dict[str, bytes] = {}
         self.old_pretokens: dict[str, bytes] = {}
 
@@ -258,21 +307,12 @@ class PieceCache:
         keys, check = bytes_hashes(data, starts, ends)
         distinct, place, number = np.unique(keys, return_index=True, return_inverse=True)
         if (check[place][number] != check).any():  # two pieces share a hash
-            return [self._joined(self._ids_of([part])[0]) for part in parts]
-        found = [self.pieces.get(key) for key in distinct.tolist()]
-        checks = check[place].tolist()
-        absent = [i for i, held in enumerate(found) if held is None or held[0] != checks[i]]
-        if absent:
-            self._learn(found, absent, distinct, checks, buffer, starts[place], ends[place])
-        lengths = np.array([len(ids) for _, ids in found], dtype=np.int64) // np.dtype(self.dtype).itemsize
-        table = np.frombuffer(b"".join([ids for _, ids in found]), dtype=self.dtype)
-        begin = np.cumsum(lengths) - lengths
+            return [self._ids_of([part])[0] for part in parts]
+        ids, begin, lengths = self._looked_up(distinct, check[place], data, buffer, starts[place], ends[place])
         own = lengths[number]
-        until = np.cumsum(own)
-        ids = table[np.repeat(begin[number] - until + own, own) + np.arange(until[-1] if len(until) else 0)]
-        totals = np.concatenate([[0], until])
+        totals = np.concatenate([[0], np.cumsum(own)])
         cuts = totals[np.searchsorted(starts, firsts[1:])]
-        return np.split(ids, cuts)
+        return np.split(gathered(ids, begin[number], own), cuts)
 
     @staticmethod
     def _pieces_of(data: np.ndarray, firsts: np.ndarray, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -295,53 +335,91 @@ class PieceCache:
         full = ends > starts
         return starts[full], ends[full]
 
-    def _learn(self, found, absent, distinct, checks, buffer, starts, ends) -> None:
-        """Fill in the pieces that the present generation lacks."""
-        if self.piece_bytes > self.limit:
-            self.pieces, self.old_pieces, self.piece_bytes = {}, self.pieces, 0
+    def _looked_up(self, keys, checks, data, buffer, starts, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each piece start and how many they
+        are; pieces that the present generation lacks are added to it."""
+        if self.pieces.size > self.limit:
+            self.pieces, self.old_pieces = Pieces(self.dtype), self.pieces
+        held, old = self.pieces, self.old_pieces
+        at = held.find(keys, checks)
+        begin, lengths = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        found = at >= 0
+        begin[found], lengths[found] = held.starts[at[found]], held.counts[at[found]]
+        if found.all():
+            return held.ids, begin, lengths
+        missing = np.flatnonzero(~found)
+        again = old.find(keys[missing], checks[missing])
+        known, fresh = missing[again >= 0], missing[again < 0]
+        again = again[again >= 0]
+        kept = gathered(old.ids, old.starts[again], old.counts[again])
+        lengths[known] = old.counts[again]
+        made, lengths[fresh] = self._ids_at(data, buffer, starts[fresh], ends[fresh])
+        order = np.concatenate([known, fresh])
+        ids = np.concatenate([held.ids, kept, made])
+        begin[order] = len(held.ids) + np.cumsum(lengths[order]) - lengths[order]
+        short = missing[ends[missing] - starts[missing] <= LONG_PIECE]
+        held.add(keys[short], checks[short], lengths[short], gathered(ids, begin[short], lengths[short]))
+        return ids, begin, lengths
+
+    def _ids_at(self, data, buffer, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces at these places, and how many each has."""
+        # A space and letters are one pre-token, as are letters.
+        others = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+        plain = (ends - starts > 1) & (others[ends] == others[starts + 1])
+        plain &= (data[starts] == 0x20) | _LETTER[data[starts]]
+        rest = np.flatnonzero(~plain)
+        bounds = list(zip(starts[rest].tolist(), ends[rest].tolist()))
+        spelled, mixed, strings = [], [], []
+        for i, (a, b) in zip(rest.tolist(), bounds):
+            piece = buffer[a:b].decode()
+            if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                spelled.append(i)
+            else:
+                mixed.append(i)
+                strings.append(piece)
+        plain[spelled] = True
+        counts = np.zeros(len(starts), dtype=np.int64)
+        own = ends[plain] - starts[plain]
+        ids, counts[plain] = self.encode(gathered(data, starts[plain], own).tobytes(), own) if len(own) else (self._none, 0)
+        listed = self._ids_of(strings)
+        counts[mixed] = [len(x) for x in listed]
+        of_plain = np.repeat(plain, counts)
+        out = np.empty(len(of_plain), dtype=self.dtype)
+        out[of_plain] = ids
+        out[~of_plain] = np.concatenate(listed) if listed else self._none
+        return out, counts
+
+    @property
+    def _none(self) -> np.ndarray:
+        return np.empty(0, dtype=self.dtype)
+
+    def _ids_of(self, pieces: list[str]) -> list[np.ndarray]:
         if self.pretoken_bytes > self.limit // 4:
             self.pretokens, self.old_pretokens, self.pretoken_bytes = {}, self.pretokens, 0
-        keys, missing = distinct.tolist(), []
-        for i in absent:
-            old = self.old_pieces.get(keys[i])
-            if old is not None and old[0] == checks[i]:
-                found[i] = self.pieces[keys[i]] = old
-                self.piece_bytes += ENTRY_BYTES + len(old[1])
-            else:
-                missing.append(i)
-        bounds = list(zip(starts.tolist(), ends.tolist()))
-        strings = [buffer[bounds[i][0] : bounds[i][1]].decode() for i in missing]
-        for i, string, ids in zip(missing, strings, self._ids_of(strings)):
-            found[i] = (checks[i], ids)
-            if len(string) <= LONG_PIECE:
-                self.pieces[keys[i]] = found[i]
-                self.piece_bytes += ENTRY_BYTES + len(ids)
-
-    def _joined(self, ids: bytes) -> np.ndarray:
-        return np.frombuffer(ids, dtype=self.dtype)
-
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        # A space and letters are one pre-token, as are letters.
-        cuts = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.cut(p) for p in pieces]
+        cuts = [self.cut(piece) for piece in pieces]
         tokens, old_tokens = self.pretokens, self.old_pretokens
-        several = set(chain.from_iterable(cut for cut in cuts if len(cut) > 1)).difference(tokens)
-        for token in several.intersection(old_tokens):
+        wanted = set(chain.from_iterable(cuts)).difference(tokens)
+        for token in wanted.intersection(old_tokens):
             tokens[token] = old_tokens[token]
             self.pretoken_bytes += ENTRY_BYTES + len(tokens[token])
-        fresh = list(several.difference(old_tokens))
-        single = list({cut[0] for cut in cuts if len(cut) == 1}.difference(tokens, fresh))
-        made = {}
-        for token, ids in zip(fresh + single, self.encode(fresh + single)):
-            made[token] = np.asarray(ids, dtype=self.dtype).tobytes()
-        for token in fresh:
-            if len(token) <= LONG_PIECE:
-                tokens[token] = made[token]
-                self.pretoken_bytes += ENTRY_BYTES + len(made[token])
+        fresh = list(wanted.difference(old_tokens))
+        long = {}
+        if fresh:
+            raws = [token.encode() for token in fresh]
+            ids, counts = self.encode(b"".join(raws), np.array([len(raw) for raw in raws], dtype=np.int64))
+            made = np.asarray(ids, dtype=self.dtype).tobytes()
+            stops = (np.cumsum(counts) * np.dtype(self.dtype).itemsize).tolist()
+            for token, a, b in zip(fresh, [0, *stops], stops):
+                if len(token) <= LONG_PIECE:
+                    tokens[token] = made[a:b]
+                    self.pretoken_bytes += ENTRY_BYTES + b - a
+                else:
+                    long[token] = made[a:b]
 
         def ids_of(token: str) -> bytes:
-            return made[token] if token in made else tokens[token]
+            return tokens[token] if token in tokens else long[token]
 
-        return [ids_of(cut[0]) if len(cut) == 1 else b"".join(map(ids_of, cut)) for cut in cuts]
+        return [np.frombuffer(b"".join(map(ids_of, cut)), dtype=self.dtype) for cut in cuts]
 
 
 class Spelling:
@@ -366,7 +444,7 @@ def _encoder(path: str, pattern: str) -> tuple[PieceCache, Spelling, Spelling]:
     """The cache, the ids as decimals behind commas, and the tokens' bytes."""
     encoder = BytePairEncoder.from_file(path, pattern)
     size = max(encoder.names) + 1
-    cache = PieceCache(encoder.pretokens, encoder.encode_pretokens, "<u2" if size <= 1 << 16 else "<u4")
+    cache = PieceCache(encoder.pretokens, encoder.encode_joined, "<u2" if size <= 1 << 16 else "<u4")
     decimals = Spelling([b",%d" % i for i in range(size)])
     return cache, decimals, Spelling([encoder.names.get(i, b"") for i in range(size)])
 

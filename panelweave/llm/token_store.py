@@ -43,6 +43,9 @@ BLOCK = 512
 PACKED_SHARE = 0.9
 #: Ids of a segment, unless one document has more.
 SEGMENT_IDS = 2_000_000
+#: Stands behind each pre-token that is handed to the tokenizers library; a
+#: character that Unicode keeps out of texts.  Texts that have it go another way.
+MARK = "\ufdd0"
 MAGIC = b"PFOR1\0\0\0"
 _HEAD = struct.Struct("<IBBH")  # least id, width, width of high parts, exceptions
 
@@ -192,16 +195,48 @@ class Segment:
 @lru_cache(maxsize=4)
 def _pieces(path: str, pattern: str) -> PieceCache:
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-
-    def encode(pretokens: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
+    # Pre-tokens come ready: they stand between marks, which go.
+    tokenizer.pre_tokenizer = Sequence([Split(MARK, "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+    sizes = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
+    for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
+        sizes[number] = len(token)  # a character for each byte
+    mark = np.frombuffer(MARK.encode(), dtype=np.uint8)
+
+    def encode(raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(lengths)
+        if MARK.encode() in raw:
+            parts = [raw[a:b].decode() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            # The mark itself is spelled by a tokenizer that has none.
+            lists = [e.ids for e in _unmarked(path).encode_batch_fast(parts, add_special_tokens=False)]
+            return np.array([i for ids in lists for i in ids], dtype=np.uint32), np.array(list(map(len, lists)))
+        data = np.full(len(raw) + len(mark) * len(lengths), mark[0], dtype=np.uint8)
+        own = np.arange(len(raw)) + np.repeat(np.arange(len(lengths)) * len(mark), lengths)
+        data[own] = np.frombuffer(raw, dtype=np.uint8)
+        for i, byte in enumerate(mark):
+            data[ends + np.arange(len(lengths)) * len(mark) + i] = byte
+        (encoding,) = tokenizer.encode_batch_fast([data.tobytes().decode()], add_special_tokens=False)
+        ids = np.array(encoding.ids, dtype=np.uint32)
+        until = np.searchsorted(np.cumsum(sizes[ids]), ends, side="right")
+        return ids, np.diff(until, prepend=0)
 
     return PieceCache(regex.compile(pattern).findall, encode, "<u4")
 
 
+@lru_cache(maxsize=4)
+def _unmarked(path: str):
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return tokenizer
+
+
 def write_segments(
     df: DataFrame,
     path: str,

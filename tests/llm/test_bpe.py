@@ -42,7 +42,7 @@ def test_documents(spark, reference):
 
 
 def test_random_texts(encoder, reference):
-    cache = bpe.PieceCache(encoder.pretokens, encoder.encode_pretokens, limit=40 * bpe.ENTRY_BYTES)
+    cache = bpe.PieceCache(encoder.pretokens, encoder.encode_joined, limit=10_000)
     rng = random.Random(4)
     letters = list(" \n\t\r   aabbccddeetthh's'lléèß漢字🎉1234.,!?\x85\xa0\x1c -")
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
@@ -56,7 +56,7 @@ def test_long_pretokens_and_parts(encoder, reference, monkeypatch):
         assert encoder.encode_pretokens([text])[0].tolist() == reference.encode_ordinary(text)
     monkeypatch.setattr(bpe, "PART_CHARS", 100)
     text = " ".join(messy_rows()[9][1].split()[:300]) + "   \n end"
-    cache = bpe.PieceCache(encoder.pretokens, encoder.encode_pretokens)
+    cache = bpe.PieceCache(encoder.pretokens, encoder.encode_joined)
     parts = bpe.safe_parts(text, 100)
     assert len(parts) > 3 and "".join(parts) == text
     assert next(iter(cache.encode_texts([text]))).tolist() == reference.encode_ordinary(text)

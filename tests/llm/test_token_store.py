@@ -44,7 +44,7 @@ def test_empty_table(spark, tmp_path):
 def test_random_texts(tokenizer):
     cache = token_store._pieces(PATH, public_tokenizers.PATTERN)
     rng = random.Random(6)
-    letters = list(" \n\t\r   aabbccddeetthh's'llABéèß漢字🎉1234.,!?\x85\xa0\x1c-_²ª")
+    letters = list(" \n\t\r   aabbccddeetthh's'llABéèß漢字🎉1234.,!?\x85\xa0\x1c-_²ª\ufdd0")
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     for text, ids in zip(texts, cache.encode_texts(texts)):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
