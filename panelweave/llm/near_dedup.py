@@ -209,12 +209,13 @@ def compare_buckets(members: DataFrame, options: Options, all_pairs: bool) -> Da
     ``all_pairs``, which also takes the full sets as ``shingles``, every pair
     whose estimate is high enough is confirmed where it is found, and only
     links come out; a member linked to a component is not compared with the
-    rest of it.
+    rest of it.  A pair that shares several bands (``keys``, of each member) is
+    confirmed in the bucket of the first of them only.
     """
     blocks = F.ceil(F.col("count") / options.block).cast("int")
     own = F.pmod(F.xxhash64("number", "key"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(own, i).alias("low"), F.greatest(own, i).alias("high")))
-    carried = ["number", "root", "signature", *(["shingles"] if all_pairs else [])]
+    carried = ["number", "root", "signature", *(["shingles", "keys"] if all_pairs else [])]
     placed = members.select("key", *carried, own.alias("own"), F.explode(others).alias("pair")).select(
         "key", "pair.low", "pair.high", *carried
     )
@@ -222,12 +223,13 @@ def compare_buckets(members: DataFrame, options: Options, all_pairs: bool) -> Da
     ranged = placed.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high", "number")
     most, bits = options.most_differing, options.bits
 
-    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
+    def compare(group: list[tuple], key: int) -> Iterator[tuple[int, int]]:
         if len(group) < 2 or all(g[1] == group[0][1] for g in group):
             return
         signed = np.frombuffer(b"".join(g[2] for g in group), dtype="<u8").reshape(len(group), -1)
         number = {root: i for i, root in enumerate({g[1] for g in group})}
         roots = np.array([number[g[1]] for g in group])
+        bands = np.array([g[4] for g in group]) if all_pairs else None
         for i in range(len(group)):
             first = i + 1 if all_pairs else 0
             apart = np.flatnonzero(roots[first:] != roots[i]) + first
@@ -235,8 +237,12 @@ def compare_buckets(members: DataFrame, options: Options, all_pairs: bool) -> Da
                 continue
             found = differing(signed[apart], signed[i], bits)
             if all_pairs:
+                near = apart[found <= most]
+                if not len(near):
+                    continue
+                first_shared = (bands[near] == bands[i]).argmax(axis=1)
                 reached = set()
-                for j in apart[found <= most].tolist():
+                for j in near[bands[i][first_shared] == key].tolist():
                     if roots[j] not in reached and similar(group[i][3], group[j][3]):
                         reached.add(roots[j])
                         yield ordered(group[i][0], group[j][0])
@@ -262,16 +268,16 @@ def compare_buckets(members: DataFrame, options: Options, all_pairs: bool) -> Da
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "number", "root", "signature")]
             if all_pairs:
-                columns.append([s.values.to_numpy() for s in batch.column("shingles")])
+                columns += [[s.values.to_numpy() for s in batch.column(c)] for c in ("shingles", "keys")]
             for key, low, high, *member in zip(*columns):
                 if (key, low, high) != current:
-                    out.update(compare(group))
+                    out.update(compare(group, current[0] if current else 0))
                     current, group = (key, low, high), []
                 group.append(tuple(member))
             if len(out) > 50_000:
                 yield _pair_batch(out)
                 out = set()
-        out.update(compare(group))
+        out.update(compare(group, current[0] if current else 0))
         yield _pair_batch(out)
 
     return ranged.mapInArrow(work, PAIRS)
@@ -364,7 +370,8 @@ def link_nodes(docs: DataFrame, features: DataFrame, options: Options) -> DataFr
             break
         open_members = rooted.join(mixed, "key").join(signed.select("number", "signature"), "number")
         if all_pairs:
-            more = settle(compare_buckets(open_members.join(sets, "number"), options, True).distinct())
+            told = open_members.join(sets, "number").join(held.select("number", "keys"), "number")
+            more = settle(compare_buckets(told, options, True).distinct())
         else:
             more = settle(confirmed(settle(compare_buckets(open_members, options, False).distinct()), sets, options))
         if not more.isEmpty():

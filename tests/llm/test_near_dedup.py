@@ -122,3 +122,19 @@ def test_one_of_each_by_id_and_text(spark):
     (left,) = [t for d, t in found if d is None and t]
     assert left in (nameless, nameless + " end")
     assert found == sorted([(1, near), (2, sentence(63, 80)), (2, ""), (None, None), (None, ""), (None, left), (3, nameless[:40])], key=repr)
+
+
+def test_components_by_rounds_and_in_one_task_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+
+    def groups():
+        held = {}
+        for node, root in components(frame).collect():
+            held.setdefault(root, set()).add(node)
+        return sorted(map(sorted, held.values()))
+
+    at_once = groups()
+    monkeypatch.setattr("panelweave.llm.components.FEW_EDGES", 20)
+    assert groups() == at_once and len(at_once) > 3
