@@ -21,11 +21,11 @@ whatever their names.  An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .shared import taken
 
 UNKNOWN = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_NO_LETTERS = regex.compile(r"\P{L}+")
 
 
 def normalise(text: str) -> bytes:

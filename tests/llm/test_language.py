@@ -77,3 +77,10 @@ def test_copies_teach_once(spark):
     for hot in (texts[0], texts[1], min(texts, key=lambda t: t in wanted["aa"].decode())):
         copies = once.unionByName(spark.createDataFrame([(hot, "aa")] * 600, once.schema))
         assert language.learn(copies, options=options) == wanted
+
+
+@pytest.mark.parametrize("text", ["½ ²", "Ⅷ", "12 !? _", "٣"])
+def test_numbers_are_no_letters(text):
+    held = language.Classifier({"en": b"the and of " * 20, "fr": b"le et de " * 20}, language.Options())
+    assert not language.normalise(text).strip()
+    assert held.predict(text) == (language.UNKNOWN, 0.0, True)
