@@ -9,9 +9,11 @@ reached or none is left.  Three choices keep this small:
   equal passages of the asked length have an anchor at the same place, about
   one word in fourteen is one, and which words are anchors follows from the
   passage alone.
-* An anchor's window grows to both sides.  At twice the base length at least
-  one of the two windows lies within any asked window that holds the anchor.
-* Texts are read for the last level only where a window survived.
+* A window grows to both sides.  While its length is at most a third of the
+  asked one, at least one of the two windows of twice that length lies within
+  any asked window that holds it; so doubling goes on that far, from 8 to 16
+  for a window of 35, to 128 for one of 200, and the asked length is last.
+* Behind the first doubling, texts are read only where a window survived.
 
 Windows travel as packed records in buckets of their hash.  A hash that occurs
 twice in one piece of a task's input is settled there and sends a single record
@@ -203,11 +205,22 @@ def _doubled_records(anchors: np.ndarray, base: int) -> np.ndarray:
     return np.concatenate(sides)
 
 
-def _asked_records(key: bytes, words: np.ndarray, starts: np.ndarray, base: int, window: int) -> np.ndarray:
-    """The asked windows that hold any of the doubled windows at ``starts``."""
+def _extended_records(key: bytes, words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The windows of twice ``length`` that extend those at ``starts`` to
+    either side."""
+    at = np.unique(np.concatenate([starts - length, starts]))
+    at = at[(at >= 0) & (at + 2 * length <= len(words))]
+    made = np.zeros(len(at), dtype=DOUBLED)
+    made["h"], made["at"] = run_hashes(words, 2 * length)[at], at
+    return _keyed(made, key)
+
+
+def _asked_records(key: bytes, words: np.ndarray, starts: np.ndarray, length: int, window: int) -> np.ndarray:
+    """The asked windows that hold any of the windows of ``length`` words at
+    ``starts``."""
     count = len(words) - window + 1
     change = np.zeros(count + 1, dtype=np.int64)
-    np.add.at(change, np.clip(starts - (window - 2 * base), 0, count), 1)
+    np.add.at(change, np.clip(starts - (window - length), 0, count), 1)
     np.add.at(change, np.clip(starts + 1, 0, count), -1)
     at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
     made = np.zeros(len(at), dtype=ASKED)
@@ -256,17 +269,25 @@ def repeated_windows(df: DataFrame, text_col: str = "text", window: int = WINDOW
     def to_texts(found: np.ndarray) -> Iterator[pa.RecordBatch]:
         return _to_texts(found, buckets)
 
-    first = docs.mapInArrow(emit(lambda key, words: _anchor_records(key, words, base, window), False), _ROWS)
-    second = _look_up(first, ANCHOR, to_doubled)
-    held = settle(_texts_of(_look_up(second, DOUBLED, to_texts)))
-    wanted = held.select("text_key")
-    texts = docs.join(small_side(wanted, 40), "text_key", "left_semi").dropDuplicates(["text_key"])
-    candidates = stored(texts.join(held, "text_key"), "candidates")
+    def placed(records_of: Callable[..., np.ndarray], *sizes: int) -> Callable[..., np.ndarray]:
+        def work(key: bytes, words: np.ndarray, places: bytes) -> np.ndarray:
+            return records_of(key, words, np.frombuffer(places, dtype="<i4").astype(np.int64), *sizes)
 
-    def asked(key: bytes, words: np.ndarray, places: bytes) -> np.ndarray:
-        return _asked_records(key, words, np.frombuffer(places, dtype="<i4").astype(np.int64), base, window)
+        return work
 
-    third = candidates.mapInArrow(emit(asked, True), _ROWS)
+    first = docs.mapInArrow(emit(lambda key, words: _anchor_records(key, words, base, window), False), _ROWS)
+    second = _look_up(first, ANCHOR, to_doubled)
+    held, length, texts = settle(_texts_of(_look_up(second, DOUBLED, to_texts))), 2 * base, docs
+    while True:
+        wanted = small_side(held.select("text_key"), 40)
+        texts = texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
+        candidates = stored(texts.join(held, "text_key"), "candidates")
+        if length > (window + 1) // 3 or held.isEmpty():
+            break
+        extended = candidates.mapInArrow(emit(placed(_extended_records, length), True), _ROWS)
+        held = settle(_texts_of(_look_up(extended, DOUBLED, to_texts)))
+        length, texts = 2 * length, candidates.drop("places")
+    third = candidates.mapInArrow(emit(placed(_asked_records, length, window), True), _ROWS)
     found = _texts_of(_look_up(third, ASKED, to_texts))
     return candidates.drop("places").join(found, "text_key")
 

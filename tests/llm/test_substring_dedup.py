@@ -32,7 +32,7 @@ def test_messy_corpus(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("window,base", [(35, 8), (12, 4), (7, 2), (4, 1)])
+@pytest.mark.parametrize("window,base", [(35, 8), (12, 4), (7, 2), (4, 1), (50, 2), (100, 8)])
 def test_random_passages(spark, window, base):
     rng = random.Random(window)
     passages = [sentence(1000 + i, rng.randint(window - 2, 2 * window)) for i in range(8)]
@@ -48,3 +48,16 @@ def test_random_passages(spark, window, base):
 def test_base_must_leave_room():
     with pytest.raises(ValueError, match="third"):
         substring_dedup.repeated_windows(None, window=10, base=5)
+
+
+def test_levels_double_until_none_survives(spark, monkeypatch):
+    """A long window takes a level for every doubling; without repeats the first are the last."""
+    levels, look_up = [], substring_dedup._look_up
+    monkeypatch.setattr(substring_dedup, "_look_up", lambda rows, kind, then: levels.append(kind) or look_up(rows, kind, then))
+    unlike, shared = [sentence(i * 700, 150) for i in range(4)], sentence(9_000, 120)
+    substring_dedup.remove_repeats(messy(spark, list(enumerate(unlike))), window=100)
+    assert len(levels) == 3
+    levels.clear()
+    rows = [(i, f"{text} {shared}") for i, text in enumerate(unlike)]
+    assert all(r["n_removed"] == 120 for r in substring_dedup.remove_repeats(messy(spark, rows), window=100).collect())
+    assert len(levels) == 5
