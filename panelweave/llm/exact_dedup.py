@@ -131,6 +131,7 @@ def unique_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _row_key(doc_id: str, digest: str | Column) -> Column:
-    """One text for id and digest, so that join and dedup share a shuffle."""
+    """One text for id and digest, so that join and dedup share a shuffle; no id
+    differs from every id."""
     held = F.col(digest) if isinstance(digest, str) else digest
-    return F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), F.lit(":"), held)
+    return F.concat(held, F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("")))

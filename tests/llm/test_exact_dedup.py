@@ -54,3 +54,10 @@ def test_chunks_follow_content(spark):
 def test_no_python_in_the_plan(spark):
     plan = exact_dedup.group_copies(messy(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_no_id_differs_from_an_id_of_any_name(spark):
+    rows = [(None, "x"), ("none", "y"), ("", "z"), (None, "y"), ("none", "x"), ("", "x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = exact_dedup.unique_documents(df).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [("", "z"), ("none", "x"), ("none", "y")]
