@@ -7,28 +7,31 @@ may be secrets) have to pass the checks of their kind and the threshold of
 boosted trees that see their format and what stands around them, an announcing
 word among it.  Nothing touches a base span.
 
-The trees learn here, from a sample of at most ``train_rows`` spans of a kind
-in the order of a hash.  There are no span labels; labels are taken from checks
-that format and context do not show.  Positive is a base span, and a card, ip
+The trees learn here, from every span that has a label; spans with the same
+features are one row with their weight.  There are no span labels; labels are
+taken from checks that format and context do not show.  Positive is a base span, and a card, ip
 or secret that passes (check digit; octets or eight groups; letters mixed with
 digits).  Negative is a span that fails: a wrong check digit, a bad octet, too
 few groups, an address without a domain, a run of more digits than any phone
 has, a long token that is plain word or number.  As e-mail and phone checks are
-weak, one in ``look_alikes`` of their loose spans that pass, drawn by hash, is
-negative too.  What the checks read is no feature.  A kind's threshold is the
-lowest at which, of the part held out for it, at least the share ``precision``
-of the spans above it is positive; where there is none, or the kind's sample
-lacks one of the labels, nothing of that kind is added.
+weak, their loose spans that pass are negative too, each with the weight of one
+in ``look_alikes``.  What the checks read is no feature.  Scores have four
+decimals.  A kind's threshold is the lowest at which at least the share
+``precision`` of the spans above it is positive.  A hash deals the spans to two
+halves; each half teaches trees, whose thresholds the other half gives, and an
+added span has to pass both.  Where there is no such threshold, or a half lacks
+one of the kind's labels, nothing of that kind is added.
 
 Defined results: a null or empty text has no spans.  Spans are code-point
 offsets, end exclusive.  Equal texts have equal spans and are worked on once.
-Rows with a null or repeated id are rows like any other.  Without both classes
-in the sample, as in an empty table, nothing is added to the base spans.  Other
+Rows with a null or repeated id are rows like any other.  Without both classes,
+as in an empty table, nothing is added to the base spans.  Other
 columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -69,6 +72,8 @@ CUE = {
 }
 #: Characters before and after a span that its context is taken from.
 CONTEXT = 32
+#: Scores are multiples of one over this.
+SCORES = 10_000
 #: What the trees see; nothing that a check reads.
 FEATURES = (
     "announced", "n_groups", "n_signs", "n_blanks", "after_word", "before_word", "after_space", "after_colon", "quoted",
@@ -79,8 +84,7 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class Options:
-    train_rows: int = 2000  #: most spans of a kind that teach
-    look_alikes: int = 20  #: one in so many loose e-mails and phones that pass is a negative
+    look_alikes: int = 20  #: so many loose e-mails and phones that pass count as one negative
     rounds: int = 12
     depth: int = 3
     floor: float = 0.5  #: least score of an added span
@@ -204,65 +208,93 @@ def _described(spans: DataFrame) -> DataFrame:
 
 
 def _labelled(described: DataFrame, options: Options = Options()) -> DataFrame:
-    """All spans with ``touched``, by a valid base span, ``label`` and ``draw``,
-    a hash of the span.  A number too short or long to be a card teaches
-    nothing."""
+    """All spans with ``touched``, by a valid base span, ``label``, ``weight``
+    and ``half``, by a hash of the span.  A number too short or long to be a
+    card teaches nothing."""
     solid = F.expr("base and valid")
     order = Window.partitionBy("text_key").orderBy("start", F.desc("solid"))
     last_end = F.max(F.when(F.col("solid"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     next_start = F.min(F.when(F.col("solid"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     touched = F.coalesce(last_end > F.col("start"), F.lit(False)) | F.coalesce(next_start < F.col("end"), F.lit(False))
-    draw = F.xxhash64("text_key", "kind", "start")
-    weak = F.col("kind").isin("email", "phone")
+    half = F.pmod(F.xxhash64("text_key", "kind", "start"), F.lit(2)).cast("int")
+    weak = ~F.col("solid") & F.expr("valid and kind in ('email', 'phone')")
     label = (
         F.when(F.col("solid"), 1.0)
         .when(F.col("touched") | F.expr("kind = 'card' and not has_check_digit"), None)
         .when(~F.col("valid"), 0.0)
-        .when(~weak, 1.0)
-        .when(F.pmod(F.shiftright("draw", 16), F.lit(options.look_alikes)) == 0, 0.0)
+        .otherwise(F.when(weak, 0.0).otherwise(1.0))
+    )
+    weight = F.when(weak, 1 / options.look_alikes).otherwise(1.0)
+    return described.withColumn("solid", solid).withColumns({"touched": touched, "half": half}).withColumns(
+        {"label": label, "weight": weight}
     )
-    return described.withColumn("solid", solid).withColumns({"touched": touched, "draw": draw}).withColumn("label", label)
 
 
-def _limit(held: list[tuple[float, float]], options: Options) -> float | None:
+def _limit(held: list[tuple[float, ...]], options: Options) -> float | None:
     """The lowest score, ``floor`` at least, with enough positives among all
-    scores from there on."""
-    limit, positive = None, 0.0
+    scores from there on.  Rows are score, label and, unless 1, weight."""
+    limit, positive, total = None, 0.0, 0.0
     held = sorted(held, reverse=True)
-    for i, (score, label) in enumerate(held, 1):
-        positive += label
+    for i, (score, label, *weight) in enumerate(held, 1):
+        own = weight[0] if weight else 1.0
+        positive, total = positive + label * own, total + own
         last_of_score = i == len(held) or held[i][0] < score
-        if score >= options.floor and last_of_score and positive >= options.precision * i:
+        if score >= options.floor and last_of_score and positive >= options.precision * total:
             limit = score
     return limit
 
 
 def _model(spans: DataFrame, options: Options):
-    """Trees and thresholds per kind from a bounded sample, or None."""
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("draw"))
-    known = spans.where("label is not null").select("kind", "label", *FEATURES, "draw")
-    sample = settle(known.withColumn("place", place).where(F.col("place") <= options.train_rows))
-    fit, held = sample.where("pmod(draw, 4) <> 0"), sample.where("pmod(draw, 4) = 0")
-    taught = {(row["kind"], row["label"]) for row in fit.select("kind", "label").distinct().collect()}  # ten at most
-    kinds = [kind for kind in ALL_KINDS if {(kind, 0.0), (kind, 1.0)} <= taught]
+    """What scores spans by how far they are above the thresholds of their kind,
+    and the kinds that have any, from all labelled spans; or None."""
+    known = spans.where("label is not null").groupBy("kind", "label", "half", *FEATURES)
+    # Sums of counts, so that no order of rows changes a weight.
+    known = settle(known.agg((F.count(F.lit(1)) * F.first("weight")).alias("weight")))
+    taught = {tuple(row) for row in known.select("kind", "label", "half").distinct().collect()}  # 20 at most
+    kinds = [kind for kind in ALL_KINDS if {(kind, label, half) for label in (0.0, 1.0) for half in (0, 1)} <= taught]
     if not kinds:
         return None
+    judges = []
+    for half in (0, 1):
+        score = _taught(known.where(F.col("half") == half), options)
+        held = score(known.where((F.col("half") != half) & F.col("kind").isin(kinds)))
+        by_kind: dict[str, list[tuple[float, float, float]]] = {kind: [] for kind in kinds}
+        # Two rows for each of 10,001 scores of a kind at most.
+        for row in held.groupBy("kind", "score", "label").agg(F.sum("weight").alias("weight")).collect():
+            by_kind[row["kind"]].append((row["score"], row["label"], row["weight"]))
+        judges.append((score, {kind: _limit(rows, options) for kind, rows in by_kind.items()}))
+    kinds = [kind for kind in kinds if all(limits[kind] is not None for _, limits in judges)]
+
+    def surplus(rows: DataFrame) -> DataFrame:
+        for i, (score, limits) in enumerate(judges):
+            rows = score(rows).withColumn(f"over_{i}", F.col("score") - _limit_of({k: limits[k] for k in kinds})).drop("score")
+        return rows.withColumn("score", F.least("over_0", "over_1"))
+
+    return surplus, {kind: 0.0 for kind in kinds}
+
+
+def _limit_of(limits: dict[str, float]) -> Column:
+    """The threshold of a row's kind; one that no score reaches without."""
+    limit = F.lit(2.0)
+    for kind, value in limits.items():
+        limit = F.when(F.col("kind") == kind, F.lit(value)).otherwise(limit)
+    return limit
+
+
+def _taught(known: DataFrame, options: Options) -> Callable[[DataFrame], DataFrame]:
+    """What adds ``score``, by trees that these rows teach, to others."""
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    # The trees look at each distinct row of features some forty times.
     trees = GBTClassifier(
-        featuresCol="features", labelCol="label", maxIter=options.rounds, maxDepth=options.depth, seed=7
-    ).fit(assembler.transform(fit))
+        featuresCol="features", labelCol="label", weightCol="weight", maxIter=options.rounds, maxDepth=options.depth, seed=7
+    ).fit(assembler.transform(known))
 
     def score(rows: DataFrame) -> DataFrame:
         scored = trees.transform(assembler.transform(rows))
-        return scored.withColumn("score", vector_to_array("probability")[1]).drop(
-            "features", "rawPrediction", "probability", "prediction"
-        )
+        levels = F.floor(vector_to_array("probability")[1] * SCORES) / SCORES
+        return scored.withColumn("score", levels).drop("features", "rawPrediction", "probability", "prediction")
 
-    by_kind: dict[str, list[tuple[float, float]]] = {kind: [] for kind in kinds}
-    for row in score(held.where(F.col("kind").isin(kinds))).select("kind", "score", "label").collect():  # a part of the sample
-        by_kind[row["kind"]].append((row["score"], row["label"]))
-    limits = {kind: _limit(rows, options) for kind, rows in by_kind.items()}
-    return score, {kind: limit for kind, limit in limits.items() if limit is not None}
+    return score
 
 
 def find_spans(
@@ -296,10 +328,7 @@ def _added(labelled: DataFrame, model) -> DataFrame:
     if not model or not model[1]:
         return free.select(*names).where("false")
     score, limits = model
-    limit = F.lit(2.0)
-    for kind, value in limits.items():
-        limit = F.when(F.col("kind") == kind, F.lit(value)).otherwise(limit)
-    return _first_ones(score(free).where(F.col("score") >= limit).select(*names))
+    return _first_ones(score(free).where(F.col("score") >= _limit_of(limits)).select(*names))
 
 
 def _first_ones(spans: DataFrame) -> DataFrame:

@@ -157,3 +157,30 @@ def test_span_behind_a_dropped_one(spark):
     labelled = pii._labelled(described)
     assert {(r["kind"], r["start"]) for r in pii._added(labelled, (every, limits)).collect()} == {("card", 15), ("card", 30)}
     assert pii._added(labelled, (every, {"phone": 0.5})).count() == 1 and pii._added(labelled, None).count() == 0
+
+
+def test_every_span_teaches(spark, monkeypatch):
+    """Weights of what the trees learn from add up to all labelled spans, far beyond a few thousand of a kind."""
+    docs = spark.range(6000).select(
+        F.md5(F.col("id").cast("string")).alias("text_key"),
+        F.concat(F.lit("card 4111-1111-1111-111"), F.when(F.col("id") % 3 == 0, "1").otherwise("2"), F.lit(" of "), F.col("id")).alias("text"),
+    )
+    labelled = pii._labelled(pii._described(pii._proposals(docs))).cache()
+    seen, taught = [], pii._taught
+
+    def watched(known, options):
+        seen.append({r["kind"]: r["w"] for r in known.groupBy("kind").agg(F.sum("weight").alias("w")).collect()})
+        return taught(known, options)
+
+    monkeypatch.setattr(pii, "_taught", watched)
+    pii._model(labelled, pii.Options())
+    wanted = {r["kind"]: r["n"] for r in labelled.where("label is not null").groupBy("kind").agg(F.sum("weight").alias("n")).collect()}
+    assert wanted["card"] >= 6000
+    first, second = seen[:2]
+    assert {k: first[k] + second[k] for k in wanted} == wanted
+
+
+def test_weighted_threshold():
+    held = [(0.9, 1.0, 18.0), (0.8, 1.0, 1.0), (0.8, 0.0, 1.0), (0.7, 0.0, 2.0)]
+    assert pii._limit(held, pii.Options()) == 0.8
+    assert pii._limit([(0.9, 1.0, 1.0), (0.9, 0.0, 0.05)], pii.Options()) == 0.9
