@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -252,19 +253,68 @@ def _band_start(band: Column, ratio: float) -> Column:
 KEYS = "array<struct<lead:int,head:string,band_l:int,band_r:int,token:string>>"
 
 
-def _lead_keys(df: DataFrame, name: str, counts: DataFrame, threshold: float, is_left: bool) -> DataFrame:
-    """Index rows of strings: for every lead and every length band of a
-    partner, the first characters and the rarest tokens of the rest.
+def _ratios(threshold: float) -> list[float]:
+    """For every lead the ratio of its length bands."""
+    totals = [_least_sum(threshold, lead) for lead in range(MAX_PREFIX + 1)]
+    return [_band_ratio(total) if total > 1 else 2.0 for total in totals]
+
+
+def _bands(strings: DataFrame, name: str, threshold: float) -> DataFrame:
+    """One row: for every lead the length bands that have strings."""
+    lengths = strings.select(F.length(F.lower(name)).alias("len")).filter(F.col("len") > 0).distinct()
+    return lengths.agg(*[F.collect_set(_band(F.col("len"), r)).alias(f"_bands_{lead}") for lead, r in enumerate(_ratios(threshold))])
+
+
+def _changes(length: Column, total: Column | float) -> Column:
+    """Most places at which two strings of this length may differ if all their
+    characters have to be common: ``(2 + 1 - d / (2 * length)) / 3`` is their
+    plain score.  As ``length * (2 - total) < 2`` then, there are at most three."""
+    return F.floor(2 * length * (2 - total) + 1e-6)
+
+
+def _dealt(pieces: int) -> Column:
+    """The characters dealt to so many pieces, in turns."""
+    places = F.sequence(F.lit(0), F.lit(pieces - 1))
+    return F.transform(places, lambda at: F.array_join(F.filter("_chars", lambda c, i: i % pieces == at), ""))
+
+
+def _changed_tokens(lead: int, changes: Column) -> Column:
+    """Tokens of strings whose partner has the same characters, at all but
+    ``changes`` places the same one.
+
+    The characters are dealt to two pieces more than changes.  Two pieces at
+    least are then equal, so each pair of them is a token, next to all
+    characters in order.  Behind a lead below the greatest stands a character
+    that differs; pairs with its piece are left out.  One change alone cannot
+    be.
+    """
+
+    def tokens(places: int) -> Column:
+        pieces = places + 2
+        open_ = [i for i in range(pieces) if lead == MAX_PREFIX or i != lead % pieces]
+        of = [F.element_at(f"_pieces_{pieces}", i + 1) for i in range(pieces)]
+        return F.array(*[F.xxhash64("_sorted", F.lit(a), F.lit(b), of[a], of[b]).cast("string") for a, b in combinations(open_, 2)])
+
+    same = F.array(F.col("_lower"))
+    none = same if lead == MAX_PREFIX else F.when(F.col("len") == lead, same).otherwise(F.array().cast("array<string>"))
+    return F.when(changes < 2, none).when(changes == 2, tokens(2)).otherwise(tokens(3))
+
+
+def _lead_keys(df: DataFrame, name: str, facts: DataFrame, threshold: float, is_left: bool) -> DataFrame:
+    """Index rows of strings: for every lead and every length band that has
+    partners, the first characters and the rarest tokens of the rest.
 
     With ``c`` the least number of common characters for two bands, less the
     lead, two strings that fit share a token among the first ``rest - c + 1``
     of each, by one order of all tokens.  Where the bound is weak, leads of
     three and more are left without tokens, as is a bound of no further common
-    characters.
+    characters.  Where no string can do without a character, both have the same
+    ones and may differ at few places only (see :func:`_changed_tokens`).
+    ``facts`` has the token counts and the partners' bands in one row.
     """
-    lower = F.lower(F.col(name))
-    base = df.withColumn("len", F.length(lower)).filter(F.col("len") > 0)
-    marked = base.join(F.broadcast(counts))
+    lower = F.col("_lower")
+    base = df.withColumn("_lower", F.lower(name)).withColumn("len", F.length(lower)).filter(F.col("len") > 0)
+    marked = base.join(F.broadcast(facts))
 
     def bit(token: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(token), F.lit(64)).cast("int"))
@@ -274,46 +324,80 @@ def _lead_keys(df: DataFrame, name: str, counts: DataFrame, threshold: float, is
         return F.transform(F.sort_array(weighed), lambda s: s["t"])
 
     totals = [_least_sum(threshold, lead) for lead in range(MAX_PREFIX + 1)]
+    ratios = _ratios(threshold)
     tokened = [lead for lead, total in enumerate(totals) if lead == 0 or total >= STRONG_SUM or (total > 1 and lead < 3)]
-    marked = marked.withColumns({f"_grams_{lead}": _grams(F.substring(lower, lead + 1, 1 << 30), 1) for lead in tokened})
-    marked = marked.withColumns({f"_rarest_{lead}": by_count(F.col(f"_grams_{lead}")) for lead in tokened})
+
+    def bounds(lead: int, other: Column) -> tuple[Column, Column]:
+        """Least number of common characters of two bands, and their longest string."""
+        band, ratio = F.col(f"_band_{lead}"), ratios[lead]
+        mine, theirs = (F.ceil(_band_start(b, ratio) - 1e-6) for b in (band, other))
+        least = F.greatest(F.ceil(totals[lead] * mine * theirs / (mine + theirs) - 1e-6).cast("int"), F.lit(1))
+        return least, F.floor(_band_start(F.greatest(band, other) + 1, ratio) + 1e-6)
+
+    def others(lead: int) -> Column:
+        # The shorter one has at least total - 1 of the longer one's length.
+        share, ratio = totals[lead] - 1, ratios[lead]
+        first = F.greatest(_band(F.greatest(F.lit(1.0), F.col("len") * share), ratio) - 1, F.lit(0))
+        return F.array_intersect(F.sequence(first, _band(F.col("len") / share, ratio) + 1), f"_bands_{lead}")
+
+    def rarest(lead: int) -> Column:
+        ordered = by_count(_grams(F.substring(lower, lead + 1, 1 << 30), 1))
+        if totals[lead] <= 1:
+            return ordered
+
+        def by_tokens(other: Column) -> Column:
+            least, longest = bounds(lead, other)
+            return longest > least
+
+        return F.when(F.exists(f"_others_{lead}", by_tokens), ordered)
+
+    strong = [lead for lead in tokened if totals[lead] > 1]
+    marked = marked.withColumns(
+        {f"_band_{lead}": _band(F.col("len"), ratios[lead]) for lead in strong} | {f"_others_{lead}": others(lead) for lead in strong}
+    )
+    chars = F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: F.substring(lower, i, F.lit(1)))
+    marked = marked.withColumns(
+        {"_chars": chars, "_grams_0": _grams(lower, 1)} | {f"_rarest_{lead}": rarest(lead) for lead in tokened}
+    )
+    # A longer lead has more changes; beyond three a character can be missing.
+    fewest, most = (_changes(F.col("len"), totals[lead]) for lead in (0, MAX_PREFIX))
+    marked = marked.withColumns(
+        {"_sorted": F.array_join(F.sort_array("_chars"), "")}
+        | {f"_pieces_{places + 2}": F.when((fewest <= 3) & (most >= places), _dealt(places + 2)) for places in (2, 3)}
+    )
     signature = F.aggregate("_grams_0", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(bit(t)))
     kinds = []
     for lead, total in enumerate(totals):
 
         def key(token: Column, other: Column | None = None) -> Column:
-            own, theirs = (F.lit(-1), F.lit(-1)) if other is None else (band, other)
+            own, theirs = (F.lit(-1), F.lit(-1)) if other is None else (F.col(f"_band_{lead}"), other)
             left, right = (own, theirs) if is_left else (theirs, own)
             return F.struct(
                 F.lit(lead).alias("lead"), F.substring(lower, 1, lead).alias("head"), left.alias("band_l"), right.alias("band_r"), token.alias("token")
             )
 
-        rarest = F.col(f"_rarest_{lead}")
-
-        ratio = _band_ratio(total) if total > 1 else 2.0
-        band = _band(F.col("len"), ratio)
+        ordered = F.col(f"_rarest_{lead}")
 
         def of_band(other: Column) -> Column:
-            mine, theirs = (F.ceil(_band_start(b, ratio) - 1e-6) for b in (band, other))
-            least = F.greatest(F.ceil(total * mine * theirs / (mine + theirs) - 1e-6).cast("int"), F.lit(1))
+            least, longest = bounds(lead, other)
             common = least - lead
-            longest = F.floor(_band_start(F.greatest(band, other) + 1, ratio) + 1e-6)
-            kept = F.slice(rarest, F.lit(1), F.greatest(F.col("len") - lead - common + 1, F.lit(0)))
+            kept = F.slice(ordered, F.lit(1), F.greatest(F.col("len") - lead - common + 1, F.lit(0)))
             some = F.transform(kept, lambda t: key(t, other))
-            # Where no string of the bands can do without a token, all are the key.
-            whole = F.array(key(F.array_join(rarest, ""), other))
-            return F.when(common <= 0, F.array(key(F.lit(""), other))).when(longest <= least, whole).otherwise(some)
+            # Where no string of the bands can do without a token, both have one length.
+            changed = _changed_tokens(lead, _changes(F.col("len"), total))
+            whole = F.when(other == F.col(f"_band_{lead}"), F.transform(changed, lambda t: key(t, other))).otherwise(F.array().cast(KEYS))
+            return F.when(longest <= least, whole).when(common <= 0, F.array(key(F.lit(""), other))).otherwise(some)
 
         if lead not in tokened:
             found = F.array(key(F.lit("")))
         elif total <= 1:  # any length may fit, but one character is common
-            found = F.transform(rarest, lambda t: key(t))
-        else:  # the shorter one has at least total - 1 of the longer one's length
-            first = F.greatest(_band(F.greatest(F.lit(1.0), F.col("len") * (total - 1)), ratio) - 1, F.lit(0))
-            others = F.sequence(first, _band(F.col("len") / (total - 1), ratio) + 1)
-            found = F.flatten(F.transform(others, of_band))
+            found = F.transform(ordered, lambda t: key(t))
+        else:
+            found = F.flatten(F.transform(f"_others_{lead}", of_band))
         kinds.append(F.when(F.col("len") >= lead, found).otherwise(F.array().cast(KEYS)))
-    return marked.select(*df.columns, "len", signature.alias("signature"), F.inline(F.concat(*kinds)))
+    # A plain inline lets the optimizer test the size of all keys before, for which it makes them once more.
+    keys = F.inline_outer(F.concat(*kinds))
+    return marked.select(*df.columns, "len", signature.alias("signature"), keys).filter(F.col("lead").isNotNull())
 
 
 def jaro_winkler_candidates(lefts: DataFrame, rights: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
@@ -323,14 +407,20 @@ def jaro_winkler_candidates(lefts: DataFrame, rights: DataFrame, block: Sequence
     is at most ``(c/m + c/n + 1) / 3``.  Pairs meet at their number of equal
     first characters and at rare common tokens (see :func:`_lead_keys`).  A
     64-bit signature of the numbered characters tells how many of them the
-    other string lacks at least; pairs that lack too many are not written.
+    other string lacks at least; pairs that lack too many are not written, nor
+    are those that need all characters and have too many at other places.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
     block = list(block)
+    # Few bytes of strings make many rows; left alone they would lie in one task.
+    tasks = int(lefts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # By a hash, as Spark drops a repartition by the columns of a distinct before it.
+    lefts, rights = lefts.repartition(tasks, F.xxhash64("l")), rights.repartition(tasks, F.xxhash64("r"))
     counts = _token_counts(rights, "r")
-    a = _lead_keys(lefts, "l", counts, threshold, True).withColumnsRenamed({"len": "len_l", "signature": "bits_l"})
-    b = _lead_keys(rights, "r", counts, threshold, False).withColumnsRenamed({"len": "len_r", "signature": "bits_r"})
+    of_rights, of_lefts = (counts.join(F.broadcast(_bands(df, name, threshold))) for df, name in ((rights, "r"), (lefts, "l")))
+    a = _lead_keys(lefts, "l", of_rights, threshold, True).withColumnsRenamed({"len": "len_l", "signature": "bits_l"})
+    b = _lead_keys(rights, "r", of_lefts, threshold, False).withColumnsRenamed({"len": "len_r", "signature": "bits_r"})
     pairs = salted_join(a, b, [*block, "lead", "head", "band_l", "band_r", "token"], ["r"])
     lacks_l = F.bit_count(F.col("bits_l").bitwiseAND(F.bitwise_not("bits_r")))
     lacks_r = F.bit_count(F.col("bits_r").bitwiseAND(F.bitwise_not("bits_l")))
@@ -342,6 +432,10 @@ def jaro_winkler_candidates(lefts: DataFrame, rights: DataFrame, block: Sequence
     hopeful = pairs.filter(
         (common > 0) & (common / F.col("len_l") + common / F.col("len_r") >= needed) & ((F.col("lead") == MAX_PREFIX) | ~longer_lead)
     )
+    # Strings of one length that need all characters differ at few places, so their edit distance is as small.
+    all_common = (F.col("len_l") == F.col("len_r")) & (F.col("len_l") * (2 - needed) < 2)
+    edits = F.levenshtein(F.lower("l"), F.lower("r"), 3)  # -1 beyond
+    hopeful = hopeful.filter(~all_common | edits.between(0, _changes(F.col("len_l"), needed)))
     return hopeful.select(*block, "l", "r").distinct()
 
 

@@ -179,6 +179,26 @@ def test_jaro_winkler_on_names(spark):
         assert all(score == pytest.approx(best[a][0]) and brute_jaro_winkler(a, name) == pytest.approx(score) for a, (name, score) in got.items())
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.96, 0.985])
+def test_jaro_winkler_of_the_same_characters(spark, threshold):
+    """Strings of the same characters: all close pairs are found."""
+    orders = ["".join(p) for p in itertools.permutations("12345")]
+    right = [head + o for head in ("", "x", "xyzw") for o in orders] + ["aab", "aba", "ab", "ba", "a"]
+    left = right[::7] + ["xzyw12345", "yx21345", "baa"]
+    l, r = (spark.createDataFrame([(w,) for w in words], f"{c} string") for words, c in ((left, "l"), (right, "r")))
+    got = {tuple(x) for x in fuzzy.jaro_winkler_candidates(l, r, [], threshold).collect()}
+    assert {(a, b) for a in left for b in right if brute_jaro_winkler(a, b) >= threshold} <= got
+
+
+def test_jaro_winkler_of_many_orders(spark):
+    """All orders of six digits behind one name: few pairs differ at two places."""
+    names = ["customer#000" + "".join(p) for p in itertools.permutations("123456")]
+    l, r = (spark.createDataFrame([(w,) for w in names], f"{c} string") for c in "lr")
+    pairs = {tuple(x) for x in fuzzy.jaro_winkler_candidates(l, r, [], 0.985).collect()}
+    assert len(pairs) < 0.1 * len(names) ** 2
+    assert {(a, b) for a in names[::40] for b in names if sum(x != y for x, y in zip(a, b)) <= 2} <= pairs
+
+
 def test_contains_and_equality(spark):
     l = spark.createDataFrame([("Cat",), ("a",), ("zz",), ("",), ("longer phrase",), (None,)], "l string")
     r = spark.createDataFrame([("concatenate",), ("CATALOG",), ("a longer Phrase",), ("b",)], "r string")
