@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import PieceCache
+from .pretokens import PATTERN, PretokenCache
 from .shared import taken
 
 BLOCK = 512
@@ -43,9 +44,6 @@ BLOCK = 512
 PACKED_SHARE = 0.9
 #: Ids of a segment, unless one document has more.
 SEGMENT_IDS = 2_000_000
-#: Stands behind each pre-token that is handed to the tokenizers library; a
-#: character that Unicode keeps out of texts.  Texts that have it go another way.
-MARK = "\ufdd0"
 MAGIC = b"PFOR1\0\0\0"
 _HEAD = struct.Struct("<IBBH")  # least id, width, width of high parts, exceptions
 
@@ -54,22 +52,48 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of ``values`` as rows of bytes, ``width`` bits each, least first."""
     if width in (8, 16, 32):
         return np.ascontiguousarray(values.astype(f"<u{width // 8}")).view(np.uint8)
-    size = 2 if width <= 16 else 4
-    held = np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8).reshape(*values.shape, size)
-    bits = np.unpackbits(held, axis=-1, bitorder="little")[..., :width]
-    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    rows, count = values.shape
+    if width > 16:
+        held = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(rows, count, 4)
+        bits = np.unpackbits(held, axis=-1, bitorder="little")[..., :width]
+        return np.packbits(bits.reshape(rows, -1), axis=1, bitorder="little")
+    # Eight values are ``width`` bytes: two words of four values each.
+    eights = np.zeros((rows, -(-count // 8) * 8), dtype=np.uint64)
+    eights[:, :count] = values
+    eights = eights.reshape(-1, 2, 4)
+    fours = eights[..., 0].copy()
+    for i in range(1, 4):
+        fours |= eights[..., i] << np.uint64(i * width)
+    words = np.empty((len(fours), 2), dtype="<u8")
+    words[:, 0] = fours[:, 0] | fours[:, 1] << np.uint64(4 * width)
+    words[:, 1] = fours[:, 1] >> np.uint64(64 - 4 * width)
+    return words.view(np.uint8)[:, :width].reshape(rows, -1)[:, : -(-count * width // 8)]
 
 
 def _unpack(data: np.ndarray, count: int, width: int) -> np.ndarray:
     """The inverse of :func:`_pack` for rows of ``count`` values."""
     if width in (8, 16, 32):
         return np.ascontiguousarray(data).view(f"<u{width // 8}").astype(np.uint32)
-    bits = np.unpackbits(data, axis=1, count=count * width, bitorder="little").reshape(len(data), count, width)
-    size = 16 if width <= 16 else 32
-    full = np.zeros((len(data), count, size), dtype=np.uint8)
-    full[..., :width] = bits
-    packed = np.packbits(full, axis=-1, bitorder="little")
-    return packed.reshape(len(data), -1).view(f"<u{size // 8}").astype(np.uint32)
+    rows = len(data)
+    if width > 16:
+        bits = np.unpackbits(data, axis=1, count=count * width, bitorder="little").reshape(rows, count, width)
+        full = np.zeros((rows, count, 32), dtype=np.uint8)
+        full[..., :width] = bits
+        packed = np.packbits(full, axis=-1, bitorder="little")
+        return packed.reshape(rows, -1).view("<u4").astype(np.uint32)
+    eights = -(-count // 8)
+    padded = np.zeros((rows, eights * width), dtype=np.uint8)
+    padded[:, : data.shape[1]] = data
+    full = np.zeros((rows * eights, 16), dtype=np.uint8)
+    full[:, :width] = padded.reshape(-1, width)
+    words = full.view("<u8")
+    low, high = words[:, 0], words[:, 0] >> np.uint64(4 * width) | words[:, 1] << np.uint64(64 - 4 * width)
+    out = np.empty((rows * eights, 8), dtype=np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for i in range(4):
+        out[:, i] = low >> np.uint64(i * width) & mask
+        out[:, 4 + i] = high >> np.uint64(i * width) & mask
+    return out.reshape(rows, -1)[:, :count]
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -103,46 +127,75 @@ def _encode_rows(rows: np.ndarray, share: float) -> list[bytes]:
         chosen = np.flatnonzero(widths == width)
         low = rest[chosen]
         counts = np.where(widths[chosen] < full[chosen], over[chosen], 0)
+        high_widths, tails = [0] * len(chosen), [b""] * len(chosen)
         if counts.any():  # then the width is below 32
             high, low = low >> np.uint32(width), low & np.uint32((1 << width) - 1)
+            high_widths, tails = _encode_outside(high)
         packed = _pack(low, width) if width else np.empty((len(chosen), 0), dtype=np.uint8)
         for i, number in enumerate(chosen.tolist()):
-            tail, high_width = b"", 0
-            if counts[i]:
-                outside = np.flatnonzero(high[i])
-                above = high[i][outside]
-                high_width = int(above.max()).bit_length()
-                tail = outside.astype("<u2").tobytes() + _pack(above.reshape(1, -1), high_width).tobytes()
-            blocks[number] = _HEAD.pack(int(least[number]), width, high_width, int(counts[i])) + packed[i].tobytes() + tail
+            head = _HEAD.pack(int(least[number]), width, high_widths[i], int(counts[i]))
+            blocks[number] = head + packed[i].tobytes() + tails[i]
     return blocks
 
 
+def _encode_outside(high: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """For each row of high parts their width, and the places of those above
+    zero with the parts; rows of one width are packed together."""
+    rows, places = np.nonzero(high)
+    above, places = high[rows, places], places.astype("<u2")
+    counts = np.bincount(rows, minlength=len(high))
+    firsts = np.cumsum(counts) - counts
+    nth = np.arange(len(rows)) - firsts[rows]
+    widths = _widths(high.max(axis=1))
+    tails = [b""] * len(high)
+    for width in np.unique(widths[counts > 0]).tolist():
+        members = np.flatnonzero(widths == width)
+        slot = np.cumsum(widths == width) - 1
+        own = widths[rows] == width
+        grid = np.zeros((len(members), int(counts[members].max())), dtype=np.uint32)
+        grid[slot[rows[own]], nth[own]] = above[own]
+        packed = _pack(grid, width)
+        for row, member in zip(packed, members.tolist()):
+            first, count = int(firsts[member]), int(counts[member])
+            tails[member] = places[first : first + count].tobytes() + row[: -(-count * width // 8)].tobytes()
+    return widths.tolist(), tails
+
+
+def _cut(data: bytes, firsts: list[int], size: int) -> np.ndarray:
+    """Rows of ``size`` bytes from these places, zeros beyond the end."""
+    rows = b"".join([data[first : first + size].ljust(size, b"\0") for first in firsts])
+    return np.frombuffer(rows, dtype=np.uint8).reshape(-1, size)
+
+
 def decode_blocks(data: bytes, offsets: list[int], counts: list[int]) -> np.ndarray:
     """Ids of the blocks at ``offsets``, which hold ``counts`` ids."""
     heads = [_HEAD.unpack_from(data, offset) for offset in offsets]
-    raw = np.frombuffer(data, dtype=np.uint8)
     out: list[np.ndarray] = [np.empty(0, dtype=np.uint32)] * len(offsets)
     alike: dict[tuple[int, int], list[int]] = {}
     for i, (head, count) in enumerate(zip(heads, counts)):
         alike.setdefault((head[1], count), []).append(i)
     for (width, count), members in alike.items():
         size = -(-count * width // 8)
-        firsts = np.array([offsets[i] + _HEAD.size for i in members])
-        if width in (8, 16, 32):
-            kind = f"<u{width // 8}"
-            rows = [np.frombuffer(data, kind, count, first).astype(np.uint32) for first in firsts.tolist()]
-        elif width:
-            rows = _unpack(raw[firsts[:, None] + np.arange(size)], count, width)
+        firsts = [offsets[i] + _HEAD.size for i in members]
+        if width:
+            rows = _unpack(_cut(data, firsts, size), count, width)
         else:
             rows = np.zeros((len(members), count), dtype=np.uint32)
-        for row, i, first in zip(rows, members, firsts.tolist()):
-            least, _, high_width, exceptions = heads[i]
+        outside: dict[int, list[tuple[int, int, int]]] = {}
+        for row, (i, first) in enumerate(zip(members, firsts)):
+            _, _, high_width, exceptions = heads[i]
             if exceptions:
-                at = first + size
-                places = np.frombuffer(data, "<u2", exceptions, at)
-                bytes_ = raw[at + 2 * exceptions : at + 2 * exceptions - (-exceptions * high_width // 8)]
-                row[places] |= _unpack(bytes_.reshape(1, -1), exceptions, high_width)[0] << np.uint32(width)
-            out[i] = row + np.uint32(least)
+                outside.setdefault(high_width, []).append((row, first + size, exceptions))
+        for high_width, found in outside.items():
+            own, exceptions = np.array([x[0] for x in found]), np.array([x[2] for x in found])
+            most = int(exceptions.max())
+            places = np.frombuffer(b"".join([data[at : at + 2 * n] for _, at, n in found]), dtype="<u2")
+            parts = _unpack(_cut(data, [at + 2 * n for _, at, n in found], -(-most * high_width // 8)), most, high_width)
+            above = parts[np.arange(most) < exceptions[:, None]]
+            rows[np.repeat(own, exceptions), places] |= above << np.uint32(width)
+        rows += np.array([heads[i][0] for i in members], dtype=np.uint32)[:, None]
+        for row, i in zip(rows, members):
+            out[i] = row
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint32)
 
 
@@ -192,51 +245,44 @@ class Segment:
             low = end
 
 
+def _alphabet() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary: its
+    own where that is visible, else one of those from 256 on."""
+    own = np.array([*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+    out = np.zeros(256, dtype="<u4")
+    out[own] = own
+    out[out == 0] = np.arange(256, 512 - len(own))
+    return out
+
+
 @lru_cache(maxsize=4)
 def _pieces(path: str, pattern: str) -> PieceCache:
     from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    # Pre-tokens come ready: they stand between marks, which go.
-    tokenizer.pre_tokenizer = Sequence([Split(MARK, "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+    # Pre-tokens come ready, in characters for bytes; no byte is a space there.
+    tokenizer.pre_tokenizer = CharDelimiterSplit(" ")
+    alphabet = _alphabet()
     sizes = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
     for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
         sizes[number] = len(token)  # a character for each byte
-    mark = np.frombuffer(MARK.encode(), dtype=np.uint8)
 
     def encode(raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = np.cumsum(lengths)
-        if MARK.encode() in raw:
-            parts = [raw[a:b].decode() for a, b in zip([0, *ends.tolist()], ends.tolist())]
-            # The mark itself is spelled by a tokenizer that has none.
-            lists = [e.ids for e in _unmarked(path).encode_batch_fast(parts, add_special_tokens=False)]
-            return np.array([i for ids in lists for i in ids], dtype=np.uint32), np.array(list(map(len, lists)))
-        data = np.full(len(raw) + len(mark) * len(lengths), mark[0], dtype=np.uint8)
-        own = np.arange(len(raw)) + np.repeat(np.arange(len(lengths)) * len(mark), lengths)
-        data[own] = np.frombuffer(raw, dtype=np.uint8)
-        for i, byte in enumerate(mark):
-            data[ends + np.arange(len(lengths)) * len(mark) + i] = byte
-        (encoding,) = tokenizer.encode_batch_fast([data.tobytes().decode()], add_special_tokens=False)
+        spelled = np.full(len(raw) + len(lengths), ord(" "), dtype="<u4")
+        own = np.arange(len(raw)) + np.repeat(np.arange(len(lengths)), lengths)
+        spelled[own] = alphabet[np.frombuffer(raw, dtype=np.uint8)]
+        (encoding,) = tokenizer.encode_batch_fast([spelled.tobytes().decode("utf-32-le")], add_special_tokens=False)
         ids = np.array(encoding.ids, dtype=np.uint32)
-        until = np.searchsorted(np.cumsum(sizes[ids]), ends, side="right")
+        until = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(lengths), side="right")
         return ids, np.diff(until, prepend=0)
 
+    if pattern == PATTERN:
+        return PretokenCache(encode)
     return PieceCache(regex.compile(pattern).findall, encode, "<u4")
 
 
-@lru_cache(maxsize=4)
-def _unmarked(path: str):
-    from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-    return tokenizer
-
-
 def write_segments(
     df: DataFrame,
     path: str,

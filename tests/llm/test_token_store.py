@@ -7,7 +7,7 @@ import pytest
 from corpus import empty, messy, messy_rows
 from tokenizers import Tokenizer
 
-from panelweave.llm import token_store
+from panelweave.llm import pretokens, token_store
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -70,3 +70,50 @@ def test_outliers_are_exceptions():
     assert (least, width, exceptions) == (100, 4, 2) and len(block) < 512 * 4 // 8 + 30
     with pytest.raises(ValueError, match="segment"):
         token_store.Segment(b"x" * 100)
+
+
+def test_each_pretoken_reaches_the_library_once(tokenizer):
+    token_store._pieces.cache_clear()
+    cache = token_store._pieces(PATH, public_tokenizers.PATTERN)
+    encode, handed = cache.encode, []
+
+    def counted(raw, lengths):
+        ends = np.cumsum(lengths).tolist()
+        handed.extend(raw[a:b].decode() for a, b in zip([0, *ends], ends))
+        return encode(raw, lengths)
+
+    cache.encode = counted
+    texts = ["A hound. The hound, a hound! Its hound's hound;\n hound", "", "hound hound. (hound) 12 hound12 hound"]
+    found = [ids.tolist() for _ in range(2) for ids in cache.encode_texts(texts)]
+    token_store._pieces.cache_clear()
+    assert found == 2 * [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert sorted(handed) == sorted(set(handed))
+
+
+def test_blocks_with_exceptions_are_packed_together(monkeypatch):
+    ids = np.random.default_rng(2).integers(0, 4000, 300 * 512).astype(np.uint32)
+    ids[::50] = 50_000
+    pack, unpack, calls = token_store._pack, token_store._unpack, []
+    monkeypatch.setattr(token_store, "_pack", lambda *a: calls.append(1) or pack(*a))
+    monkeypatch.setattr(token_store, "_unpack", lambda *a: calls.append(1) or unpack(*a))
+    segment = token_store.Segment(token_store.encode_segment(ids, np.array([len(ids)])))
+    assert (segment.read(0, len(ids)) == ids).all()
+    assert len(calls) < 20
+
+
+@pytest.mark.parametrize("width", range(1, 33))
+def test_packed_bits(width):
+    for count in (1, 7, 8, 9, 512):
+        values = np.random.default_rng(width).integers(0, 1 << width, (3, count), dtype=np.uint64).astype(np.uint32)
+        packed = token_store._pack(values, width)
+        bits = ["".join(f"{v:0{width}b}"[::-1] for v in row).ljust(-(-count * width // 8) * 8, "0") for row in values.tolist()]
+        assert [r.tobytes() for r in packed] == [int(b[::-1], 2).to_bytes(len(b) // 8, "little") for b in bits]
+        assert (token_store._unpack(packed, count, width) == values).all()
+
+
+def test_other_patterns(tokenizer):
+    texts = ["Words, and 12 more.\n\n It's 'fine'  here", " \ufdd0 <|endoftext|>", ""]
+    cache = token_store._pieces(PATH, f"(?:{public_tokenizers.PATTERN})")
+    assert not isinstance(cache, pretokens.PretokenCache)
+    for text, ids in zip(texts, cache.encode_texts(texts)):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
